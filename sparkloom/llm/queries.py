@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language_id, media, packing, pii, quality, secret_scan, url_filter
+from . import fingerprint, jaccard_join, language_id, media, packing, pii, quality, secret_scan, url_filter
 from ._common import table
 
 
@@ -25,6 +25,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_fingerprint, op4_pii, op5_language, op6_media, op7_packing, op9_quality, op10_secrets)
+    f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_jaccard_join, op4_pii, op5_language, op6_media, op7_packing, op9_quality, op10_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.URL_SQL}
