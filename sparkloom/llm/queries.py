@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, language_id, media, packing, pii, quality, secret_scan, url_filter
+from . import fingerprint, jaccard_join, language_id, media, mixing, packing, pii, quality, secret_scan, url_filter
 from ._common import table
 
 
@@ -45,6 +45,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_jaccard_join, op4_pii, op5_language, op6_media, op7_packing, op9_quality, op10_secrets)
+    f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_jaccard_join, op4_pii, op5_language, op6_media, op7_packing, op8_mixing, op9_quality, op10_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.URL_SQL}
