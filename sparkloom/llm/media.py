@@ -181,7 +181,7 @@ def interleave(pages: DataFrame, facts: DataFrame, key: str = "page_id", html: s
 def media_report(docs: DataFrame) -> DataFrame:
     """One row per document: its payload as stored media, read back through the sequence that refers to it."""
     docs = docs.select("doc_id", "text")
-    facts = catalogue(media_table(docs))
+    facts = stored(catalogue(media_table(docs)))  # so that Spark can split the join's side of a digest that many share
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
     html = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
     found = interleave(docs.select("doc_id", html.alias("html")), facts, "doc_id", "html")
