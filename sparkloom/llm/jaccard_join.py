@@ -35,9 +35,9 @@ WORDS = 5
 CHUNK = 1 << 20
 MINS = 8
 #: From so many labels on a token is expensive; so many expensive tokens are kept at most (8 MB on each executor).
-EXPENSIVE, MAX_EXPENSIVE = 32, 1 << 20
-#: Of eight minimum hashes so many must agree before a node is compared with its group's representative, and so many such comparisons.
-AGREE, STARS, STAR_ROUNDS = 4, 2, 2
+EXPENSIVE, MAX_EXPENSIVE = 16, 1 << 20
+#: Of eight minimum hashes so many must agree before a node is compared with its group's representative, and so many such comparisons a round.
+AGREE, STARS, STAR_ROUNDS = 3, 3, 5
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GAP = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -146,7 +146,7 @@ def _describe(docs: DataFrame) -> DataFrame:
         for s in token_sets(col.to_pylist()):
             n.append(len(s))
             node.append(node_of(s) if len(s) else None)
-            mins.append([int((_mix(s * salt)).min().view(np.int64)) for salt in _SALTS] if len(s) else [])
+            mins.append([int((s * salt).min().view(np.int64)) for salt in _SALTS] if len(s) else [])
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], fields=list(kind))
 
     return docs.withColumn("s", run("text")).select("doc_id", "key", "s.*")
@@ -174,33 +174,53 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _stars(nodes: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
-    """(x, y): nodes and the representatives of their groups by minimum hash that agree with them best."""
-    held = nodes.select("id", "n", "mins") if labels is None else nodes.select("id", "n", "mins").join(labels, "id", "left")
+    """(x, y): nodes and the representatives of their groups by minimum hash that agree with them best.
+
+    The first round's representatives are the nodes whose minimum hashes are the most common, the likely middles of their groups;
+    later rounds draw others, and only nodes of another label are compared with them.
+    """
+    held = nodes.select("id", "n", "mins", F.lit(0).alias("common")) if labels is None else nodes.select("id", "n", "mins", "common").join(labels, "id", "left")
     label = F.col("id") if labels is None else F.coalesce("root", "id")
-    each = held.select("id", "n", "mins", label.alias("label"), F.posexplode("mins").alias("k", "m"))
-    order = F.xxhash64("k", "id", F.lit(round_))
+    each = held.select("id", "n", "mins", "common", label.alias("label"), F.posexplode("mins").alias("k", "m"))
+    order = F.struct(-F.col("common"), F.col("id")) if round_ == 1 else F.xxhash64("k", "id", F.lit(round_))
     heads = each.groupBy("k", "m").agg(F.min_by(F.struct(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("mins").alias("ymins"), F.col("label").alias("ylabel")), order).alias("h"), F.count("*").alias("c")).where("c > 1")
     agree = F.size(F.filter(F.zip_with("mins", "h.ymins", lambda a, b: a == b), lambda x: x))
-    pairs = each.join(heads, ["k", "m"]).where("id <> h.y AND label <> h.ylabel AND 4 * least(n, h.yn) >= 3 * greatest(n, h.yn)").select(F.col("id").alias("x"), F.col("h.y").alias("y"), agree.alias("agree"))
-    best = pairs.where(F.col("agree") >= AGREE).groupBy("x").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("agree", "y")))), 1, STARS).alias("best"))  # at most MINS each
-    return stored(best.select("x", F.explode("best.y").alias("y")))
+    pairs = each.join(heads, ["k", "m"]).where("id <> h.y AND label <> h.ylabel AND 4 * least(n, h.yn) >= 3 * greatest(n, h.yn)").select(F.col("id").alias("x"), F.col("h.y").alias("y"), agree.alias("agree"), "c")
+    best = pairs.where(F.col("agree") >= AGREE).groupBy("x").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("agree", "y")))), 1, STARS).alias("best"), F.sum("c").alias("common"))  # at most MINS each
+    return stored(best.select("x", "common", F.explode("best.y").alias("y")))
 
 
-def _expensive(work: DataFrame) -> np.ndarray:
-    """Tokens that EXPENSIVE labels or more share, counted over one text for each label; a table of fixed size at most."""
+def _expensive(work: DataFrame, parts: int) -> np.ndarray:
+    """Tokens that EXPENSIVE labels or more have near their sets' beginnings, counted over one text for each label; a table of fixed size at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = token_sets(b.column(0).to_pylist())
-            tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n > 1  # tokens that are met once in a batch don't add up to an expensive one
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["t", "c"])
-
-    found = work.where("root = id").select("text").mapInArrow(count, "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c"))
-    rows = found.where(F.col("c") >= EXPENSIVE).orderBy(F.desc("c"), "t").limit(MAX_EXPENSIVE).select("t").toArrow()
+            fronts = [s[: (len(s) * 2) // 5 + 1] for s in token_sets(b.column(0).to_pylist())]
+            t = np.concatenate(fronts) if fronts else np.zeros(0, np.uint64)
+            for p, blob in _dealt(t, t, parts):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["p", "blob"])
+
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        t, n = np.unique(np.frombuffer(b"".join(group.column("blob").to_pylist()), np.uint64), return_counts=True)
+        often = n >= EXPENSIVE
+        return pa.table({"t": t[often].view(np.int64), "c": n[often].astype(np.int64)})
+
+    found = work.where("root = id").select("text").mapInArrow(emit, "p int, blob binary").groupBy("p").applyInArrow(count, "t bigint, c bigint")
+    rows = found.orderBy(F.desc("c"), "t").limit(MAX_EXPENSIVE).select("t").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _dealt(tokens: np.ndarray, rows: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """rows as bytes for each partition that their tokens fall to."""
+    to = (_mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    rows, to = rows[order], to[order]
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    for a, z in zip([0, *cuts], [*cuts, len(to)]):
+        if z > a:
+            yield int(to[a]), rows[a:z].tobytes()
+
+
 def prefix(tokens: np.ndarray, expensive: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Of a set in order: the cheap tokens that it lists, the expensive ones that it lists in the other channel, and how many shared
     tokens at most a pair can have besides listed ones."""
@@ -237,13 +257,8 @@ def _postings(work: DataFrame, expensive: np.ndarray, parts: int) -> DataFrame:
             rows = np.empty(len(t), POSTING)
             for name, c in zip(POSTING.names, columns):
                 rows[name] = np.concatenate(c)
-            to = (_mix(t ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            rows, to = rows[order], to[order]
-            cuts = np.flatnonzero(np.diff(to)) + 1
-            for a, z in zip([0, *cuts], [*cuts, len(to)]):
-                if z > a:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(to[a])], pa.int32()), pa.array([rows[a:z].tobytes()], pa.binary())], names=["p", "blob"])
+            for p, blob in _dealt(t, rows, parts):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["p", "blob"])
 
     return work.select("id", "root", "node", "text").mapInArrow(run, "p int, blob binary")
 
@@ -296,21 +311,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     nodes = described.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     nodes = stored(nodes.select("*", F.monotonically_increasing_id().alias("id")))
     texts, links, labels = docs.select("key", "text"), None, None
-    for r in range(STAR_ROUNDS):
-        pairs = _stars(nodes, labels, r)
-        if pairs.isEmpty():
-            break
-        ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        sets = _sets(texts, nodes.join(ends, "id", "left_semi").select("id", "key", "node"))
-        found = _verified(pairs, sets)
-        links = found if links is None else links.unionByName(found)
+    grouped = _stars(nodes, None, 0)
+    if not grouped.isEmpty():
+        # only nodes that agree with another take part from here on; their sets are made once
+        ends = grouped.groupBy("x").agg(F.max("common").alias("common"))
+        ends = stored(ends.unionByName(grouped.select(F.col("y").alias("x"), "common")).groupBy("x").agg(F.max("common").alias("common")).withColumnRenamed("x", "id"))
+        near = stored(nodes.join(ends, "id"))
+        sets = _sets(texts, near.select("id", "key", "node"))
+        links = _verified(grouped, sets)
         labels = stored(components(links))
+        for r in range(1, STAR_ROUNDS):
+            pairs = _stars(near, labels, r)
+            if pairs.isEmpty():
+                break
+            links = links.unionByName(_verified(pairs, sets))
+            labels = stored(components(links))
     if labels is None:
         labels = spark.createDataFrame([], "id bigint, root bigint")
     where = nodes.select("id", "key", "node").join(labels, "id", "left").select("id", "key", "node", F.coalesce("root", "id").alias("root"))
     work = texts.join(where, "key")
     parts = max(8, 4 * partitions(spark))
-    pairs = _candidates(stored(_postings(work, _expensive(work), parts)))
+    pairs = _candidates(stored(_postings(work, _expensive(work, parts), parts)))
     if not pairs.isEmpty():
         ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
         found = _verified(pairs, _sets(texts, nodes.join(ends, "id", "left_semi").select("id", "key", "node")))
