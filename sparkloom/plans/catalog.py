@@ -1,10 +1,496 @@
-"""The queries of the library over the driver's tables, each with DuckDB SQL where SQL can express it."""
+"""The queries of the library over the driver's tables, each with DuckDB SQL where SQL can express it.
+
+Tables stand for the library's data model: documents are records (doc_id the ordinal, source the family), user turns with the
+assistant turns that follow them are instruction and response pairs (conv_id the family), benchmark is the exclusion set, labels
+scores quality, pages is text that isn't Python, and events is a metrics log and a stream.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import contamination, curves, dedup, generate, packing, sampling, sandbox, splits, stats, tokens, validate
+from ..streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Normal forms in DuckDB; the tables hold no white space but spaces and line feeds.
+NORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+PAIRS = """pairs AS (
+  SELECT conv_id, turn, text AS instruction, answer AS response FROM (
+    SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  ) WHERE role = 'user' AND next_role = 'assistant')"""
+SHINGLES = f"""words AS (SELECT doc_id, source, string_split({NORM.format("text")}, ' ') AS w FROM documents WHERE {NORM.format("text")} <> ''),
+  sets AS (SELECT doc_id, source, list_distinct(CASE WHEN len(w) <= 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM words),
+  sh AS (SELECT doc_id, source, len(s) AS n, unnest(s) AS s FROM sets)"""
+PAIR_COUNTS = f"""{SHINGLES}, counted AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, any_value(x.source) AS sa, any_value(y.source) AS sb, count(*) AS common
+  FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, instruction, response: user turns that an assistant turn follows at once."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    held = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(w), "response": F.lead("text").over(w)})
+    return held.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("instruction"), "response")
+
+
+def shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.shingled(table(spark, sf_dir, "documents"), F.col("text"), "doc_id", "source")
+
+
+# --- keys and normal forms -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT lang, count(*) AS documents, sum(length(text)) AS chars, sum(strlen(text)) AS bytes FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY {NORM.format('text')}) GROUP BY lang")
+def dedup_language_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = dedup.exact_dedup(table(spark, sf_dir, "documents"), T.digest(T.dedup_form(F.col("text"))), "doc_id")
+    return stats.corpus_stats(first, F.col("text"), "lang").drop("lines")
+
+
+@query(f"SELECT doc_id, sha256({NORM.format('text')}) AS digest FROM documents")
+def text_norm_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.digest(T.dedup_form(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace({NORM.format('text')}, '\\d+', '<NUM>', 'g')) AS template FROM documents")
+def template_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.digest(T.template_form(F.col("text"))).alias("template"))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, regexp_replace(regexp_replace({NORM.format('instruction')}, '\\d+', '<NUM>', 'g'), 'solve_[a-z0-9_]+_(?:train|validation|challenge)_\\d+', '<FUNCTION>', 'g') AS template FROM pairs")
+def masked_template_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("conv_id", "turn", T.masked_template(F.col("instruction")).alias("template"))
+
+
+_PLAIN = "trim(regexp_replace(regexp_replace(lower(line), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_RULES = " ".join(f"WHEN {' AND '.join(f"contains(p, '{t}')" for t in terms)} THEN '{name}'" for name, terms in T.FAMILY_RULES)
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(p, '\\b(?:odd|even)\\b') THEN 'odd_even' {_RULES} ELSE 'family_' || left(sha256(p), 16) END AS family FROM (SELECT doc_id, {_PLAIN} AS p FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents))")
+def family_id_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.family_id(F.substring_index("text", "\n", 1)).alias("family"))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, 'py_' || left(sha256('code_generation' || chr(10) || instruction || chr(10) || '' || chr(10) || response), 20) AS id FROM pairs")
+def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("conv_id", "turn", T.stable_id(F.lit("code_generation"), F.col("instruction"), F.lit(""), F.col("response")).alias("id"))
+
+
+_RAW_NAMES = ["linked-list", "Dict ", "strings", "Object_Oriented", "dynamic programming", "data structures", "code completion", "nonsense", "OOP", "linked list"]
+
+
+@query(
+    "WITH v(raw) AS (VALUES " + ", ".join(f"('{x}')" for x in _RAW_NAMES) + "), a(alias, name) AS (VALUES " + ", ".join(f"('{a}', '{n}')" for a, n in T.CATEGORY_ALIASES.items()) + "), "
+    "n AS (SELECT raw, coalesce(name, replace(replace(lower(trim(raw)), '/', '_'), ' ', '_')) AS k FROM v LEFT JOIN a ON alias = replace(lower(trim(raw)), '/', '_')) "
+    "SELECT raw, CASE WHEN k IN (" + ", ".join(f"'{c}'" for c in T.CATEGORIES) + ") THEN k END AS category FROM n"
+)
+def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, _RAW_NAMES))).alias("raw")).select("raw", T.category(F.col("raw")).alias("category"))
+
+
+# --- deduplication ---------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY {NORM.format('text')})")
+def exact_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_dedup(table(spark, sf_dir, "documents"), T.digest(T.dedup_form(F.col("text"))), "doc_id").select("doc_id")
+
+
+_KINDS = {"exact": "text", "norm": NORM.format("text"), "template": f"regexp_replace({NORM.format('text')}, '\\d+', '<NUM>', 'g')"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS rows, count(DISTINCT {e}) AS distinct_keys, count(*) - count(DISTINCT {e}) AS surplus FROM documents" for k, e in _KINDS.items()))
+def dup_surplus_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return stats.distinct_counts(table(spark, sf_dir, "documents"), {"exact": T.digest(text), "norm": T.digest(T.dedup_form(text)), "template": T.digest(T.template_form(text))})
+
+
+@query(f"WITH {PAIRS}, o AS (SELECT *, conv_id * 1000 + turn AS ordinal FROM pairs) SELECT ordinal, ordinal > min(ordinal) OVER (PARTITION BY {NORM.format('instruction')}) AS has_earlier_instruction, ordinal > min(ordinal) OVER (PARTITION BY {NORM.format('response')}) AS has_earlier_code FROM o")
+def instruction_code_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = pairs(spark, sf_dir).withColumn("ordinal", F.col("conv_id") * 1000 + F.col("turn"))
+    keys = {"instruction": T.digest(T.dedup_form(F.col("instruction"))), "code": T.digest(T.dedup_form(F.col("response")))}
+    return dedup.earlier_flags(held, keys, "ordinal").select("ordinal", "has_earlier_instruction", "has_earlier_code")
+
+
+@query(f"WITH {SHINGLES} SELECT doc_id, any_value(n) AS n FROM sh GROUP BY doc_id")
+def shingle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingled(spark, sf_dir).select("doc_id", F.col("n").cast("bigint").alias("n"))
+
+
+@query(f"WITH {PAIR_COUNTS} SELECT a, b, common, na, nb FROM counted WHERE common * 10 >= (na + nb - common) * 9")
+def near_pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_pairs(shingled(spark, sf_dir), "doc_id", 9, 10)
+
+
+@query(f"WITH {PAIR_COUNTS} SELECT a, b, common, na, nb FROM counted WHERE common * 10 >= (na + nb - common) * 8 AND sa = sb")
+def near_pairs_same_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_pairs(shingled(spark, sf_dir), "doc_id", 8, 10, same="source")
+
+
+@query(
+    f"WITH {PAIR_COUNTS} SELECT count(*) AS pairs, count(*) FILTER (common * 100 >= (na + nb - common) * 80) AS gte_0_80, count(*) FILTER (common * 100 >= (na + nb - common) * 90) AS gte_0_90, "
+    "count(*) FILTER (common * 100 >= (na + nb - common) * 95) AS gte_0_95, count(*) FILTER (common * 100 >= (na + nb - common) * 99) AS gte_0_99, round(max(common / (na + nb - common)), 9) AS max_similarity, round(avg(common / (na + nb - common)), 9) AS mean_similarity "
+    "FROM counted WHERE common * 2 >= (na + nb - common)"
+)
+def similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = stats.similarity_audit(dedup.near_pairs(shingled(spark, sf_dir), "doc_id", 1, 2))
+    return row.withColumns({c: F.round(c, 9) for c in ("max_similarity", "mean_similarity")})
+
+
+@query(f"WITH {SHINGLES} SELECT size, count(*) AS shingles FROM (SELECT count(*) AS size FROM sh GROUP BY s) GROUP BY size")
+def posting_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.posting_sizes(shingled(spark, sf_dir))
+
+
+@query(
+    f"WITH RECURSIVE {PAIR_COUNTS}, edges AS MATERIALIZED (SELECT a, b FROM counted WHERE common * 10 >= (na + nb - common) * 9), ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents), "
+    "greedy(r, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.r + 1, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.b = i.doc_id AND list_contains(g.kept, e.a)) THEN g.kept ELSE list_append(g.kept, i.doc_id) END FROM greedy g JOIN ids i ON i.r = g.r + 1) "
+    "SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM greedy ORDER BY r DESC LIMIT 1)"
+)
+def near_dedup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = shingled(spark, sf_dir)
+    near = dedup.near_pairs(held, "doc_id", 9, 10)
+    return dedup.greedy_keep(table(spark, sf_dir, "documents"), near, "doc_id").where("kept").select("doc_id")
+
+
+@query()
+def near_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = pairs(spark, sf_dir).withColumn("ordinal", F.col("conv_id") * 1000 + F.col("turn"))
+    return dedup.near_dedup(held, "instruction", "response", "ordinal").select("ordinal", "kept", "drop_reason")
+
+
+# --- contamination ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, sha256(lower(trim(d.text))) IN (SELECT sha256(lower(trim(text))) FROM benchmark) OR d.doc_id::VARCHAR IN (SELECT item_id::VARCHAR FROM benchmark WHERE item_id < 0) AS excluded FROM documents d")
+def benchmark_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = table(spark, sf_dir, "benchmark").select(F.lit("instruction").alias("kind"), T.digest(F.lower(T.strip(F.col("text")))).alias("key"))
+    held = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("").alias("response"))
+    return validate.excluded(held, sets, "doc_id", "text", "response").select("doc_id", "excluded")
+
+
+@query("SELECT doc_id AS id, item_id AS item FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.containments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+_SLOT = "('0x' || left(sha256('42' || source), 8))::BIGINT % 100"
+_SPLIT = "CASE WHEN slot < {0} THEN 'train' WHEN slot < {1} THEN 'validation' ELSE 'test' END"
+
+
+@query(
+    "WITH d AS (SELECT *, ('0x' || left(sha256('42' || doc_id::VARCHAR), 8))::BIGINT % 100 AS slot FROM documents), "
+    f"k AS (SELECT DISTINCT {_SPLIT.format(60, 80)} AS split, unnest([{{'kind': 'norm', 'key': {NORM.format('text')}}}, {{'kind': 'template', 'key': regexp_replace({NORM.format('text')}, '\\d+', '<NUM>', 'g')}}, {{'kind': 'opening', 'key': left({NORM.format('text')}, 20)}}]) AS x FROM d) "
+    "SELECT l.split AS left_split, r.split AS right_split, l.x.kind AS kind, count(*) AS shared FROM k l JOIN k r ON l.x = r.x AND l.split < r.split GROUP BY ALL"
+)
+def split_overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = splits.hash_split(table(spark, sf_dir, "documents"), "doc_id", percent=(60, 80))
+    text = F.col("text")
+    return contamination.overlap_matrix(held, "split", {"norm": T.dedup_form(text), "template": T.template_form(text), "opening": F.substring(T.dedup_form(text), 1, 20)})
+
+
+@query(f"WITH h AS (SELECT {NORM.format('text')} AS k FROM benchmark UNION ALL SELECT {NORM.format('text')} FROM conversations) SELECT count(DISTINCT {NORM.format('text')}) AS shared FROM documents WHERE {NORM.format('text')} IN (SELECT k FROM h)")
+def history_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = table(spark, sf_dir, "benchmark").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
+    return contamination.overlap(table(spark, sf_dir, "documents"), history, T.digest(T.dedup_form(F.col("text"))))
+
+
+# --- splits ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH c AS (SELECT DISTINCT source FROM documents), s AS (SELECT source, {_SLOT} AS slot FROM c) SELECT doc_id, {_SPLIT.format(90, 95)} AS split FROM documents JOIN s USING (source)")
+def hash_family_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.hash_split(table(spark, sf_dir, "documents"), "source").select("doc_id", "split")
+
+
+@query()
+def family_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.family_split(table(spark, sf_dir, "conversations"), "conv_id", "conv_id", mode="python").select("conv_id", "turn", "split")
+
+
+@query("WITH d AS (SELECT source, ('0x' || left(sha256('42' || doc_id::VARCHAR), 8))::BIGINT % 100 AS slot FROM documents) SELECT source, count(DISTINCT " + _SPLIT.format(90, 95) + ") AS splits FROM d GROUP BY source HAVING splits > 1")
+def family_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.leakage(splits.hash_split(table(spark, sf_dir, "documents"), "doc_id"), "source")
+
+
+@query("SELECT conv_id, size, row_number() OVER (ORDER BY size, conv_id) AS rank FROM (SELECT conv_id, count(*) AS size FROM conversations GROUP BY conv_id) QUALIFY rank <= 2")
+def smallest_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.smallest_families(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+# --- statistics ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT lang, count(*) AS documents, sum(length(text)) AS chars, sum(strlen(text)) AS bytes, sum(length(text) - length(replace(text, chr(10), '')) + 1) AS lines FROM documents GROUP BY lang")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.corpus_stats(table(spark, sf_dir, "documents"), F.col("text"), "lang")
+
+
+@query(
+    f"WITH {PAIRS} SELECT count(*) AS total, round(coalesce(avg(length(instruction)), 0), 6) AS avg_instruction_chars, coalesce(min(length(instruction)), 0) AS min_instruction_chars, coalesce(max(length(instruction)), 0) AS max_instruction_chars, "
+    "round(coalesce(avg(length(response)), 0), 6) AS avg_response_chars, coalesce(min(length(response)), 0) AS min_response_chars, coalesce(max(length(response)), 0) AS max_response_chars, 'prototype_only' AS size_class FROM pairs"
+)
+def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = stats.dataset_statistics(pairs(spark, sf_dir), F.col("instruction"), F.col("response"))
+    return row.withColumns({c: F.round(c, 6) for c in ("avg_instruction_chars", "avg_response_chars")})
+
+
+_DIMS = {"lang": "lang", "source": "source", "quality": "quality", "toxic": "toxic"}
+
+
+@query("WITH j AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{d}' AS dim, coalesce({c}::VARCHAR, 'unknown') AS value, count(*) AS n FROM j GROUP BY ALL" for d, c in _DIMS.items()))
+def multi_dim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return stats.dimension_counts(held, {d: F.col(c) for d, c in _DIMS.items()})
+
+
+@query("SELECT CASE WHEN quality >= 1 THEN '1.0' WHEN quality >= 0.8 THEN '0.8' ELSE '0.5_or_lower' END AS bucket, count(*) AS n FROM labels GROUP BY ALL")
+def quality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.quality_histogram(table(spark, sf_dir, "labels"), F.col("quality"))
+
+
+@query("SELECT count(*) AS families, median(n)::DOUBLE AS median_rows, max(n) AS max_rows FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)")
+def family_size_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.family_profile(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+_Q = (0.5, 0.9, 0.95, 0.99)
+
+
+@query(" UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, round(quantile_cont(n_chars, {q}), 6) AS value FROM documents" for q in _Q))
+def length_quantiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.linear_quantiles(table(spark, sf_dir, "documents"), "n_chars", list(_Q)).withColumn("value", F.round("value", 6))
+
+
+@query("WITH s AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS r, count(*) OVER () AS n FROM documents) " + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, n_chars AS value FROM s WHERE r = floor((n - 1) * {q}::DOUBLE) + 1" for q in _Q))
+def length_quantiles_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.lower_quantiles(table(spark, sf_dir, "documents"), "n_chars", list(_Q))
+
+
+@query(f"WITH t AS (SELECT len(string_split({NORM.format('text')}, ' ')) AS w FROM documents) " + " UNION ALL ".join(f"SELECT {k} AS length, count(*) FILTER (w > {k}) AS truncated, coalesce(sum(greatest(0, {k} - w)), 0)::BIGINT AS padding, round(count(*) FILTER (w > {k}) / count(*), 9) AS rate FROM t" for k in stats.CANDIDATES))
+def sequence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "documents").select(F.greatest(F.lit(1), F.size(T.words(F.col("text")))).alias("w"))
+    return stats.sequence_candidates(held, "w").withColumn("rate", F.round("rate", 9))
+
+
+@query(f"WITH {PAIRS}, a AS (SELECT count(*) AS n, sum(length(instruction) + length(response)) AS t, sum(length(response)) AS s FROM pairs) SELECT p::INT AS passes, (ceil(n / 8) * p)::BIGINT AS updates, (t * p)::BIGINT AS tokens_seen, (s * p)::BIGINT AS supervised_seen FROM a, range(1, 7) r(p)")
+def budget_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = pairs(spark, sf_dir).select((F.length("instruction") + F.length("response")).alias("t"), F.length("response").alias("s"))
+    return stats.budget(held, "t", "s")
+
+
+@query(f"WITH g AS (SELECT {NORM.format('text')} AS t, count(*) AS c FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT sum(c)::BIGINT AS n, round(count(*) / sum(c), 9) AS unique_rate, (sum(c) - count(*))::BIGINT AS surplus, count(DISTINCT left(t, 80)) <= 1 AS prefix_collapse FROM g")
+def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return stats.generation_summary(held, F.col("text")).withColumn("unique_rate", F.round("unique_rate", 9))
+
+
+@query(
+    "WITH e AS (SELECT event_id, value FROM events WHERE value IS NOT NULL) SELECT count(*) AS n, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last, min(value) AS best, (SELECT min(event_id) FROM e WHERE value = (SELECT min(value) FROM e)) AS best_step, "
+    "(SELECT round(avg(value), 6) FROM (SELECT value FROM e ORDER BY event_id DESC LIMIT 20)) AS recent_mean, arg_max(value, event_id) < arg_min(value, event_id) AS improved FROM e"
+)
+def progress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.progress_summary(table(spark, sf_dir, "events"), "event_id", "value").withColumn("recent_mean", F.round("recent_mean", 6))
+
+
+@query(f"SELECT {NORM.format('text')} AS value, count(*) AS n, min(conv_id * 1000 + turn) AS first FROM conversations WHERE role = 'assistant' GROUP BY 1 ORDER BY n DESC, first LIMIT 10")
+def top_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("ordinal", F.col("conv_id") * 1000 + F.col("turn"))
+    return stats.top_values(held, T.dedup_form(F.col("text")), "ordinal")
+
+
+# --- gates -----------------------------------------------------------------------------------------------------------
+
+_SECRET = " OR ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "')" for p in validate.SECRET_PATTERNS)
+_SPLITLINES = r"len(string_split(regexp_replace(regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e]', chr(10), 'g'), '\n$', ''), chr(10)))"
+
+
+@query(
+    f"SELECT coalesce(CASE WHEN excluded THEN 'benchmark_exclusion' WHEN {_SECRET} THEN 'secret_detected' WHEN length(text) < 10 THEN 'too_short' WHEN length(text) > 12000 OR {_SPLITLINES} > 300 THEN 'too_long' END, 'accepted') AS reason, count(*) AS n "
+    "FROM (SELECT text, sha256(lower(trim(text))) IN (SELECT sha256(lower(trim(text))) FROM benchmark) AS excluded FROM documents) GROUP BY 1"
+)
+def reject_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = table(spark, sf_dir, "benchmark").select(F.lit("instruction").alias("kind"), T.digest(F.lower(T.strip(F.col("text")))).alias("key"))
+    held = validate.excluded(table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("").alias("none")), sets, "doc_id", "text", "none")
+    reason = validate.reject_reason(F.col("excluded"), F.lit("the document, in full"), F.col("text"))
+    return held.groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+_FOREIGN = " OR ".join(f"contains(lower(html), '{m}')" for m in (*validate.FOREIGN_MARKERS, "<html"))
+_HOLDER = " OR ".join(f"contains(lower(html), '{m}')" for m in validate.PLACEHOLDERS)
+
+
+@query(f"SELECT page_id, {_FOREIGN} AS non_python, {_HOLDER} OR regexp_matches(lower(html), '\\btodo\\b') AS placeholder FROM pages")
+def non_python_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", validate.non_python(F.col("html")).alias("non_python"), validate.placeholder(F.col("html")).alias("placeholder"))
+
+
+_SNIPPETS = ["```python\nx = 1\n```", "say ```a``` or ```py\nlonger\n```", "text\nimport os\nprint(1)", "no code here", "```\none\n``` and ```\ntwo\n```"]
+
+
+@query(
+    "WITH v(k, t) AS (VALUES " + ", ".join("(" + str(k) + ", '" + s.replace("\n", "' || chr(10) || '") + "')" for k, s in enumerate(_SNIPPETS)) + "), "
+    "b AS (SELECT k, t, regexp_extract_all(t, '(?is)```(?:python|py)?\\s*\\n?(.*?)```', 1) AS blocks, regexp_extract(t, '(?ms)^(?:from\\s+\\w+|import\\s+\\w+|def\\s+\\w+|class\\s+\\w+|if\\s+__name__\\s*==|if\\s+|for\\s+|while\\s+|print\\s*\\(|[A-Za-z_]\\w*\\s*=).*') AS rest FROM v) "
+    "SELECT k, CASE WHEN len(blocks) > 0 THEN trim((list_filter(blocks, lambda x: length(x) = list_max(list_transform(blocks, lambda y: length(y)))))[1], ' ' || chr(10)) WHEN rest <> '' THEN trim(rest, ' ' || chr(10)) END AS code FROM b"
+)
+def code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.range(1).select(F.posexplode(F.array(*map(F.lit, _SNIPPETS))).alias("k", "t"))
+    return rows.select("k", T.extract_code(F.col("t")).alias("code"))
+
+
+@query("WITH c(name, passed) AS (SELECT 'no_null_text', count(*) FILTER (text IS NULL) = 0 FROM documents UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'lengths_match', bool_and(n_chars = length(text)) FROM documents) SELECT CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS status, count(*) FILTER (NOT passed) AS n_failed FROM c")
+def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = table(spark, sf_dir, "documents").agg((F.count_if(F.col("text").isNull()) == 0).alias("no_null_text"), (F.count("*") == F.count_distinct("doc_id")).alias("unique_ids"), F.bool_and(F.col("n_chars") == F.length("text")).alias("lengths_match"))
+    return stats.gate(row.unpivot([], row.columns, "name", "passed")).select("status", F.size("failed").cast("bigint").alias("n_failed"))
+
+
+# --- documents, masks, windows ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, sha256('### User' || chr(10) || trim(instruction) || chr(10) || chr(10) || '### Assistant' || chr(10)) AS prefix, sha256(response) AS answer, sha256('### User' || chr(10) || instruction || chr(10) || chr(10) || '### Assistant' || chr(10)) AS prompt FROM pairs")
+def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = T.sft_parts(T.training_document(T.strip(F.col("instruction")), F.lit(""), F.col("response")))
+    held = pairs(spark, sf_dir).withColumns({"p": parts, "prompt": T.evaluation_prompt(F.col("instruction"), F.lit(""))})
+    return held.select("conv_id", "turn", T.digest(F.col("p.prefix")).alias("prefix"), T.digest(F.col("p.answer")).alias("answer"), T.digest(F.col("prompt")).alias("prompt"))
+
+
+_IDS = "list_transform(string_split({0}, ' '), lambda w: 10 + length(w))"
+_L = 64
+
+
+@query(
+    f"WITH {PAIRS}, t AS (SELECT conv_id, turn, list_concat([1], {_IDS.format('instruction')}) AS p, list_concat({_IDS.format('response')}, [2]) AS a FROM pairs), "
+    f"c AS (SELECT conv_id, turn, len(p) + len(a) > {_L + 1} AS truncated, {_L + 1} - len(a) AS room, p, a FROM t), "
+    f"k AS (SELECT conv_id, turn, truncated, CASE WHEN NOT truncated THEN p WHEN room <= 0 THEN [] WHEN room = 1 THEN p[1:1] ELSE list_concat(p[1:1], p[len(p) - room + 2:]) END AS p, CASE WHEN truncated AND room <= 0 THEN a[len(a) - {_L}:] ELSE a END AS a FROM c) "
+    "SELECT conv_id, turn, truncated, len(p)::INT AS prompt_length, len(a)::INT AS answer_length, coalesce(list_sum(p), 0)::BIGINT + coalesce(list_sum(a), 0)::BIGINT AS id_sum, (-100 * len(p))::BIGINT + coalesce(list_sum(a), 0)::BIGINT AS label_sum FROM k"
+)
+def sft_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lambda c: F.transform(F.split(c, " "), lambda w: F.length(w) + 10)
+    held = pairs(spark, sf_dir).withColumn("e", packing.sft_encoding(ids(F.col("instruction")), ids(F.col("response")), _L))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return held.select("conv_id", "turn", "e.truncated", "e.prompt_length", "e.answer_length", total(F.col("e.input_ids")).alias("id_sum"), total(F.col("e.labels")).alias("label_sum"))
+
+
+@query("SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents")
+def offsets_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.offsets(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", F.col("n_chars")).select("doc_id", "start")
+
+
+@query("WITH s AS (SELECT conv_id, list(length(text) ORDER BY turn) AS ids FROM conversations GROUP BY conv_id), w AS (SELECT conv_id, ids, unnest(range(0, len(ids) - 2)) AS i FROM s WHERE len(ids) > 2) SELECT conv_id, i::INT AS index, array_to_string(ids[i + 1:i + 2], ',') AS x, array_to_string(ids[i + 2:i + 3], ',') AS y, (i // 3)::BIGINT AS batch FROM w")
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
+    each = turns.select("conv_id", F.explode(packing.windows(F.transform("t", lambda x: x["n"]), 2)).alias("w"))
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return each.select("conv_id", "w.index", shown("w.x").alias("x"), shown("w.y").alias("y"), packing.batch_of(F.col("w.index"), 3).alias("batch"))
+
+
+@query("SELECT unnest(['has_ignored', 'has_supervised', 'ids_in_range', 'labels_match', 'same_length']) AS name, true AS passed")
+def cache_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lambda c: F.transform(F.split(c, " "), lambda w: F.length(w) + 10)
+    held = pairs(spark, sf_dir).select(packing.sft_encoding(ids(F.col("instruction")), ids(F.col("response")), 256).alias("e")).select("e.*")
+    return packing.cache_checks(held, "input_ids", "labels")
+
+
+# --- tokens ----------------------------------------------------------------------------------------------------------
+
+
+@query()
+def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pretoken_counts(table(spark, sf_dir, "documents"), "text")
+
+
+@query()
+def bpe_encode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "conversations")
+    spec = tokens.train_bpe(docs, "text", vocabulary=600)
+    return stats.token_metrics(docs.withColumn("ids", tokens.encode(spec, 1, 2)("text")), F.col("text"), F.col("ids"))
+
+
+# --- generation and execution ----------------------------------------------------------------------------------------
+
+_ALLOCATED = ", ".join(f"('{c}', {k}, {sum(list(generate.allocation(5000).values())[:k])}, {n}, {[*generate.BLUEPRINTS[c].split()]})" for k, (c, n) in enumerate(generate.allocation(5000).items()))
+
+
+@query(
+    f"WITH c(category, k, first, n, prints) AS (VALUES {_ALLOCATED}), g AS (SELECT first + r AS ordinal, category, r // 25 AS family_index, r % 25 AS variant, prints FROM c, range(0, 5000) t(r) WHERE r < n), "
+    "b AS (SELECT *, prints[family_index % len(prints) + 1] AS blueprint FROM g) SELECT ordinal, category, blueprint, family_index, variant, category || '/' || blueprint || '/' || lpad(family_index::VARCHAR, 4, '0') AS family_id, "
+    "CASE WHEN (family_index + variant) % 20 < 9 THEN 'easy' WHEN (family_index + variant) % 20 < 17 THEN 'medium' ELSE 'hard' END AS difficulty, category || '_' || blueprint || '_v1' AS template_id, 'variant_' || lpad(variant::VARCHAR, 2, '0') AS variant_id FROM b"
+)
+def generated_tasks_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.grid(spark, 5000)
+
+
+@query()
+def generated_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.tasks(spark, 2000)
+
+
+@query()
+def syntax_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.tasks(spark, 2000).select("id", validate.syntax_valid("response").alias("syntax_valid"), validate.code_errors("response").alias("errors"))
+
+
+@query()
+def functional_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = generate.tasks(spark, 95, partitions=8)
+    return sandbox.functional_audit(tasks.withColumn("outcome", sandbox.tested(seconds=20.0, tolerant=True)("response", "function_name", "test_cases")))
+
+
+# --- curves, samples, streams ----------------------------------------------------------------------------------------
+
+
+@query("SELECT s AS step, round(CASE WHEN s < 100 THEN 0.0003 * s / 100 ELSE 0.00003 + (0.0003 - 0.00003) * 0.5 * (1 + cos(pi() * least(1, (s - 100) / 1900))) END, 12) AS rate FROM range(0, 2001) t(s)")
+def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.schedule(spark, 2000, 3e-4, 3e-5, 100).withColumn("rate", F.round("rate", 12))
+
+
+@query("SELECT unnest(['embedding', 'attention', 'feed_forward', 'norms', 'total']) AS part, unnest([24576000, 56623104, 120324096, 37632, 201560832]::BIGINT[]) AS parameters")
+def param_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.parameter_breakdown(spark)
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('42:' || doc_id::VARCHAR), doc_id LIMIT 100")
+def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample(table(spark, sf_dir, "documents"), "doc_id", 100).select("doc_id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('42:3:' || doc_id::VARCHAR), doc_id) - 1 AS place, (row_number() OVER (ORDER BY sha256('42:3:' || doc_id::VARCHAR), doc_id) - 1) // 8 AS batch FROM documents")
+def epoch_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.epoch(table(spark, sf_dir, "documents"), "doc_id", 42, 3, 8)
+
+
+@query("SELECT lang, source FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang, source FROM documents WHERE doc_id % 2 = 1")
+def shared_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return sampling.shared(d.where("doc_id % 2 = 0").select("lang", "source"), d.where("doc_id % 2 = 1").select("lang", "source"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
+def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = incremental.tumbling(incremental.events(spark, sf_dir))
+    return incremental.drained(result, "events_tumbling", "complete").withColumns({"total": F.round("total", 6), "start": F.col("start").cast("timestamp_ntz")})
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def events_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.drained(incremental.events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")), "events_stream_counts", "complete")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -26,3 +29,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     spark = configured(builder, **{"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.driver.memory": memory}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def materialised(df):
+    """df written and read again, in the folder that spark.checkpoint.dir names: lineage ends, and any executor can go on from there."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
