@@ -43,14 +43,17 @@ def containments(df: DataFrame, benchmark: DataFrame, id_: str, item: str, text:
     Items of fewer than three words are no evidence and don't count; those too short for a run are looked up by one word.
     """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    b = benchmark.select(F.col(item).alias("item"), F.col(text).alias("needle")).withColumn("w", split(F.col("needle"))).where("size(w) >= 3")
-    d = df.select(F.col(id_).alias("id"), F.col(text).alias("hay")).withColumn("w", split(F.col("hay")))
+    # words come from a generator, so that they are worked out once and not again for each run
+    held = lambda t, *c: t.select(*c, F.inline(F.array(F.struct(split(F.col(text)).alias("w")))))
+    b = held(benchmark, F.col(item).alias("item"), F.col(text).alias("needle")).where("size(w) >= 3")
+    d = held(df, F.col(id_).alias("id"), F.col(text).alias("hay"))
     run = lambda c, i, k: F.xxhash64(F.concat_ws(" ", F.slice(c, i, k)))
     found = []
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: run(F.col("w"), i, k))
     for k, own in ((words, b.where(F.size("w") >= words + 2)), (1, b.where(F.size("w") < words + 2))):
         # the first and last words of an item may be parts of longer words in the text: the run is taken from its inside
         keys = own.select("item", "needle", run(F.col("w"), F.lit(2), k).alias("run"))
-        each = d.where(F.size("w") >= k).select("id", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i, k=k: run(F.col("w"), i, k)))).alias("run"))
+        each = d.where(F.size("w") >= k).select("id", "hay", F.explode(F.array_distinct(runs(k))).alias("run"))
         found.append(each.join(keys, "run").where(F.contains("hay", "needle")).select("id", "item"))
     return found[0].unionByName(found[1]).distinct()
 

@@ -34,9 +34,13 @@ def stream(df: DataFrame, ids: str, start: str = "start") -> DataFrame:
 
 def windows(ids: Column, length: int, stride: int = 1) -> Column:
     """Training windows of a stream: index, x and y (x shifted by one)."""
-    n = F.size(ids) - length
-    at = lambda i: F.struct(i.alias("index"), F.slice(ids, i + 1, length).alias("x"), F.slice(ids, i + 2, length).alias("y"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(stride)), at)).otherwise(F.array())
+
+    def of(held: Column) -> Column:
+        n = F.size(held) - length
+        at = lambda i: F.struct(i.alias("index"), F.slice(held, i + 1, length).alias("x"), F.slice(held, i + 2, length).alias("y"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(stride)), at)).otherwise(F.array())
+
+    return F.get(F.transform(F.array(ids), of), F.lit(0))
 
 
 def batch_of(index: Column, size: int) -> Column:
