@@ -190,6 +190,12 @@ def _stars(nodes: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame
     return stored(best.select("x", "common", F.explode("best.y").alias("y")))
 
 
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels after new links (x, y): x takes y's label if that is smaller. Equal labels mean linked nodes; the rounds need no more than that."""
+    better = found.join(labels, found["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("better"))
+    return stored(labels.join(better, labels["id"] == better["x"], "left").select("id", F.least("root", "better").alias("root")))
+
+
 def _expensive(work: DataFrame, parts: int) -> np.ndarray:
     """Tokens that EXPENSIVE labels or more have near their sets' beginnings, counted over one text for each label; a table of fixed size at most."""
 
@@ -319,13 +325,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         near = stored(nodes.join(ends, "id"))
         sets = _sets(texts, near.select("id", "key", "node"))
         links = _verified(grouped, sets)
-        labels = stored(components(links))
+        labels = _relabelled(near.select("id", F.col("id").alias("root")), links)
         for r in range(1, STAR_ROUNDS):
             pairs = _stars(near, labels, r)
             if pairs.isEmpty():
                 break
-            links = links.unionByName(_verified(pairs, sets))
-            labels = stored(components(links))
+            found = _verified(pairs, sets)
+            links = links.unionByName(found)
+            labels = _relabelled(labels, found)
+        labels = stored(components(links))
     if labels is None:
         labels = spark.createDataFrame([], "id bigint, root bigint")
     where = nodes.select("id", "key", "node").join(labels, "id", "left").select("id", "key", "node", F.coalesce("root", "id").alias("root"))
