@@ -1,6 +1,7 @@
 """The pipeline's stages against plain Python on a small corpus."""
 
 import random
+import re
 
 import corpus_pipeline as P
 from sparkloom.llm._common import stored
@@ -15,7 +16,7 @@ def corpus():
     for i in range(120):
         lang = rnd.choice(list(SAY))
         rows.append([i, " ".join(rnd.choice(SAY[lang].split()) for _ in range(rnd.randint(20, 60))), lang])
-    rows += [[200, rows[3][1], "en"], [201, rows[4][1].upper(), None], [202, "12345 ...", "en"], [203, None, None], [204, "mail ann@example.com the other thing over there", "en"], [None, "the thing without an id and with words", "en"]]
+    rows += [[200, rows[3][1], "en"], [201, re.sub("[a-z]", lambda m: m[0].upper(), rows[4][1]), None], [202, "12345 ...", "en"], [203, None, None], [204, "mail ann@example.com the other thing over there", "en"], [None, "the thing without an id and with words", "en"]]
     return [(i, t, lang, "s", len(t or "")) for i, t, lang in rows]
 
 
