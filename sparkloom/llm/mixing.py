@@ -28,6 +28,8 @@ WEIGHTS = {"clean": 0.9, "poor": 0.07, "toxic": 0.03}
 PER_DOMAIN = 1500
 #: Telling words for each domain: how many, how many labelled documents must have one, and how much likelier it must be inside than outside.
 TOP, LEAST, LIFT = 50, 8, 5.0
+#: Fixed set: what is cut from the ends of a word.
+_EDGES = "0123456789.,;:!?\"'()[]{}<>#$%&*@~^|+=/\\_-"
 PULL, MAX_STEPS, TOLERANCE = 0.01, 40, 1e-5
 
 
@@ -40,15 +42,15 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _words (distinct, lower case), _shape (bins) and _tokens (the number of words)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(whole, r"\s+"), lambda w: w != "")
-    share = lambda chars: (F.length(whole) - F.length(F.translate(whole, chars, ""))) / F.greatest(F.length(whole), F.lit(1))
+    share = lambda kind: F.regexp_count(whole, F.lit(kind)) / F.greatest(F.length(whole), F.lit(1))
     step = lambda name, x, bins: F.concat(F.lit(f"{name}:"), F.least(F.lit(9), F.floor(x * bins)).cast("string"))
     with_words = docs.withColumn("_all", words)
     distinct = F.array_distinct("_all")
     return with_words.withColumns(
         {
             "_tokens": F.size("_all").cast("bigint"),
-            "_shape": F.array(step("symbols", share("#$%&*@~^|"), 50), step("capitals", share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20), step("shouts", share("!"), 50), step("variety", F.size(distinct) / F.greatest(F.size("_all"), F.lit(1)), 9)),
-            "_words": F.array_distinct(F.transform(distinct, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")))),
+            "_shape": F.array(step("symbols", share("[#$%&*@~^|]"), 50), step("capitals", share("[A-Z]"), 20), step("shouts", share("!"), 50), step("variety", F.size(distinct) / F.greatest(F.size("_all"), F.lit(1)), 9)),
+            "_words": F.array_distinct(F.transform(distinct, lambda w: F.lower(F.btrim(w, F.lit(_EDGES))))),
         }
     ).drop("_all")
 
@@ -171,11 +173,16 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
 
 def mixing_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, tokens, a posterior for each domain, the likeliest domain and the rate."""
-    mixed, model = mix(docs.select("doc_id", "text"), labels)
+    """One row per document: doc_id, tokens, a posterior for each domain, the likeliest domain and the rate. Texts are read once for the posteriors."""
+    model = train(docs, labels)
+    held = posteriors(docs.select("doc_id", "text"), model).select("doc_id", "_tokens", "_p")
+    if not model.domains:
+        return held.select("doc_id", F.col("_tokens").alias("tokens"), *[F.lit(0.0).alias(f"p_{d}") for d in DOMAINS], F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"))
+    held = stored(held)
+    rates, _, _ = descend(held, model.domains, WEIGHTS, "clean")
     p = {d: F.col("_p")[model.domains.index(d)] if d in model.domains else F.lit(0.0) for d in DOMAINS}
-    best = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("_p", F.array_max("_p")).cast("int")) if model.domains else F.lit(None).cast("string")
-    return mixed.select("doc_id", F.col("_tokens").alias("tokens"), *[c.alias(f"p_{d}") for d, c in p.items()], best.alias("domain"), F.col("_rate").alias("rate"))
+    best = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("_p", F.array_max("_p")).cast("int"))
+    return held.select("doc_id", F.col("_tokens").alias("tokens"), *[c.alias(f"p_{d}") for d, c in p.items()], best.alias("domain"), F.round(rates.of(F.col("_p")), 6).alias("rate"))
 
 
 def sampled(mixed: DataFrame, key: str = "doc_id", slack: float = 0.2) -> DataFrame:
