@@ -48,6 +48,53 @@ def test_near_dedup_matches_a_sequential_pass(spark):
     assert {r.o: r.drop_reason for r in got.collect()} == sequential(rows)
 
 
+def test_near_dedup_of_a_large_group(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for o in range(330):  # near copies by one word at an end or a letter, copies, and others that share a hot opening
+        w = list(base)
+        kind = rnd.random()
+        if kind < 0.5:
+            w[rnd.choice([0, 59])] = f"x{o}"
+        elif kind < 0.7:
+            w[rnd.randrange(60)] += "y"
+        elif kind < 0.9:
+            w = base[:4] + [f"z{rnd.randrange(40)}q{rnd.randrange(9)}" for _ in range(40)]
+        rows.append((o, "w", " ".join(w), f"f{o % 3}"))
+    df = spark.createDataFrame(rows, "o long, i string, r string, f string")
+    expected = sequential([r[:3] for r in rows])
+    assert sum(v is not None for v in expected.values()) > 200
+    for block in (2000, 50):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        assert {r.o: r.drop_reason for r in dedup.near_dedup(df, "i", "r", "o").collect()} == expected
+    got = {r.o: r.drop_reason for r in dedup.near_dedup(df, "i", "r", "o", family="f").collect()}
+    apart = {}  # exact copies count over all families, near ones within each
+    kept, keys = [], set()
+    for o, i, r, f in rows:
+        key, text = norm(i) + "\n" + norm(r), norm(i + "\n" + r)
+        s = shingles(text)
+        near = any(f == k[2] and s & k[0] and max(len(s & k[0]) / len(s | k[0]), difflib.SequenceMatcher(None, text, k[1]).ratio()) >= 0.9 for k in kept)
+        apart[o] = "exact" if key in keys else "near" if near else None
+        if apart[o] is None:
+            kept.append((s, text, f))
+            keys.add(key)
+    assert got == apart
+
+
+def test_common_subsequences_bound_the_ratio():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("abcd é") for _ in range(rnd.randint(0, 90))) for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for c in a:
+            row, above = [0], row
+            for k, d in enumerate(b):
+                row.append(above[k] + 1 if c == d else max(above[k + 1], row[k]))
+        got = dedup.longest_common(a, dedup.places(b), len(b))
+        assert got == row[-1] and 2 * got >= difflib.SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)) - 1e-9
+
+
 def test_containments(spark):
     docs = spark.createDataFrame([(1, "xx one two three four five six seven yy"), (2, "zone two three four five six sevenths"), (3, "one two"), (4, None)], "id long, text string")
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, "two three four"), (3, "one two")], "item long, text string")
