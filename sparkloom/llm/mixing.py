@@ -1,10 +1,12 @@
 """Mixing sources to target weights by soft membership, with DataFrame functions only.
 
 A labelled table gives domains (clean, poor, toxic). A Bernoulli naive Bayes over telling words and shape bins, counted on a bounded
-sample of labelled documents, predicts every document's posterior over the domains. Rates of use r >= 0, one for each document, then
-solve a least squares problem: the expected token totals of the domains, sum r x tokens x posterior, shall meet their targets, with a
-small pull of the rates towards 1. Projected gradient descent does it: a step needs one sum for each domain over all documents, and
-every document takes the same step, clipped at 0, from its own posterior. No rate is kept anywhere but as a function of the posterior.
+sample of labelled documents, predicts every document's posterior over the domains. Of the rates of use r >= 0, one for each document,
+with which the domains' expected token totals, sum r x tokens x posterior, meet their targets, those nearest to 1 are taken. They are
+max(0, 1 - posterior . prices) with one price for each domain. Newton steps find the prices, damped where a whole one doesn't help; a
+step needs sums for each pair of domains over all documents. No rate is kept anywhere but as a function of the posterior. Steps end when
+every domain's total is within TOLERANCE of its target, or when misses in relation to the targets can't be lessened; the misses that
+stay are in the model, and larger ones, as of targets that no rates meet, are logged.
 
 Targets: weights of the domains; the `anchor` domain keeps its token total, which sets the budget. Domains without tokens or labelled
 documents take no part, and the others' weights are scaled up.
@@ -15,9 +17,11 @@ with several labels counts for each. Without labels all rates are 1. Repeated ro
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +32,12 @@ WEIGHTS = {"clean": 0.9, "poor": 0.07, "toxic": 0.03}
 PER_DOMAIN = 1500
 #: Telling words for each domain: how many, how many labelled documents must have one, and how much likelier it must be inside than outside.
 TOP, LEAST, LIFT = 50, 8, 5.0
-#: Fixed set: what is cut from the ends of a word.
+#: Fixed set: what is cut from the ends of a word of ASCII; of others all that is no letter is.
 _EDGES = "0123456789.,;:!?\"'()[]{}<>#$%&*@~^|+=/\\_-"
-PULL, MAX_STEPS, TOLERANCE = 0.01, 40, 1e-5
+#: Pull of the rates towards 1, most steps, and the miss of a domain's total as a share of its target (of what it has, if that is 0).
+PULL, MAX_STEPS, TOLERANCE = 1e-6, 40, 1e-4
+#: Dampings that a step tries in turn.
+DAMPING = (0.0, 1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0)
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -50,18 +57,19 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
         {
             "_tokens": F.size("_all").cast("bigint"),
             "_shape": F.array(step("symbols", share("[#$%&*@~^|]"), 50), step("capitals", share("[A-Z]"), 20), step("shouts", share("!"), 50), step("variety", F.size(distinct) / F.greatest(F.size("_all"), F.lit(1)), 9)),
-            "_words": F.array_distinct(F.transform(distinct, lambda w: F.lower(F.btrim(w, F.lit(_EDGES))))),
+            "_words": F.array_distinct(F.transform(distinct, lambda w: F.lower(F.when(F.octet_length(w) == F.length(w), F.btrim(w, F.lit(_EDGES))).otherwise(F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))))),
         }
     ).drop("_all")
 
 
 @dataclass
 class DomainModel:
-    """Domains that were seen; log prior with all words absent; for each feature the change of each domain's log likelihood."""
+    """Domains that were seen; log prior with all words absent; for each feature the change of each domain's log likelihood; misses of the fit."""
 
     domains: list[str] = field(default_factory=list)
     base: list[float] = field(default_factory=list)
     weight: dict[str, list[float]] = field(default_factory=dict)
+    misses: dict[str, float] = field(default_factory=dict)
 
     def log_likelihood(self, features: Column) -> Column:
         """Array of the domains' log probabilities, up to a constant."""
@@ -123,43 +131,69 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataF
 
 @dataclass
 class Rates:
-    """The steps of the descent: a rate is 1 after none, and each step takes it to max(0, keep x rate - p . direction + pull)."""
+    """The rate of a document is max(0, 1 - posterior . prices)."""
 
-    steps: list[tuple[float, list[float], float]]
+    prices: list[float]
 
     def of(self, p: Column) -> Column:
-        r = F.lit(1.0)
-        for keep, direction, pull in self.steps:
-            r = F.greatest(F.lit(0.0), r * keep - sum(p[k] * F.lit(d) for k, d in enumerate(direction)) + pull)
-        return r
-
-
-def descend(held: DataFrame, domains: list[str], weights: dict[str, float], anchor: str) -> tuple[Rates, list[float], list[float]]:
-    """Projected gradient over stored rows of _tokens and _p: the steps, the targets and the totals that the rates give."""
-    d = range(len(domains))
-    part = lambda k: F.col("_tokens") * F.col("_p")[k]
-    cells = held.agg(*[F.sum(part(k)) for k in d], *[F.sum(part(i) * F.col("_p")[j]) for i in d for j in d], F.sum("_tokens")).first()
-    have, whole = [cells[k] or 0.0 for k in d], float(cells[len(cells) - 1] or 0)
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((p[k] * F.lit(x) for k, x in enumerate(self.prices)), F.lit(0.0)))
+
+
+def fit(held: DataFrame, domains: list[str], weights: dict[str, float], anchor: str) -> tuple[Rates, list[float], list[float]]:
+    """Newton steps over stored rows of _tokens and _p: the rates, the targets and the totals that the rates give."""
+    d, p = range(len(domains)), F.col("_p")
+
+    def sums(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of tokens x rate^2, the totals, and their change with falling prices."""
+        r, t = Rates([float(x) for x in prices]).of(p), F.col("_tokens")
+        on = t * (r > 0).cast("int")
+        held_r = held.select("_p", t.alias("_tokens"), r.alias("_r"), on.alias("_on"))
+        row = held_r.agg(F.sum(t * F.col("_r") * F.col("_r") / 2), *[F.sum(t * F.col("_r") * p[k]) for k in d], *[F.sum(F.col("_on") * p[i] * p[j]) for i in d for j in d]).first()
+        cells = np.array([x or 0.0 for x in row], float)
+        return cells[0], cells[1 : len(domains) + 1], cells[len(domains) + 1 :].reshape(len(domains), len(domains))
+
+    prices = np.zeros(len(domains))
+    half, got, change = sums(prices)
+    have, whole = got, 2 * half
     if not whole:
-        return Rates([]), have, have
+        return Rates([]), list(have), list(have)
     live = [k for k in d if have[k] > 0 and weights.get(domains[k], 0) >= 0]
     a = domains.index(anchor) if anchor in domains and have[domains.index(anchor)] > 0 and weights.get(anchor, 0) > 0 else None
     scale = sum(weights.get(domains[k], 0.0) for k in live) or 1.0
     budget = whole if a is None else have[a] / (weights[anchor] / scale)
-    target = [budget * weights.get(domains[k], 0.0) / scale if k in live else 0.0 for k in d]
-    inverse = [1 / h if h > 0 else 0.0 for h in have]
-    # curvature of the squared relative misses in the metric where a document weighs its tokens; its largest row sum bounds the step
-    curve = max(sum((cells[len(have) + len(have) * i + j] or 0.0) * inverse[i] for j in d) for i in d)
-    eta = 1 / (curve + PULL)
-    rates, got = Rates([]), have
+    target = np.array([budget * weights.get(domains[k], 0.0) / scale if k in live else 0.0 for k in d])
+    root = np.array([1 / math.sqrt(h) if h > 0 else 0.0 for h in have])
+    # a price stands for a miss of PULL x price of the target, so that targets that no rates meet are missed least in relation to them
+    size = np.array([t if t > 0 else h if h > 0 else 1.0 for t, h in zip(target, have)])
+    soft, tied = PULL * size, np.diag(np.where(have > 0, have, 1.0))
+    value = lambda half, x: half + x @ target + x @ (soft * x) / 2  # noqa: E731  convex; the prices minimise it
     for _ in range(MAX_STEPS):
-        miss = [(got[k] - target[k]) * inverse[k] for k in d]
-        rates.steps.append((1 - eta * PULL, [eta * m for m in miss], eta * PULL))
-        new = held.agg(*[F.sum(part(k) * rates.of(F.col("_p"))) for k in d]).first()
-        before, got = got, [new[k] or 0.0 for k in d]
-        if max(abs(x - y) for x, y in zip(got, before)) <= TOLERANCE * whole:
+        ascent = got - target - soft * prices
+        if np.abs(ascent / size).max() <= TOLERANCE / 2:
+            break
+        for damping in DAMPING:
+            step = np.linalg.solve(change + np.diag(soft) + damping * tied, ascent)
+            after = sums(prices + step)
+            if value(after[0], prices + step) <= value(half, prices) - 1e-4 * float(ascent @ step):
+                break
+        else:
             break
-    return rates, target, got
+        prices, (half, got, change) = prices + step, after
+    return Rates([float(x) for x in prices]), list(target), list(got)
+
+
+def missed(domains: list[str], have: np.ndarray, target: np.ndarray, got: np.ndarray) -> dict[str, float]:
+    """For each domain with tokens the miss as a share of its target, or of what it has if that is 0."""
+    return {d: float(abs(g - t) / (t if t > 0 else h)) for d, h, t, g in zip(domains, have, target, got) if h > 0}
+
+
+def fitted(held: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str) -> Rates:
+    """The rates; their misses go into the model, and a miss beyond TOLERANCE is logged."""
+    rates, target, got = fit(held, model.domains, weights, anchor)
+    model.misses = missed(model.domains, np.array(got), np.array(target), np.array(got)) if rates.prices else {}
+    if over := {d: m for d, m in model.misses.items() if m > TOLERANCE}:
+        logging.getLogger(__name__).warning("token totals miss their targets, as shares of them: %s", over)
+    return rates
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, anchor: str = "clean") -> tuple[DataFrame, DomainModel]:
@@ -168,7 +202,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     held = posteriors(docs, model)
     if not model.domains:
         return held.withColumn("_rate", F.lit(1.0)), model
-    rates, _, _ = descend(stored(held.select("_tokens", "_p")), model.domains, weights or WEIGHTS, anchor)
+    rates = fitted(stored(held.select("_tokens", "_p")), model, weights or WEIGHTS, anchor)
     return held.withColumn("_rate", F.round(rates.of(F.col("_p")), 6)), model
 
 
@@ -179,7 +213,7 @@ def mixing_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not model.domains:
         return held.select("doc_id", F.col("_tokens").alias("tokens"), *[F.lit(0.0).alias(f"p_{d}") for d in DOMAINS], F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"))
     held = stored(held)
-    rates, _, _ = descend(held, model.domains, WEIGHTS, "clean")
+    rates = fitted(held, model, WEIGHTS, "clean")
     p = {d: F.col("_p")[model.domains.index(d)] if d in model.domains else F.lit(0.0) for d in DOMAINS}
     best = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("_p", F.array_max("_p")).cast("int"))
     return held.select("doc_id", F.col("_tokens").alias("tokens"), *[c.alias(f"p_{d}") for d, c in p.items()], best.alias("domain"), F.round(rates.of(F.col("_p")), 6).alias("rate"))

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, media, mixing, packing, pii, quality, secret_scan, url_filter
 from sparkloom.llm.queries import tokenizer_path
@@ -287,3 +288,28 @@ def test_mixing_meets_targets_and_matches_numpy(spark, mixed_rows):
     assert np.abs(r - np.array([x.rate for x in got])).max() < 0.02
     assert mixing.mixing_report(docs.limit(0), marks).count() == 0
     assert {x.rate for x in mixing.mixing_report(docs, marks.limit(0)).collect()} == {1.0}
+
+
+@pytest.mark.parametrize("have", [(0.7, 0.02, 0.28), (0.3, 0.1, 0.6), (0.05, 0.05, 0.9)])
+def test_fit_meets_the_targets(spark, have):
+    rows = [(1000, [1 - 0.2 * (k % 2) if i == j else 0.1 * (k % 2) for j in range(3)]) for i, h in enumerate(have) for k in range(round(400 * h))]
+    held = spark.createDataFrame(rows, "_tokens long, _p array<double>")
+    model = mixing.DomainModel(list(mixing.DOMAINS))
+    rates = mixing.fitted(held, model, mixing.WEIGHTS, "clean")
+    used = held.select("_tokens", rates.of(F.col("_p")), "_p").collect()
+    clean = sum(t * p[0] for t, p in rows)
+    for k, d in enumerate(mixing.DOMAINS):
+        assert abs(sum(t * r * p[k] for t, r, p in used) / (clean / 0.9 * mixing.WEIGHTS[d]) - 1) < 2e-4, d
+    assert max(model.misses.values()) <= mixing.TOLERANCE
+
+
+def test_targets_out_of_reach_are_told(spark, caplog):
+    rows = [(1000, [0.998, 1e-3, 1e-3]), (1000, [1e-3, 1e-3, 0.998])] * 50
+    model = mixing.DomainModel(list(mixing.DOMAINS))
+    mixing.fitted(spark.createDataFrame(rows, "_tokens long, _p array<double>"), model, mixing.WEIGHTS, "clean")
+    assert model.misses["poor"] > 0.9 and model.misses["clean"] < 0.05 and model.misses["toxic"] < 0.05 and "poor" in caplog.text
+
+
+def test_words_lose_punctuation_of_all_scripts(spark):
+    words = mixing.described(spark.createDataFrame([(1, "\u201cVile\u201d \u00abins\u00fclt\u00bb plain, \u2014 \u201evile\u2026")], DOC)).first()._words
+    assert set(words) - {""} == {"vile", "ins\u00fclt", "plain"}
