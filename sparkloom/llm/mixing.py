@@ -221,5 +221,5 @@ def mixing_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def sampled(mixed: DataFrame, key: str = "doc_id", slack: float = 0.2) -> DataFrame:
     """Rows that stay when each is used at most once: always from a rate of 1 - slack on, else with the rate as probability, by a hash of the id."""
-    roll = slack + (1 - slack) * F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("mix")), F.lit(1 << 24)) / float(1 << 24)
-    return mixed.where(F.col("_rate") + roll >= 1.0)
+    roll = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("mix")), F.lit(1 << 24)) / float(1 << 24)
+    return mixed.where((F.col("_rate") >= 1 - slack) | (roll < F.col("_rate")))

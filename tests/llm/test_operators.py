@@ -313,3 +313,12 @@ def test_targets_out_of_reach_are_told(spark, caplog):
 def test_words_lose_punctuation_of_all_scripts(spark):
     words = mixing.described(spark.createDataFrame([(1, "\u201cVile\u201d \u00abins\u00fclt\u00bb plain, \u2014 \u201evile\u2026")], DOC)).first()._words
     assert set(words) - {""} == {"vile", "ins\u00fclt", "plain"}
+
+
+def test_sampling_keeps_the_token_targets(spark):
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "10 + id % 90 AS _tokens", "element_at(array(1.3D, 0.8D, 0.79D, 0.5D, 0.26D, 0D), int(id % 6) + 1) AS _rate")
+    total = lambda df: {r[0]: r[1] for r in df.groupBy("_rate").agg(F.sum("_tokens")).collect()}
+    have, kept = total(rows), total(mixing.sampled(rows))
+    assert kept[1.3] == have[1.3] and kept[0.8] == have[0.8] and 0.0 not in kept
+    for rate in (0.79, 0.5, 0.26):
+        assert abs(kept[rate] / (have[rate] * rate) - 1) < 0.05, rate
