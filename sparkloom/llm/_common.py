@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, *partitioning: str) -> DataFrame:
+#: Where the tables of stored() lie, until released() or the end of the session.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def stored(df: DataFrame) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends here, and a lost executor costs only the tasks that ran on it.
 
     The shuffle files of the plan go as soon as the table is written.
@@ -47,7 +52,27 @@ def stored(df: DataFrame, *partitioning: str) -> DataFrame:
     finally:
         spark.conf.set(key, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Deletes tables of stored() whose last reader is done; other tables stay."""
+    for t in tables:
+        if t is not None and (path := _paths.pop(t, None)):
+            _remove(t.sparkSession, path)
+
+
+#: Rows and bytes of a batch for Arrow functions, where the session doesn't say.
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches of Arrow functions by bytes, so that a worker's memory doesn't grow with the texts. The session's own settings win."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
 
 
 def crc_mod(col: Column, n: int) -> Column:

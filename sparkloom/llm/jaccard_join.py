@@ -3,16 +3,19 @@
 A document's set holds the hashes (64 bits) of its distinct 5-word shingles. Documents of equal sets are one node; nodes link when
 100 x intersection >= 75 x union. The result gives each document its component of links.
 
-Prefixes. In one global order of the tokens (by hash), two sets that link share at least l of the tokens in their prefixes of
-n - ceil(0.75 n) + l tokens, for every l. A token that many documents share is expensive: its list costs a candidate for each of
-them. So a document's l grows by one for every expensive token in its prefix: of l shared tokens one at least is then cheap, and only
-cheap tokens are listed. A pair becomes a candidate for verification only with as many shared prefix tokens as its sizes demand: the
-tokens behind the prefixes cannot make up for fewer. Documents made up of expensive tokens list those in a channel of their own.
-
-Large groups of near copies would make all their tokens expensive and all their pairs candidates. They are drawn together first:
-nodes that agree in several of eight minimum hashes are compared with one node of their group, and verified links give labels.
-Expensive tokens are counted over labels, and lists give candidates between different labels alone. That shortens the work, not the
-result: links inside a label change no component, and those between labels all come from the exact join.
+Prefixes. A token in DEAR documents or more, counted over all of them, is dear: its list costs a candidate for each. The order of the
+tokens has the cheap ones first, then the dear ones, each by hash. A link between sets of n and m >= n tokens shares at least
+o = ceil(3/7 (n + m)) tokens, and o is 6/7 n and 3/4 m at least. So the smallest shared token lies in the first n - ceil(6/7 n) + 1
+tokens of the smaller set and in the first m - ceil(3/4 m) + 1 of the larger. If it is cheap, the pair meets in a short list.
+If it is dear, no cheap token is shared at all, and the pair must share o of its dear tokens. Only then the long lists matter, and there
+a document's prefix is lengthened by l - 1 tokens, where l grows with the candidates that its lists are estimated to cost; a pair must
+share as many prefix tokens as the lower l of the two before it is verified. Documents with too many cheap tokens list no dear ones,
+and pairs of which one has too few dear tokens for o are no candidates. Lists of dear tokens are also split by bands of sizes.
+
+Large groups of near copies would make all their pairs candidates. They are drawn together first: nodes that agree in several of eight
+minimum hashes are compared with one node of their group, and verified links give labels. Lists give candidates between different
+labels alone. That shortens the work, not the result: links inside a label change no component, and those between labels all come from
+the exact join. `jaccard_links` leaves the labels out and gives every link between different texts.
 
 Nulls and texts without words have no shingles and are linked with nothing. Null ids take part and are never the smallest. Repeated
 rows give a result row each. Empty tables give empty results. Extra columns are not read.
@@ -28,16 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, stored
+from ._common import bounded_batches, partitions, released, stored
 from .components import components
 
 WORDS = 5
 CHUNK = 1 << 20
 MINS = 8
-#: From so many labels on a token is expensive; so many expensive tokens are kept at most (8 MB on each executor).
-EXPENSIVE, MAX_EXPENSIVE = 16, 1 << 20
+#: From so many documents on a token is dear. The table of dear tokens holds so many at most (12 MB on each executor); tokens beyond count as cheap.
+DEAR, MAX_DEAR = 16, 1 << 20
+#: l grows by one with each doubling of a document's estimated candidates beyond COST, up to MOST and an eighth of its set.
+COST, MOST = 64, 8
 #: Of eight minimum hashes so many must agree before a node is compared with its group's representative, and so many such comparisons a round.
-AGREE, STARS, STAR_ROUNDS = 3, 3, 5
+AGREE, STARS, STAR_ROUNDS = 3, 3, 4
+#: Shingles for each part of the work, about. Lists of dear tokens have parts of their own, whose number depends on this alone: the fewer
+#: they are, the more of a pair's shared tokens meet in one part and are added up there.
+PART, DEAR_PART = 2_000_000, 4_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GAP = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -85,15 +93,27 @@ def _segments(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
+#: A shingle's hash mixes the sum of its words' hashes, each times the power of its place.
+_PLACES = [np.uint64(int(_BASE) ** (k + 2) % (1 << 64)) for k in range(WORDS)]
+
+
+def _windows(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    n = len(words) - k + 1
+    h = words[:n] * _PLACES[0]
+    for j in range(1, k):
+        h += words[j : n + j] * _PLACES[j]
+    return _mix(h + np.uint64(k))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
 def _shingles(words: np.ndarray) -> np.ndarray:
-    n = len(words)
-    if not n:
-        return words
-    k = min(n, WORDS)
-    h = np.full(n - k + 1, np.uint64(k))
-    for j in range(k):
-        h = _mix(h * np.uint64(31) + words[j : n - k + 1 + j])
-    return h
+    return _windows(words, min(len(words), WORDS)) if len(words) else words
 
 
 def token_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -107,14 +127,15 @@ def token_sets(texts: list[str | None]) -> list[np.ndarray]:
             raw = np.frombuffer(b"\n".join(t for _, t in part) + b"\n", np.uint8)
             words, first = _words(raw)
             ends = np.searchsorted(first, np.cumsum([len(t) + 1 for _, t in part]))
+            runs = _windows(words, WORDS) if len(words) >= WORDS else words[:0]  # those across two texts are left out below
             for (k, _), a, b in zip(part, [0, *ends[:-1]], ends):
-                out[k] = np.unique(_shingles(words[a:b]))
+                out[k] = _distinct(runs[a : b - WORDS + 1]) if b - a >= WORDS else _shingles(words[a:b])
         part, size = [], 0
 
     for k, text in enumerate(texts):
         b = (text or "").encode("utf-8", "replace").translate(_LOWER)
         if len(b) > CHUNK:
-            out[k] = np.unique(_shingles(np.concatenate([_words(np.frombuffer(s, np.uint8))[0] for s in _segments(b) if s])))
+            out[k] = _distinct(_shingles(np.concatenate([_words(np.frombuffer(s, np.uint8))[0] for s in _segments(b) if s])))
             continue
         if size + len(b) > CHUNK:
             flush()
@@ -137,31 +158,36 @@ _SALTS = [np.uint64(int.from_bytes(hashlib.blake2b(b"min%d" % k, digest_size=8).
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n, node (null without shingles), mins."""
+    """doc_id, key, mark (of the text), n, node (null without shingles), mins."""
     kind = pa.struct([("n", pa.int64()), ("node", pa.binary()), ("mins", pa.list_(pa.int64()))])
 
     @F.arrow_udf("struct<n:bigint,node:binary,mins:array<bigint>>")
     def run(col: pa.Array) -> pa.Array:
-        n, node, mins = [], [], []
-        for s in token_sets(col.to_pylist()):
-            n.append(len(s))
-            node.append(node_of(s) if len(s) else None)
-            mins.append([int((s * salt).min().view(np.int64)) for salt in _SALTS] if len(s) else [])
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], fields=list(kind))
+        sets = token_sets(col.to_pylist())
+        n = np.array([len(s) for s in sets], np.int64)
+        node = [node_of(s) if len(s) else None for s in sets]
+        full = n[n > 0]
+        if len(full):
+            t, first = np.concatenate(sets), np.cumsum(full) - full
+            least = np.stack([np.minimum.reduceat(t * salt, first) for salt in _SALTS], axis=1).view(np.int64)
+        else:
+            least = np.zeros((0, MINS), np.int64)
+        mins = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * MINS)]), pa.int32()), pa.array(least.ravel()))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.binary()), mins], fields=list(kind))
 
-    return docs.withColumn("s", run("text")).select("doc_id", "key", "s.*")
+    return docs.withColumn("s", run("text")).select("doc_id", "key", F.xxhash64("text").alias("mark"), "s.*")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, tokens) for wanted (id, key, node): sets made again from the texts."""
 
-    @F.arrow_udf("struct<node:binary,tokens:binary>")
-    def run(col: pa.Array) -> pa.Array:
-        sets = token_sets(col.to_pylist())
-        return pa.StructArray.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = token_sets(b.column(2).to_pylist())
+            own = [(i, s.tobytes()) for i, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sets) if node_of(s) == node]  # not another text of the same document id
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["id", "tokens"])
 
-    found = docs.join(wanted, "key").select("id", "node", run("text").alias("s"))
-    return stored(found.where("node = s.node").select("id", "s.tokens"))
+    return stored(docs.join(wanted, "key").select("id", "node", "text").mapInArrow(run, "id bigint, tokens binary").dropDuplicates(["id"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,181 +199,370 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(pairs.join(one, "x").join(two, "y").where(run("tx", "ty")).select("x", "y"))
 
 
-def _stars(nodes: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
-    """(x, y): nodes and the representatives of their groups by minimum hash that agree with them best.
+def _near(nodes: DataFrame) -> DataFrame:
+    """Nodes that share AGREE minimum hashes with others, and `common`: how many nodes share each, added up. It is largest in the middle of a group."""
+    each = nodes.select("id", F.posexplode("mins").alias("k", "m"))
+    often = each.groupBy("k", "m").agg(F.count("*").alias("c")).where("c > 1")
+    common = each.join(often, ["k", "m"]).groupBy("id").agg(F.sum("c").alias("common"), F.count("*").alias("shared")).where(F.col("shared") >= AGREE)
+    return stored(nodes.join(common.drop("shared"), "id"))
+
+
+def _stars(near: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
+    """(x, y): nodes and the representatives, of another label, of their groups by minimum hash that agree with them best.
 
-    The first round's representatives are the nodes whose minimum hashes are the most common, the likely middles of their groups;
-    later rounds draw others, and only nodes of another label are compared with them.
+    In even rounds those with the most in common, the middles of their groups, are the representatives, and in odd ones any; which of equal ones differs by round.
     """
-    held = nodes.select("id", "n", "mins", F.lit(0).alias("common")) if labels is None else nodes.select("id", "n", "mins", "common").join(labels, "id", "left")
-    label = F.col("id") if labels is None else F.coalesce("root", "id")
-    each = held.select("id", "n", "mins", "common", label.alias("label"), F.posexplode("mins").alias("k", "m"))
-    order = F.struct(-F.col("common"), F.col("id")) if round_ == 1 else F.xxhash64("k", "id", F.lit(round_))
-    heads = each.groupBy("k", "m").agg(F.min_by(F.struct(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("mins").alias("ymins"), F.col("label").alias("ylabel")), order).alias("h"), F.count("*").alias("c")).where("c > 1")
+    held = near.join(labels, "id").select("id", "n", "mins", "common", "root")
+    each = held.select("id", "n", "mins", "common", "root", F.posexplode("mins").alias("k", "m"))
+    order = F.struct(-F.col("common") if round_ % 2 == 0 else F.lit(0), F.xxhash64("k", "id", F.lit(round_)))
+    heads = each.groupBy("k", "m").agg(F.min_by(F.struct(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("mins").alias("ymins"), F.col("root").alias("yroot")), order).alias("h"), F.count("*").alias("c")).where("c > 1")
     agree = F.size(F.filter(F.zip_with("mins", "h.ymins", lambda a, b: a == b), lambda x: x))
-    pairs = each.join(heads, ["k", "m"]).where("id <> h.y AND label <> h.ylabel AND 4 * least(n, h.yn) >= 3 * greatest(n, h.yn)").select(F.col("id").alias("x"), F.col("h.y").alias("y"), agree.alias("agree"), "c")
-    best = pairs.where(F.col("agree") >= AGREE).groupBy("x").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("agree", "y")))), 1, STARS).alias("best"), F.sum("c").alias("common"))  # at most MINS each
-    return stored(best.select("x", "common", F.explode("best.y").alias("y")))
+    pairs = each.join(heads, ["k", "m"]).where("root <> h.yroot AND 4 * least(n, h.yn) >= 3 * greatest(n, h.yn)").select(F.col("id").alias("x"), F.col("h.y").alias("y"), agree.alias("agree"))
+    best = pairs.where(F.col("agree") >= AGREE).groupBy("x").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("agree", "y")))), 1, STARS).alias("best"))  # at most MINS each
+    return stored(best.select("x", F.explode("best.y").alias("y")))
 
 
 def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """labels after new links (x, y): x takes y's label if that is smaller. Equal labels mean linked nodes; the rounds need no more than that."""
-    better = found.join(labels, found["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("better"))
-    return stored(labels.join(better, labels["id"] == better["x"], "left").select("id", F.least("root", "better").alias("root")))
+    """labels after new links (x, y): the smaller of the two labels, and then the label of the node that a label names. Equal labels mean linked nodes; the rounds need no more than that."""
+    both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    better = both.join(labels, both["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("better"))
+    once = stored(labels.join(better, labels["id"] == better["x"], "left").select("id", F.least("root", "better").alias("root")))
+    further = once.select(F.col("id").alias("at"), F.col("root").alias("further"))
+    out = stored(once.join(further, F.col("root.id") == F.col("at")).select("id", F.least("root", "further").alias("root")))
+    released(once)
+    return out
 
 
-def _expensive(work: DataFrame, parts: int) -> np.ndarray:
-    """Tokens that EXPENSIVE labels or more have near their sets' beginnings, counted over one text for each label; a table of fixed size at most."""
+def _dealt(tokens: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each part that tokens fall to: the part and their places."""
+    to = (_mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    for a, z in zip([0, *cuts], [*cuts, len(to)]):
+        if z > a:
+            yield int(to[a]), order[a:z]
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fronts = [s[: (len(s) * 2) // 5 + 1] for s in token_sets(b.column(0).to_pylist())]
-            t = np.concatenate(fronts) if fronts else np.zeros(0, np.uint64)
-            for p, blob in _dealt(t, t, parts):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["p", "blob"])
 
-    def count(key: tuple, group: pa.Table) -> pa.Table:
-        t, n = np.unique(np.frombuffer(b"".join(group.column("blob").to_pylist()), np.uint64), return_counts=True)
-        often = n >= EXPENSIVE
-        return pa.table({"t": t[often].view(np.int64), "c": n[often].astype(np.int64)})
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns one after the other, which compress better than rows: the first in planes of bytes."""
+    first = np.ascontiguousarray(columns[0])
+    return b"".join([first.view(np.uint8).reshape(-1, first.itemsize).T.tobytes(), *(c.tobytes() for c in columns[1:])])
 
-    found = work.where("root = id").select("text").mapInArrow(emit, "p int, blob binary").groupBy("p").applyInArrow(count, "t bigint, c bigint")
-    rows = found.orderBy(F.desc("c"), "t").limit(MAX_EXPENSIVE).select("t").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
+def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(blob) // sum(sizes), 0, []
+    for k, size in zip(kinds, sizes):
+        part = np.frombuffer(blob, np.uint8, n * size, at)
+        out.append((part.reshape(size, n).T.copy().view(k).ravel() if not out else part.view(k)))
+        at += n * size
+    return out
 
-def _dealt(tokens: np.ndarray, rows: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """rows as bytes for each partition that their tokens fall to."""
-    to = (_mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    rows, to = rows[order], to[order]
-    cuts = np.flatnonzero(np.diff(to)) + 1
-    for a, z in zip([0, *cuts], [*cuts, len(to)]):
-        if z > a:
-            yield int(to[a]), rows[a:z].tobytes()
 
+def _blobs(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names=["p", "blob"])
 
-def prefix(tokens: np.ndarray, expensive: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of a set in order: the cheap tokens that it lists, the expensive ones that it lists in the other channel, and how many shared
-    tokens at most a pair can have besides listed ones."""
-    n = len(tokens)
-    least = (3 * n + 3) // 4
-    dear = np.isin(tokens, expensive, assume_unique=True) if len(expensive) else np.zeros(n, bool)
-    seen = np.cumsum(dear)[n - least :]  # expensive tokens in the prefix for l = 1, 2, ..
-    fit = np.flatnonzero(seen <= np.arange(len(seen)))
-    if len(fit):
-        p = n - least + 1 + int(fit[0])
-        return tokens[:p][~dear[:p]], tokens[:0], n - p + int(seen[fit[0]])
-    base = n - least + 1
-    return tokens[~dear], tokens[:base][dear[:base]], n
 
+class Dear:
+    """The dear tokens in order and their counts."""
 
-def _postings(work: DataFrame, expensive: np.ndarray, parts: int) -> DataFrame:
-    """(p, blob): postings (token, id, label, n, rest), dealt by token."""
-    held = work.sparkSession.sparkContext.broadcast(expensive)
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.counts = tokens[order], counts[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(self, tokens: np.ndarray) -> np.ndarray:
+        """Each token's count, 0 if it is cheap."""
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.int32)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.counts[at], 0)
+
+
+def _dear(docs: DataFrame, parts: int) -> Dear:
+    """Tokens of DEAR documents or more, counted over the whole sets of all documents: the MAX_DEAR most frequent of them."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = token_sets(b.column(0).to_pylist())
+            t = np.sort(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+            n = np.minimum(np.diff(first, append=len(t)), 65535).astype("<u2")
+            t = t[first]
+            # a part is a range of tokens; differences of ordered tokens have few bits, and the counts are nearly all 1
+            cuts = np.searchsorted((t >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+            yield _blobs([(p, _packed(np.diff(t[a:z], prepend=np.uint64(0)), n[a:z])) for p, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a])
+
+    def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = [], []
         for b in batches:
-            ids, labels, nodes = (b.column(k) for k in (0, 1, 2))
-            columns = [[], [], [], [], []]
-            for s, i, lab, node in zip(token_sets(b.column(3).to_pylist()), ids.to_pylist(), labels.to_pylist(), nodes.to_pylist()):
-                if node_of(s) != node:
-                    continue  # another text of the same document id
-                cheap, dear, rest = prefix(s, held.value)
-                t = np.concatenate([cheap, _mix(dear ^ _BASE)])
-                for c, v in zip(columns, (t, np.full(len(t), i), np.full(len(t), lab), np.full(len(t), len(s)), np.full(len(t), rest))):
-                    c.append(v)
-            if not columns[0]:
-                continue
-            t = np.concatenate(columns[0])
-            rows = np.empty(len(t), POSTING)
-            for name, c in zip(POSTING.names, columns):
-                rows[name] = np.concatenate(c)
-            for p, blob in _dealt(t, rows, parts):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["p", "blob"])
+            for blob in b.column("blob"):
+                d, n = _unpacked(blob.as_py(), "<u8", "<u2")
+                tokens.append(np.cumsum(d, dtype=np.uint64))
+                counts.append(n)
+        t = np.concatenate(tokens)
+        order = np.argsort(t, kind="stable")
+        t, n = t[order], np.concatenate(counts)[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        n = np.add.reduceat(n, first)
+        often = n >= DEAR
+        yield pa.RecordBatch.from_arrays([pa.array(t[first][often].view(np.int64)), pa.array(n[often])], names=["t", "c"])
+
+    found = docs.select("text").mapInArrow(emit, "p int, blob binary").groupBy("p").applyInArrow(count, "t bigint, c bigint")
+    rows = found.orderBy(F.desc("c"), "t").limit(MAX_DEAR).toArrow()
+    t, c = (np.ascontiguousarray(rows.column(k).to_numpy(), np.int64) for k in (0, 1))
+    return Dear(t.view(np.uint64), np.minimum(c, 1 << 30).astype(np.int32))
+
+
+#: Lists of dear tokens are split by sizes: sizes of 3 to 4 fall into the same band or the next one.
+_BAND = np.log(1.34)
+#: n: tokens of the set. d: dear ones of them, or -1 in a list of a cheap token. low: documents as the smaller of a pair are listed here too.
+POSTING = np.dtype([("t", "<u8"), ("id", "<i8"), ("label", "<i8"), ("n", "<i4"), ("d", "<i4"), ("l", "<i2"), ("low", "<i2")])
+
+
+def postings(sets: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, dear: Dear) -> np.ndarray:
+    """What the sets list, by the rules at the module's head."""
+    n = np.array([len(s) for s in sets], np.int64)
+    if not n.sum():
+        return np.empty(0, POSTING)
+    t, of, first = np.concatenate(sets), np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    count = dear.count(t)
+    is_dear = count > 0
+    before = np.cumsum(is_dear) - is_dear
+    rank_d = before - before[np.minimum(first, len(t) - 1)][of]
+    rank_c = np.arange(len(t)) - first[of] - rank_d
+    d = np.bincount(of, is_dear, len(n)).astype(np.int64)
+    low, high = (3 * n + 3) // 4, (6 * n + 6) // 7
+    cost = np.bincount(of, np.where(rank_d < (d - low + 1)[of], count, 0), len(n))
+    l = 1 + np.minimum(np.minimum(MOST, n // 8), np.log2(np.maximum(1, cost / COST)).astype(np.int64))
+    cheap = ~is_dear & (rank_c < (n - low + 1)[of])
+    long = is_dear & (rank_d < np.where(d >= low, d - low + l, 0)[of])
+    band = np.floor(np.log(np.maximum(1, n)) / _BAND).astype(np.uint64)
+    own, other = _mix(t[long] ^ _BASE * (band[of[long]] + np.uint64(1))), _mix(t[long] ^ _BASE * band[of[long]])
+    places = np.concatenate([np.flatnonzero(cheap), np.flatnonzero(long), np.flatnonzero(long)])
+    k = of[places]
+    out = np.empty(len(places), POSTING)
+    out["t"] = np.concatenate([t[cheap], own, other])
+    out["id"], out["label"], out["n"], out["l"] = ids[k], labels[k], n[k], l[k]
+    n_cheap, n_long = int(cheap.sum()), int(long.sum())
+    out["d"] = d[k]
+    out["l"][:n_cheap] = 0  # a cheap list
+    out["low"] = np.concatenate([(rank_c < (n - high + 1)[of])[cheap], (rank_d < np.where(d >= high, d - high + l, 0)[of])[long], np.zeros(n_long, bool)])
+    return out
 
-    return work.select("id", "root", "node", "text").mapInArrow(run, "p int, blob binary")
 
+def _postings(work: DataFrame, dear: Dear, parts: int, dear_parts: int) -> DataFrame:
+    """(p, blob): postings, dealt by token; those of dear tokens to parts below 0."""
+    held = work.sparkSession.sparkContext.broadcast(dear)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = token_sets(b.column(3).to_pylist())
+            nodes = b.column(2).to_pylist()
+            sets = [s if node_of(s) == node else s[:0] for s, node in zip(sets, nodes)]  # another text of the same document id
+            rows = postings(sets, b.column(0).to_numpy(), b.column(1).to_numpy(), held.value)
+            out = []
+            for own, n, sign in ((rows[rows["l"] == 0], parts, 1), (rows[rows["l"] > 0], dear_parts, -1)):
+                for p, at in _dealt(own["t"], n):
+                    r = own[at]
+                    out.append((sign * (p + 1), _packed(r["id"], r["t"], *(r[c] for c in POSTING.names[2:]))))
+            yield _blobs(out)
 
-POSTING = np.dtype([("t", "<u8"), ("id", "<i8"), ("label", "<i8"), ("n", "<i4"), ("rest", "<i4")])
+    return work.select("id", "root", "node", "text").mapInArrow(run, "p int, blob binary")
 
 
-def list_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidates of the lists in rows, by list: ids x and y of different labels whose sizes allow a link, and the shared prefix tokens that they need."""
-    rows = np.unique(rows)  # by token, then id
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows["t"])) + 1, [len(rows)]])
-    for a in np.flatnonzero(np.diff(cuts) > 1):
-        r = rows[cuts[a] : cuts[a + 1]]
-        if (r["label"] == r["label"][0]).all():
+def _needs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shared listed tokens that pairs x (the smaller) and y need. 0: no link is possible by this list."""
+    xn, yn, xd, yd = (v.astype(np.int64) for v in (x["n"], y["n"], x["d"], y["d"]))
+    least = (3 * (xn + yn) + 6) // 7
+    x_rest = xn - np.minimum(xn - xd, xn - (6 * xn + 6) // 7 + 1)
+    y_rest = yn - np.minimum(yn - yd, yn - (3 * yn + 3) // 4 + 1)
+    cheap = np.maximum(1, least - np.maximum(x_rest, y_rest))
+    return np.where(x["l"] == 0, cheap, np.where(np.minimum(xd, yd) >= least, np.minimum(x["l"], y["l"]), 0))
+
+
+def list_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Candidates of the lists in rows, by list: ids x and y of different labels, the shared listed tokens that they need, and whether the list is a dear one's."""
+    if not len(rows):
+        return
+    rows = rows[np.lexsort((rows["id"], rows["n"], rows["t"]))]
+    new = rows["t"][1:] != rows["t"][:-1]
+    keep = np.concatenate([[True], new | (rows["id"][1:] != rows["id"][:-1])])  # repeated rows of a document
+    rows = rows[keep]
+    cuts = np.concatenate([[0], np.flatnonzero(rows["t"][1:] != rows["t"][:-1]) + 1, [len(rows)]])
+    size = np.diff(cuts)
+    wide = np.repeat(size > 1, size)  # most lists hold one row
+    if not wide.all():
+        rows, size = rows[wide], size[size > 1]
+        cuts = np.concatenate([[0], np.cumsum(size)])
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        need = _needs(x, y)
+        ok = (need > 0) & (x["label"] != y["label"]) & (x["low"] > 0)
+        for kind in (False, True):
+            own = ok & ((x["l"] > 0) == kind)
+            if own.any():
+                a, b = x["id"][own], y["id"][own]
+                yield np.minimum(a, b), np.maximum(a, b), need[own], kind
+
+    # short lists all at once: each row with the one that comes `off` places after it
+    long = size > 64
+    of = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(~long[of])
+    for off in range(1, 64):
+        at = at[at + off < cuts[of[at] + 1]]
+        at = at[3 * rows["n"][at + off].astype(np.int64) <= 4 * rows["n"][at].astype(np.int64)]  # later ones are larger still
+        if not len(at):
+            break
+        yield from pairs(rows[at], rows[at + off])
+    for k in np.flatnonzero(long):
+        r = rows[cuts[k] : cuts[k + 1]]
+        names, count = np.unique(r["label"], return_counts=True)
+        if len(names) == 1:
             continue
-        r = r[np.argsort(r["n"], kind="stable")]
-        top = np.searchsorted(r["n"], r["n"] * 4 // 3, "right")  # a link needs 4 x smaller >= 3 x larger
-        for k in range(len(r) - 1):
-            c = r[k + 1 : top[k]]
-            c = c[c["label"] != r["label"][k]]
-            if len(c):
-                least = -(-3 * (int(r["n"][k]) + c["n"].astype(np.int64)) // 7)  # intersection >= 3/7 of the sizes' sum
-                x, y = np.minimum(c["id"], r["id"][k]), np.maximum(c["id"], r["id"][k])
-                yield x, y, least - np.maximum(c["rest"], r["rest"][k])
-
-
-def _candidates(postings: DataFrame) -> DataFrame:
-    """(x, y) with as many shared listed tokens as they need."""
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(group.column("blob").to_pylist()), POSTING)
-        found = list(list_pairs(rows))
-        pair = np.empty(sum(len(f[0]) for f in found), [("x", "<i8"), ("y", "<i8"), ("need", "<i8")])
-        at = 0
-        for x, y, need in found:
-            pair["x"][at : at + len(x)], pair["y"][at : at + len(x)], pair["need"][at : at + len(x)] = x, y, need
-            at += len(x)
-        pair, n = np.unique(pair, return_counts=True)
-        return pa.table({"x": pair["x"], "y": pair["y"], "need": pair["need"], "shared": n.astype(np.int64)})
+        # rows of the most common label are compared with the others alone
+        rare = np.flatnonzero(r["label"] != names[count.argmax()])
+        few, common = r[rare], r["label"] == names[count.argmax()]
+        for i in np.flatnonzero(r["low"] > 0):
+            held, start = (few, np.searchsorted(rare, i, "right")) if common[i] else (r, i + 1)
+            y = held[start : np.searchsorted(held["n"], int(r["n"][i]) * 4 // 3, "right")]
+            if len(y):
+                yield from pairs(np.broadcast_to(r[i], len(y)), y)
+
+
+_PAIR = np.dtype([("x", "<i8"), ("y", "<i8"), ("dear", "?"), ("need", "<i8"), ("shared", "<i8")])
+#: Pairs that are held before those of the same documents are added up.
+HELD = 1 << 20
+
+
+def _added(found: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows["dear"], rows["y"], rows["x"]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows["x"][1:] != rows["x"][:-1]) | (rows["y"][1:] != rows["y"][:-1]) | (rows["dear"][1:] != rows["dear"][:-1])]))
+    out = rows[first]
+    out["shared"] = np.add.reduceat(rows["shared"], first)
+    return out
 
-    each = postings.groupBy("p").applyInArrow(run, "x bigint, y bigint, need bigint, shared bigint")
-    return stored(each.groupBy("x", "y").agg(F.max("need").alias("need"), F.sum("shared").alias("shared")).where("shared >= need").select("x", "y"))
 
+def counted(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs with the number of lists that they share, added up as far as HELD pairs allow."""
+    held, n = [], 0
+    for x, y, need, kind in list_pairs(rows):
+        r = np.empty(len(x), _PAIR)
+        r["x"], r["y"], r["need"], r["dear"], r["shared"] = x, y, need, kind, 1
+        held.append(r)
+        n += len(r)
+        if n > HELD:
+            held = [_added(held)]
+            n = len(held[0])
+            if n > HELD // 2:
+                yield held[0]
+                held, n = [], 0
+    if n:
+        yield _added(held)
+
+
+def _candidates(held: DataFrame) -> DataFrame:
+    """(x, y) with as many shared listed tokens as they need."""
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            for blob in b.column("blob"):
+                i, t, *rest = _unpacked(blob.as_py(), "<i8", "<u8", *(POSTING[c].str for c in POSTING.names[2:]))
+                r = np.empty(len(t), POSTING)
+                for name, c in zip(POSTING.names, (t, i, *rest)):
+                    r[name] = c
+                parts.append(r)
+        for pair in counted(np.concatenate(parts)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[c])) for c in _PAIR.names], names=list(_PAIR.names))
+
+    each = held.groupBy("p").applyInArrow(run, "x bigint, y bigint, dear boolean, need bigint, shared bigint")
+    return stored(each.groupBy("x", "y", "dear").agg(F.max("need").alias("need"), F.sum("shared").alias("shared")).where("shared >= need").select("x", "y").distinct())
+
+
+def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int]]:
+    """The texts by key, every document's description, the nodes, and the numbers of parts to deal their tokens to."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("key"), F.col(text).alias("text"))
     described = stored(_describe(docs))
     nodes = described.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     nodes = stored(nodes.select("*", F.monotonically_increasing_id().alias("id")))
-    texts, links, labels = docs.select("key", "text"), None, None
-    grouped = _stars(nodes, None, 0)
-    if not grouped.isEmpty():
-        # only nodes that agree with another take part from here on; their sets are made once
-        ends = grouped.groupBy("x").agg(F.max("common").alias("common"))
-        ends = stored(ends.unionByName(grouped.select(F.col("y").alias("x"), "common")).groupBy("x").agg(F.max("common").alias("common")).withColumnRenamed("x", "id"))
-        near = stored(nodes.join(ends, "id"))
-        sets = _sets(texts, near.select("id", "key", "node"))
-        links = _verified(grouped, sets)
-        labels = _relabelled(near.select("id", F.col("id").alias("root")), links)
-        for r in range(1, STAR_ROUNDS):
-            pairs = _stars(near, labels, r)
-            if pairs.isEmpty():
-                break
-            found = _verified(pairs, sets)
-            links = links.unionByName(found)
-            labels = _relabelled(labels, found)
-        labels = stored(components(links))
-    if labels is None:
-        labels = spark.createDataFrame([], "id bigint, root bigint")
+    total = described.agg(F.sum("n")).first()[0] or 0
+    parts = max(8, 4 * partitions(docs.sparkSession), total // PART)
+    return docs.select("key", "text"), described, nodes, (parts, max(1, total // DEAR_PART))
+
+
+def _joined(texts: DataFrame, nodes: DataFrame, labels: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """The exact join: verified links (x, y) between nodes of different labels (id, root); a node that has none is its own."""
     where = nodes.select("id", "key", "node").join(labels, "id", "left").select("id", "key", "node", F.coalesce("root", "id").alias("root"))
-    work = texts.join(where, "key")
-    parts = max(8, 4 * partitions(spark))
-    pairs = _candidates(stored(_postings(work, _expensive(work, parts), parts)))
-    if not pairs.isEmpty():
-        ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        found = _verified(pairs, _sets(texts, nodes.join(ends, "id", "left_semi").select("id", "key", "node")))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+    pairs = _candidates(_postings(texts.join(where, "key"), _dear(texts, parts[0]), *parts))
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    sets = _sets(texts, nodes.join(ends, "id", "left_semi").select("id", "key", "node"))
+    found = _verified(pairs, sets)
+    released(pairs, sets)
+    return found
+
+
+def _drawn(texts: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Links that draw groups of near copies together; None if no two nodes agree. Only nodes that agree with another take part; their sets are made once."""
+    near = _near(nodes)
+    labels = stored(near.select("id", F.struct((-F.col("common")).alias("order"), "id").alias("root")))  # the middle of a group has the smallest label
+    links, sets = [], None
+    for r in range(STAR_ROUNDS):
+        pairs = _stars(near, labels, r)
+        if pairs.isEmpty():
+            break
+        sets = _sets(texts, near.select("id", "key", "node")) if sets is None else sets
+        links.append(_verified(pairs, sets))
+        before, labels = labels, _relabelled(labels, links[-1])
+        released(before, pairs)
+    kept = None
+    if links:
+        out = links[0]
+        for more in links[1:]:
+            out = out.unionByName(more)
+        kept = stored(out)
+    released(near, sets, labels, *links)
+    return kept
+
+
+def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets as (x, y), and the membership (doc_id, n_shingles, node) of the documents; x and y are nodes."""
+    texts, described, nodes, parts = _prepared(docs, key, text)
+    links = _joined(texts, nodes, docs.sparkSession.createDataFrame([], "id bigint, root bigint"), parts)
+    return links, described.join(nodes.select("node", "id"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("node"))
+
+
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A row per document: doc_id, key, mark, n, node, root (of its component's nodes; null without shingles) and the component's least key."""
+    texts, described, nodes, parts = _prepared(docs, key, text)
+    drawn = _drawn(texts, nodes)
+    labels = components(drawn) if drawn is not None else docs.sparkSession.createDataFrame([], "id bigint, root bigint")
+    found = _joined(texts, nodes, labels, parts)
+    if not found.isEmpty():
+        before, labels = labels, components(found if drawn is None else drawn.unionByName(found))
+        released(before)
+    released(drawn, found)
     named = nodes.join(labels, "id", "left").select("node", F.col("key").alias("least"), F.coalesce("root", "id").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_node = named.join(smallest, "root").select("node", "component")
-    out = described.join(by_node, "node", "left")
+    return described.join(named.join(smallest, "root").select("node", "root", "component"), "node", "left")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
     component = F.when(F.col("component") == (1 << 63) - 1, F.lit(None)).otherwise(F.coalesce("component", F.col("doc_id").cast("bigint")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _grouped(docs, key, text).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component: that of the smallest id, and among those of one id that of the least hash of its text.
+
+    Rows that repeat an id and a text count as one document, of which the row stays whose other columns come first in order. Documents
+    without words are linked with nothing; all their rows stay. A null id is never the smallest.
+    """
+    kept = _grouped(docs, key, text).where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("key", "mark")).alias("k")).select(F.col("k.key").alias("_key"), F.col("k.mark").alias("_mark"))
+    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.where(has_words).select(F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(text).alias("_mark"), F.struct(*[docs[c] for c in docs.columns if c != text], text).alias("_row"))
+    one = named.join(kept, ["_key", "_mark"], "left_semi").groupBy("_key", "_mark").agg(F.min("_row").alias("_row"))
+    return one.select("_row.*").select(docs.columns).unionByName(docs.where(~has_words))

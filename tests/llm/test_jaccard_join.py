@@ -64,14 +64,43 @@ def corpus(seed, n=220):
     return rows + [(0, None), (2, ""), (5, " \n"), (8, "a"), (9, "A"), (11, "é É")]
 
 
-@pytest.mark.parametrize("seed,expensive", [(1, 32), (2, 3)])
-def test_matches_brute_force(spark, monkeypatch, seed, expensive):
-    monkeypatch.setattr(J, "EXPENSIVE", expensive)
+@pytest.mark.parametrize("seed,dear", [(1, 32), (2, 3)])
+def test_matches_brute_force(spark, monkeypatch, seed, dear):
+    monkeypatch.setattr(J, "DEAR", dear)
     rows = corpus(seed)
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def near_group(n, seed=5):
+    """One group of near copies of a text, most of them linked, some with too many changes."""
+    rnd = random.Random(seed)
+    base = [f"b{rnd.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 2, 3, 4, 5, 6])):
+            words[rnd.randrange(len(words))] = f"n{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words[: rnd.choice([120, 120, 120, 118, 110])])))
+    return rows
+
+
+def test_one_large_group_of_near_copies(spark):
+    rows = near_group(400)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_links_are_all_links_between_different_sets(spark):
+    rows = corpus(4, 120) + [(1000 + i, t) for i, t in near_group(40)]
+    links, members = J.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    node = {i: n for i, _, n in members.collect()}
+    sets = {node[i]: shingles(t) for i, t in rows if node[i] is not None}
+    pairs = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) > 100
+
+
 def test_sets_equal_those_of_strings():
     texts = [t for _, t in corpus(3)] + ["x " * 400_000, "long" * 300_000 + " a b c d e f"]
     for t, s in zip(texts, J.token_sets(texts)):
@@ -79,17 +108,38 @@ def test_sets_equal_those_of_strings():
     assert np.array_equal(J.token_sets([texts[5]])[0], J.token_sets(texts)[5])
 
 
-def test_prefixes_never_lose_a_link():
-    rnd = np.random.default_rng(0)
-    for _ in range(300):
+def test_lists_never_lose_a_link():
+    rnd, links = np.random.default_rng(0), 0
+    for trial in range(300):
         base = rnd.choice(400, rnd.integers(1, 60), replace=False)
-        a, b = ({int(x) for x in base if rnd.random() < 0.93} | {int(x) for x in rnd.integers(0, 400, rnd.integers(0, 6))} for _ in "ab")
-        a, b = (np.array(sorted(s), np.uint64) for s in (a, b))
-        dear = np.unique(rnd.integers(0, 400, rnd.integers(0, 250))).astype(np.uint64)
-        if len(a) and len(b) and J.link(a, b):
-            (ca, da, ra), (cb, db, rb) = J.prefix(a, dear), J.prefix(b, dear)
-            shared = len(np.intersect1d(ca, cb)) + len(np.intersect1d(da, db))
-            assert shared >= max(1, -(-3 * (len(a) + len(b)) // 7) - max(ra, rb))
+        sets = [np.array(sorted({int(x) for x in base if rnd.random() < 0.95} | {int(x) for x in rnd.integers(0, 400, rnd.integers(0, 4))}), np.uint64) for _ in range(4)]
+        dear = np.unique(rnd.integers(0, 400, rnd.choice([0, 100, 900]))).astype(np.uint64)
+        rows = J.postings(sets, np.arange(4), np.array([0, 1, 2, 0]), J.Dear(dear, rnd.integers(16, 5000, len(dear)).astype(np.int32)))
+        total = defaultdict(int)
+        for part in J.counted(rows):
+            for x, y, kind, need, shared in part.tolist():
+                total[x, y, kind, need] += shared
+        found = {(x, y) for (x, y, _, need), n in total.items() if n >= need}
+        for a in range(4):
+            for b in range(a + 1, 4):
+                if len(sets[a]) and len(sets[b]) and (a, b) != (0, 3) and J.link(sets[a], sets[b]):
+                    links += 1
+                    assert (a, b) in found
+        assert (0, 3) not in found
+    assert links > 300
+
+
+def test_long_lists_give_what_short_ones_do(monkeypatch):
+    rnd = np.random.default_rng(1)
+    base = rnd.integers(0, 1 << 60, 50).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rnd.random(50) < 0.97], rnd.integers(0, 1 << 60, 2).astype(np.uint64)])) for _ in range(150)]
+    rows = J.postings(sets, np.arange(150), np.where(np.arange(150) % 3, 0, np.arange(150)), J.Dear(np.sort(base), np.full(50, 150, np.int32)))
+    found = lambda rows: sorted((x, y) for p in J.counted(rows) for x, y, _, need, n in p.tolist() if n >= need)
+    labels = np.where(np.arange(150) % 3, 0, np.arange(150))
+    got = set(found(rows))
+    assert all((a, b) in got for a in range(150) for b in range(a + 1, 150) if labels[a] != labels[b] and J.link(sets[a], sets[b]))
+    monkeypatch.setattr(J, "HELD", 500)
+    assert sum(n for p in J.counted(rows) for n in p["shared"]) == sum(len(x) for x, *_ in J.list_pairs(rows))
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
