@@ -34,6 +34,8 @@ PER_DOMAIN = 1500
 TOP, LEAST, LIFT = 50, 8, 5.0
 #: Fixed set: what is cut from the ends of a word of ASCII; of others all that is no letter is.
 _EDGES = "0123456789.,;:!?\"'()[]{}<>#$%&*@~^|+=/\\_-"
+#: Columns that the operator adds, or uses on the way.
+OWN = ("_tokens", "_p", "_rate", "_words", "_shape", "_all", "_log")
 #: Pull of the rates towards 1, most steps, and the miss of a domain's total as a share of its target (of what it has, if that is 0).
 PULL, MAX_STEPS, TOLERANCE = 1e-6, 40, 1e-4
 #: Dampings that a step tries in turn.
@@ -197,12 +199,18 @@ def fitted(held: DataFrame, model: DomainModel, weights: dict[str, float], ancho
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, anchor: str = "clean") -> tuple[DataFrame, DomainModel]:
-    """docs with _tokens, _p and _rate; and the model, whose domains name the places of _p."""
+    """docs with _tokens, _p and _rate; and the model, whose domains name the places of _p. Columns of docs of these names are replaced.
+
+    The rows are stored with their posteriors before the rates are fitted: whatever then filters on the rate reads them, and no plan
+    carries the posterior's expression into a filter.
+    """
+    docs = docs.drop(*OWN)
     model = train(docs, labels)
     held = posteriors(docs, model)
     if not model.domains:
         return held.withColumn("_rate", F.lit(1.0)), model
-    rates = fitted(stored(held.select("_tokens", "_p")), model, weights or WEIGHTS, anchor)
+    held = stored(held)
+    rates = fitted(held.select("_tokens", "_p"), model, weights or WEIGHTS, anchor)
     return held.withColumn("_rate", F.round(rates.of(F.col("_p")), 6)), model
 
 
