@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import bounded_batches, stored
 
 CAPACITY = 2048
 #: Of words and of pieces of words, the first so many are kept; most words that are frequent turn up early.
@@ -123,6 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "piec
                 rows.append([{"piece": k, "start": k * capacity, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, at in enumerate(range(0, len(ids), step)) for part in (ids[at : at + step],)])
             yield pa.array(rows, kind)
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(out, F.explode(cut(F.col(text))))
 
 

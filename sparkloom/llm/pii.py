@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
 from ._fit import logistic, sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
@@ -187,6 +188,7 @@ def fit_spans(counts: list[tuple[str, str, str, int]], rounds: int = 50) -> Span
 
 def find_pii(docs: DataFrame, text: str = "text", out: str = "spans", least: float = 0.5) -> DataFrame:
     """docs with the column `out`: array of (kind, start, end, base, score), by kind as listed and start; code points, end exclusive."""
+    bounded_batches(docs.sparkSession)
     seen = docs.select(F.explode(_candidates(F.col(text))).alias("c")).groupBy("c.kind", "c.votes", "c.shape").count()
     model = fit_spans([tuple(r) for r in seen.collect()])  # bounded by the patterns there can be
     known = [x for k, v in model.decide.items() for x in (F.lit(":".join(k)), F.lit(v))]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod
+from ._common import bounded_batches, crc_mod
 from ._fit import logistic, sigmoid
 
 CHUNK = 1 << 20
@@ -203,7 +203,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
             out.append(shared.value.score(part))
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    return docs.withColumn(out, run(F.col(text)))
+    bounded_batches(docs.sparkSession)
+    return docs.withColumn(out, run.asNondeterministic()(F.col(text)))  # so that no filter on the score works it out a second time
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
+
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -99,7 +101,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "spans", window
     def spans(col: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(("kind", "start", "end", "base"), x)) for x in scan(t or "", window)] for t in col.to_pylist()], _ARROW)
 
-    return docs.withColumn(out, spans(F.col(text)))
+    bounded_batches(docs.sparkSession)
+    return docs.withColumn(out, spans.asNondeterministic()(F.col(text)))  # so that no filter on the spans scans the texts a second time
 
 
 def joined(spans: Column) -> Column:

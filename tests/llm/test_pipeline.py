@@ -42,6 +42,22 @@ def test_stages(spark, tmp_path):
     assert run == sorted(tuple(r)[:5] for r in docs.where("doc_id IS NOT NULL").collect())
 
 
+def test_near_duplicates_keep_every_document_of_its_own(spark):
+    a, b, c = ("the first text of this id and of no other one", "completely other words under the very same id here", "and a third one that nobody else has written down")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (1, a, "en", "r", 1), (2, a, "en", "s", 1), (3, b, "en", "s", 2), (None, a, "en", "s", 1), (None, c, "en", "s", 1), (None, None, "en", "s", 0), (4, "", "en", "s", 0), (4, "", "en", "s", 0), (5, None, None, None, None)]
+    got = P.near_duplicate_stage(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a, "en", "r", 1), (1, b, "en", "s", 2), (None, c, "en", "s", 1), (None, None, "en", "s", 0), (4, "", "en", "s", 0), (4, "", "en", "s", 0), (5, None, None, None, None)]))
+
+
+def test_no_stage_evaluates_an_arrow_function_twice(spark, tmp_path):
+    spark.createDataFrame(corpus(), COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for stage in (P.language_stage, P.pii_stage, P.mixing_stage):
+        plan = stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") <= 1 and len(plan) < 50_000
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
