@@ -5,7 +5,8 @@ the last, which returns the packing. Stages handle nulls, ties, repeated rows an
 
 1. Language ID: documents without a letter, or of no language that the model knows well enough (score below MIN_SCORE), go. A missing
    lang is filled in.
-2. N-gram Jaccard join: of each component the document with the smallest id stays, once. Rows without an id aren't compared and stay.
+2. N-gram Jaccard join: of each component the document with the smallest id stays, once; rows that share an id but not the text are
+   documents of their own. Rows without an id take part and stay only if no document of their component has one.
 3. PII: spans become <EMAIL>, <IP>, <CARD> and <PHONE>; n_chars follows.
 4. Mixing: every document is used at most once, by its rate; rates of 0.8 and more always stay.
 5. Packing: token pieces and their places in sequences.
@@ -32,11 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(COLUMNS)
-    named = docs.where("doc_id IS NOT NULL")
-    keep = jaccard_join.jaccard_components(named).where("component_id = doc_id").select("doc_id")
-    one = named.join(keep.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    return jaccard_join.without_near_copies(docs.select(COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
