@@ -1,6 +1,6 @@
 """Canonical exact fingerprints, with DataFrame functions only.
 
-A text's canonical form is its NFC form in lower case (and NFC again), with runs of white space as one space and none at the ends. Its
+A text's canonical form is its NFC form with case folded by Unicode's full folding (and NFC again), with runs of white space as one space and none at the ends. Its
 fingerprint is two xxhash64 values with different seeds, 128 bits wide. Rows are grouped by these bits; inside a group that holds
 more than one row the canonical bytes themselves are compared, by their least and greatest value, and texts that share the bits but
 differ get different suffixes. So equal fingerprints mean equal canonical texts, without an assumption about the hash.
@@ -31,9 +31,14 @@ def nfc(col: Column) -> Column:
     return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(False))
 
 
+def folded(col: Column) -> Column:
+    """Unicode's full case folding, by ICU as well: it also makes ss of sharp s, and one letter of both forms of small sigma."""
+    return F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), col, F.lit(True))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null counts as empty."""
-    plain = nfc(F.lower(nfc(F.coalesce(text, F.lit("")))))
+    plain = nfc(folded(nfc(F.coalesce(text, F.lit("")))))
     return F.trim(F.regexp_replace(plain, f"[ {_SPACES}]{{2,}}|[{_SPACES}]", " "))
 
 

@@ -144,7 +144,7 @@ def sample_of_labelled(docs: DataFrame, lang: str, text: str, key: str, per_lang
         return docs.where(F.lit(False))
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
     roll = (F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("lang-sample")), F.lit(1 << 20)) / float(1 << 20))
-    return docs.where(F.col(text).isNotNull() & (roll < share[F.col(lang)])).limit(2 * per_lang * len(counts))
+    return docs.where(F.col(text).isNotNull() & (roll < share[F.col(lang)])).orderBy(roll, F.xxhash64(text)).limit(2 * per_lang * len(counts))  # more only if keys repeat
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", per_lang: int = 800) -> LanguageModel:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import bounded_batches, stored
 
 ROW = 64
 SCHEME = "sha256:"
@@ -74,7 +74,7 @@ FACTS = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,med
 _FACTS = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
 
-def catalogue(media: DataFrame) -> DataFrame:
+def catalogue(media: DataFrame, payload: bool = False) -> DataFrame:
     """One row per digest, from the stored bytes: n_bytes and what FACTS names."""
 
     @F.arrow_udf(FACTS)
@@ -87,72 +87,120 @@ def catalogue(media: DataFrame) -> DataFrame:
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), features(samples)))
         return pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows) if rows else [[]] * len(_FACTS), _FACTS)], names=[n for n, _ in _FACTS])
 
-    return media.select("digest", "n_bytes", facts("media").alias("f")).groupBy("digest").agg(F.min("n_bytes").alias("n_bytes"), F.min("f").alias("f"))
+    kept = [F.min("media").alias("media")] if payload else []  # one digest, one payload
+    return media.select("digest", "n_bytes", facts("media").alias("f"), *(["media"] if payload else [])).groupBy("digest").agg(F.min("n_bytes").alias("n_bytes"), F.min("f").alias("f"), *kept)
+
+
+class _Figure:
+    """An open figure: the places of its media, and its caption so far."""
+
+    def __init__(self):
+        self.media: list[int] = []
+        self.caption: list[str] = []
 
 
 class _Sequence(HTMLParser):
-    """Collects (kind, text, digest, caption) in document order."""
+    """Collects (kind, text, digest, caption) in document order.
+
+    A figure's caption, wherever in it, goes to its media and to those of figures inside it that have none of their own. A caption that
+    has no media to go to is text, and so is a figcaption outside a figure. What is not closed ends with what holds it. A head ends with
+    its end tag or the first element that can't be in one.
+    """
 
-    SKIP = frozenset({"script", "style", "head", "noscript", "template"})
+    SKIP = frozenset({"script", "style", "noscript", "template", "title"})
+    IN_HEAD = SKIP | {"html", "head", "meta", "link", "base"}
     MEDIA = frozenset({"img", "audio", "video", "source", "embed"})
+    BLOCKS = frozenset({"p", "div", "br", "h1", "h2", "h3", "li", "tr", "section", "article"})
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self.words: list[str] = []
         self.skip = 0
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
+        self.head = False
+        self.figures: list[_Figure] = []
+        self.captions: list[bool] = []  # for each figure whether its figcaption is open
 
     def _flush(self) -> None:
         if said := " ".join("".join(self.words).split()):
             self.items.append(["text", said, None, None])
         self.words = []
 
+    def _end_figure(self) -> None:
+        self._flush()
+        figure = self.figures.pop()
+        self.captions.pop()
+        said = " ".join("".join(figure.caption).split())
+        if said and not figure.media:
+            self.items.append(["text", said, None, None])
+        for k in figure.media:
+            if said and not self.items[k][4]:
+                self.items[k][3], self.items[k][4] = said, True
+        if self.figures:
+            self.figures[-1].media += figure.media
+
+    def finish(self) -> list[list]:
+        self.close()
+        while self.figures:
+            self._end_figure()
+        self._flush()
+        return [item[:4] for item in self.items]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in self.IN_HEAD:
+            self.head = False
         if tag in self.SKIP:
             self.skip += 1
+        elif tag == "head":
+            self.head = True
         elif tag == "figure":
             self._flush()
-            self.figure = []
+            self.figures.append(_Figure())
+            self.captions.append(False)
         elif tag == "figcaption":
             self._flush()
-            self.caption = []
+            if self.figures:
+                self.captions[-1] = True
+                self.figures[-1].caption.append(" ")
         elif tag in self.MEDIA:
             self._flush()
             a = dict(attrs)
             src = a.get("src") or ""
-            self.items.append(["media", None, src.removeprefix(SCHEME) if src.startswith(SCHEME) else src or None, a.get("alt")])
-            if self.figure is not None:
-                self.figure.append(len(self.items) - 1)
-        elif tag in ("p", "div", "br", "h1", "h2", "h3", "li", "tr", "section", "article"):
+            self.items.append(["media", None, src.removeprefix(SCHEME) if src.startswith(SCHEME) else src or None, a.get("alt"), False])
+            if self.figures:
+                self.figures[-1].media.append(len(self.items) - 1)
+        elif tag in self.BLOCKS:
+            self._break()
+
+    def _break(self) -> None:
+        if self.captions and self.captions[-1]:
+            self.figures[-1].caption.append(" ")
+        else:
             self._flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for k in self.figure or []:
-                self.items[k][3] = said or self.items[k][3]
-            self.caption = None
-        elif tag == "figure":
-            self._flush()
-            self.figure = None
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "tr", "section", "article"):
+        elif tag == "head":
+            self.head = False
+        elif tag == "figcaption":
+            if self.captions:
+                self.captions[-1] = False
             self._flush()
+        elif tag == "figure" and self.figures:
+            self._end_figure()
+        elif tag in self.BLOCKS:
+            self._break()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            (self.words if self.caption is None else self.caption).append(data)
+        if not self.skip and not self.head:
+            (self.figures[-1].caption if self.captions and self.captions[-1] else self.words).append(data)
 
 
 def parse(html: str | None) -> list[list]:
     p = _Sequence()
     p.feed(html or "")
-    p.close()
-    p._flush()
-    return p.items
+    return p.finish()
 
 
 _ITEM = pa.struct([("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
@@ -165,16 +213,20 @@ def sequences(pages: DataFrame, key: str, html: str, out: str = "items") -> Data
     def run(col: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(("kind", "text", "digest", "caption"), x)) for x in parse(h)] for h in col.to_pylist()], pa.list_(_ITEM))
 
+    bounded_batches(pages.sparkSession)
     return pages.withColumn(out, run(F.col(html)))
 
 
 def interleave(pages: DataFrame, facts: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, row (number of the row within its key) and sequence: array of (position, kind, text, digest, caption, n_bytes, f), in document order."""
+    """key, row (number of the row within its key) and sequence: array of (position, kind, text, digest, caption, and the columns of facts), in document order.
+
+    facts has a row for each digest: catalogue(media) for descriptions, with payload=True for the stored media themselves.
+    """
     rows = sequences(pages.select(key, html), key, html).select(key, "items", F.monotonically_increasing_id().alias("row"))
     named = stored(rows)  # row numbers must not change when a task runs again
     items = named.select(key, "row", F.posexplode_outer("items").alias("position", "item"))
     resolved = items.join(facts, items["item.digest"] == facts["digest"], "left")
-    item = F.struct(F.col("position"), F.col("item.kind").alias("kind"), F.col("item.text").alias("text"), F.col("item.digest").alias("digest"), F.col("item.caption").alias("caption"), F.col("n_bytes"), F.col("f"))
+    item = F.struct(F.col("position"), F.col("item.kind").alias("kind"), F.col("item.text").alias("text"), F.col("item.digest").alias("digest"), F.col("item.caption").alias("caption"), *[F.col(c) for c in facts.columns if c != "digest"])
     return resolved.groupBy("row").agg(F.first(key).alias(key), F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), item))).alias("sequence"))
 
 

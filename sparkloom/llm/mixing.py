@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> D
         return DomainModel()
     roll = F.pmod(F.xxhash64("doc_id", F.lit("domain-sample")), F.lit(1 << 20)) / float(1 << 20)
     share = F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(min(1.0, per_domain / counts[d])))])
-    chosen = named.where(roll < share[F.col("_domain")]).limit(2 * per_domain * len(domains))
+    chosen = named.where(roll < share[F.col("_domain")]).orderBy(roll, "_domain").limit(2 * per_domain * len(domains))  # more only if ids repeat
     sample = described(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     each = sample.select("_domain", F.explode(F.concat("_shape", "_words")).alias("f"))
     by = stored(each.groupBy("f").agg(*[F.sum((F.col("_domain") == d).cast("bigint")).alias(d) for d in domains]))

@@ -5,7 +5,8 @@ sum of squared counts of open bins, taken over the residual gaps, becomes smalle
 new bin. Only lengths take part; a full piece is a sequence of its own.
 
 Packing is sequential within a group, so pieces are dealt by a hash into groups of about `group` pieces, of any document, source or
-text; each group is packed by itself, long pieces first, and its half-empty bins are broken up and packed once more with the rest.
+text; each group is packed by itself, long pieces first. Its half-empty bins are then broken up and their pieces placed again by the
+same sums, but now with a new bin only where no open one has room, while that saves bins.
 Groups grow in number with the input, not in size, and a group needs a few numbers for each piece.
 
 Null texts count as empty: one piece that holds the end id alone. Repeated rows are packed one by one. An empty table gives an
@@ -99,7 +100,7 @@ class WordEncoder:
         if len(words) < MAX_WORDS:
             words.update(new)
             return b"".join(map(words.__getitem__, split))
-        return b"".join([words.get(w) or new[w] for w in split])
+        return b"".join([new[w] if w in new else words[w] for w in split])  # a word may have no ids at all
 
 
 @functools.lru_cache(maxsize=1)
@@ -139,8 +140,8 @@ def tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
     return docs.withColumn(out, ids(F.col(text)))
 
 
-def _place(lengths: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
-    """Sum-of-squares placement in the given order: each piece's bin, and each bin's gap."""
+def _place(lengths: np.ndarray, order: np.ndarray, capacity: int, last: bool = False) -> tuple[np.ndarray, list[int]]:
+    """Sum-of-squares placement in the given order: each piece's bin, and each bin's gap. last: no new bin while an open one has room."""
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap; full bins don't count
     at: list[list[int]] = [[] for _ in range(capacity + 1)]
     bin_of, gaps = np.empty(len(lengths), np.int64), []
@@ -158,7 +159,7 @@ def _place(lengths: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.nd
             change = np.where(np.arange(n, capacity + 1) == capacity, inf, change)
         best = int(change.argmin())
         fresh = 2 * int(count[capacity - n]) + 1 if n < capacity else 0
-        if change[best] == inf or fresh < change[best]:
+        if change[best] == inf or (fresh < change[best] and not last):
             b, left = len(gaps), capacity - n
             gaps.append(left)
         else:
@@ -185,8 +186,9 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, rounds: int = 3) -> tupl
         again = np.flatnonzero(open_[best])
         if not len(again):
             break
-        # best fit among the open bins' own pieces: the closed bins stay as they are
-        placed, own = _best_fit(lengths[again], capacity)
+        # the open bins' own pieces once more: the closed bins stay as they are
+        placed, own_gaps = _place(lengths[again], np.argsort(-lengths[again], kind="stable"), capacity, last=True)
+        own = len(own_gaps)
         if own >= int(open_.sum()):
             break
         closed = np.cumsum(~open_) - 1
@@ -202,26 +204,6 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, rounds: int = 3) -> tupl
     return best, offset
 
 
-def _best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Best fit, long pieces first."""
-    at: list[list[int]] = [[] for _ in range(capacity + 1)]
-    some = np.zeros(capacity + 2, bool)
-    bin_of, n = np.empty(len(lengths), np.int64), 0
-    for k in np.argsort(-lengths, kind="stable"):
-        need = int(lengths[k])
-        g = need + int(some[need:].argmax())
-        if some[g]:
-            b = at[g].pop()
-            some[g] = bool(at[g])
-        else:
-            b, g, n = n, capacity, n + 1
-        if g - need:
-            at[g - need].append(b)
-            some[g - need] = True
-        bin_of[k] = b
-    return bin_of, n
-
-
 def pack_pieces(rows: DataFrame, keys: list[str], length: str = "length", capacity: int = CAPACITY, group: int = 100_000) -> DataFrame:
     """rows (which must give the same rows when read again) with sequence_id and offset."""
     total = rows.where(F.col(length) < capacity).count()

@@ -108,7 +108,11 @@ def _vote(text: str, kind: str, start: int, end: int, base: bool) -> tuple[str,
         votes.append("+" if re.search(r"[A-Za-z]", span) and ".." not in span else "-")
     if kind == "email":
         words = [w.lower() for w in re.split(r"[^A-Za-z0-9]+", span) if w]
-        votes.append("+" if words[-1] in TOP_DOMAINS or FIRST_NAMES & set(words) else "-" if not words[-1].isalpha() else "0")
+        known = words[-1] in TOP_DOMAINS
+        if base:
+            votes.append("+" if known or FIRST_NAMES & set(words) else "-" if not words[-1].isalpha() else "0")
+        else:  # ordinary words can look like an address that is spelt out
+            votes.append("+" if known else "-")
     elif kind == "phone":
         votes.append("+" if span[0] == "+" else "0")
     elif kind == "card":
@@ -214,8 +218,8 @@ def joined(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, a digest of the base spans and all spans."""
+    """One row per document: counts of the base kinds, a digest of the base spans, all spans and their number."""
     found = find_pii(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["base"])
-    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -180,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> QualityM
     counts = {r[0]: r[1] for r in labels.groupBy("quality").count().collect()}
     roll = F.pmod(F.xxhash64("doc_id", F.lit("quality-sample")), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("quality") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
-    chosen = labels.where(roll < share).limit(4 * per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", F.coalesce("text", F.lit("")).alias("text")).limit(8 * per_class).collect()
+    chosen = labels.where(roll < share)  # about per_class rows of each class
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.orderBy(F.xxhash64("quality", "text"), "text").limit(4 * per_class).collect()  # more only if ids repeat; a fixed choice of them
     rows = sorted((r[0], r[1]) for r in rows)
     return fit([t.encode("utf-8", "replace") for _, t in rows], np.array([q for q, _ in rows], int))
 

@@ -13,7 +13,8 @@ by that text, and no shuffle takes place, so a hot source or group of copies cha
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,26 +54,34 @@ def _varied(word: str) -> bool:
 
 
 class _Intervals:
-    """Disjoint intervals in order, for nearest-neighbour probes."""
+    """Intervals, which may overlap or hold each other, for probes of what lies near."""
 
     def __init__(self, spans: list[tuple[int, int]]):
         self.spans = sorted(spans)
         self.starts = [s for s, _ in self.spans]
+        self.reach = list(accumulate((e for _, e in self.spans), max))  # the furthest end so far
 
     def near(self, start: int, end: int, window: int, scope: tuple[int, int]) -> bool:
-        k = bisect_left(self.starts, start)
-        for s, e in self.spans[max(0, k - 1) : k + 2]:
-            if scope[0] <= s and e <= scope[1] and (s, e) != (start, end) and s - end <= window and start - e <= window:
+        """Whether another interval inside the scope lies within `window` of (start, end)."""
+        k, low = bisect_right(self.starts, end + window) - 1, bisect_left(self.starts, scope[0])
+        while k >= low and self.reach[k] >= start - window:
+            s, e = self.spans[k]
+            if e >= start - window and e <= scope[1] and (s, e) != (start, end):
                 return True
+            k -= 1
         return False
 
+    def overlap(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end) - 1
+        return k >= 0 and self.reach[k] > start
+
 
 def scan(text: str, window: int = 400) -> list[tuple[str, int, int, bool]]:
     """All spans of a text as (kind, start, end, base), by start and then kind."""
     base = base_spans(text)
     out = [(*x, True) for x in base]
     taken = _Intervals([(s, e) for _, s, e in base])
-    free = lambda s, e: not taken.near(s, e, -1, (0, len(text))) and (s, e) not in taken.spans
+    free = lambda s, e: not taken.overlap(s, e)
     weak = {"weak_id": [], "weak_secret": [], "endpoint": []}
     if ":" in text or "=" in text:
         weak["weak_id"] = [m.span() for m in WEAK_ID.finditer(text) if free(*m.span())]

@@ -76,7 +76,8 @@ def token_counts(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url") ->
     host = F.expr("translate(substring_index(substring_index(substring_index(u, '/', 1), '?', 1), '#', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
     rest = pages.where(F.col(url).contains("://")).select(F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)").alias("u"))
     whole = rest.select(F.concat(host, F.expr("substring(substring_index(substring_index(u, '?', 1), '#', 1), length(substring_index(substring_index(substring_index(u, '/', 1), '?', 1), '#', 1)) + 1)")).alias("u"))
-    each = whole.select(F.explode(F.array_intersect(F.array_distinct(F.split("u", SPLIT)), F.array(*map(F.lit, wanted)))).alias("token"))
+    tokens = pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string")  # those of MAX_RULES rules at most
+    each = whole.select(F.explode(F.array_distinct(F.split("u", SPLIT))).alias("token")).join(F.broadcast(tokens), "token")
     return {r[0]: r[1] for r in each.groupBy("token").count().collect()}
 
 

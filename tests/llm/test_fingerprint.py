@@ -12,7 +12,7 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 def canon(t):
     nfc = lambda s: unicodedata.normalize("NFC", s)
-    return SPACE.sub(" ", nfc(nfc(t).lower())).strip(" ")
+    return SPACE.sub(" ", nfc(nfc(t).casefold())).strip(" ")
 
 
 def digest(t):
