@@ -104,8 +104,10 @@ def _vote(text: str, kind: str, start: int, end: int, base: bool) -> tuple[str,
     elif kind == "ip":
         parts = re.split(r"[.:]", span)
         votes.append("+" if len(parts) == 8 or all(len(p) < 4 and (p == "0" or p[0] != "0") for p in parts) else "-")
-    else:
+    elif base:
         votes.append("+" if re.search(r"[A-Za-z]", span) and ".." not in span else "-")
+    else:  # letters alone say nothing where the address is spelt out
+        votes.append("+" if re.search(r"[\[(0-9._+-]", span) else "0")
     if kind == "email":
         words = [w.lower() for w in re.split(r"[^A-Za-z0-9]+", span) if w]
         known = words[-1] in TOP_DOMAINS
