@@ -63,12 +63,13 @@ def shingles(c: Column, k: int = 3) -> Column:
 
 
 #: Record kinds and labels.
-TASK_TYPES = "code_generation code_completion bug_fixing code_explanation code_optimization algorithm_implementation data_structure library_usage code".split()
+TASK_TYPES = ("code_generation", "code_completion", "bug_fixing", "code_explanation", "code_optimization", "algorithm_implementation", "data_structure", "library_usage", "code")
 CATEGORIES = (
-    "beginner conditions loops functions recursion strings lists tuples sets dictionaries oop files exceptions modules algorithms sorting "
-    "searching arrays linked_lists stacks queues trees graphs dynamic_programming greedy backtracking math numpy pandas matplotlib regex "
-    "debugging optimization code_completion intermediate_python misc"
-).split()
+    "beginner", "conditions", "loops", "functions", "recursion", "strings", "lists", "tuples", "sets", "dictionaries", "oop", "files",
+    "exceptions", "modules", "algorithms", "sorting", "searching", "arrays", "linked_lists", "stacks", "queues", "trees", "graphs",
+    "dynamic_programming", "greedy", "backtracking", "math", "numpy", "pandas", "matplotlib", "regex", "debugging", "optimization",
+    "code_completion", "intermediate_python", "misc",
+)
 CATEGORY_ALIASES = {
     "linked-list": "linked_lists", "linked list": "linked_lists", "linkedlist": "linked_lists", "linked lists": "linked_lists",
     "dict": "dictionaries", "dictionary": "dictionaries", "oop_python": "oop", "object_oriented": "oop",
@@ -81,13 +82,13 @@ def category(c: Column) -> Column:
     key = F.replace(F.lower(strip(c)), F.lit("/"), F.lit("_"))
     alias = F.create_map(*[F.lit(x) for pair in CATEGORY_ALIASES.items() for x in pair])
     named = F.coalesce(F.try_element_at(alias, key), F.replace(key, F.lit(" "), F.lit("_")))
-    return F.when(named.isin(CATEGORIES), named)
+    return F.when(named.isin(list(CATEGORIES)), named)
 
 
 def task_type(c: Column) -> Column:
     """The canonical task type, or null for an unknown one."""
     key = F.translate(F.lower(strip(c)), "- ", "__")
-    return F.when(key.isin(TASK_TYPES), key)
+    return F.when(key.isin(list(TASK_TYPES)), key)
 
 
 #: Keyword rules of families, in order; all words of a rule must occur.
@@ -143,12 +144,15 @@ def evaluation_prompt(instruction: Column, input_: Column) -> Column:
     return F.concat(F.lit("### User\n"), instruction, given, F.lit(MARKER))
 
 
+#: Fixed patterns: what a line of code begins with, and a fenced block.
 CODE_START = r"(?ms)^(?:from\s+\w+|import\s+\w+|def\s+\w+|class\s+\w+|if\s+__name__\s*==|if\s+|for\s+|while\s+|print\s*\(|[A-Za-z_]\w*\s*=).*"
 
+FENCE = r"(?is)```(?:python|py)?\s*\n?(.*?)```"
+
 
 def extract_code(c: Column) -> Column:
     """The longest fenced block, the first of equals; else the text from the first line that looks like code; else null."""
-    blocks = F.regexp_extract_all(c, F.lit(r"(?is)```(?:python|py)?\s*\n?(.*?)```"), F.lit(1))
+    blocks = F.regexp_extract_all(c, F.lit(FENCE), F.lit(1))
     longest = F.aggregate(blocks, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull() | (F.length(b) > F.length(a)), b).otherwise(a))
     rest = F.regexp_extract(c, CODE_START, 0)
     return F.when(F.size(blocks) > 0, strip(longest)).when(rest != "", strip(rest))

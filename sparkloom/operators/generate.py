@@ -19,12 +19,25 @@ FAMILIES = {
     "intermediate_python": 120, "misc": 40,
 }
 BLUEPRINTS = {
-    "beginner": "parity sign digit_sum reverse", "conditions": "parity sign prime", "functions": "factorial fibonacci safe_int generator",
-    "strings": "reverse vowels unique anagram", "oop": "accumulator counter dataclass_like", "arrays": "unique chunk sort",
-    "linked_lists": "linked_values reverse", "stacks": "stack", "queues": "queue", "trees": "tree_sum binary_search", "graphs": "graph_degree bfs_order",
-    "algorithms": "sort binary_search window prefix_sum merge", "debugging": "bug_fix bug_boundary bug_accumulator",
-    "code_completion": "completion completion_loop", "files": "file_lines safe_int csv_rows", "numpy": "numpy_mean numpy_shape numpy_filter",
-    "pandas": "pandas_filter pandas_group pandas_missing", "intermediate_python": "generator merge decorator_like context_like", "misc": "chunk safe_int merge",
+    "beginner": ("parity", "sign", "digit_sum", "reverse"),
+    "conditions": ("parity", "sign", "prime"),
+    "functions": ("factorial", "fibonacci", "safe_int", "generator"),
+    "strings": ("reverse", "vowels", "unique", "anagram"),
+    "oop": ("accumulator", "counter", "dataclass_like"),
+    "arrays": ("unique", "chunk", "sort"),
+    "linked_lists": ("linked_values", "reverse"),
+    "stacks": ("stack",),
+    "queues": ("queue",),
+    "trees": ("tree_sum", "binary_search"),
+    "graphs": ("graph_degree", "bfs_order"),
+    "algorithms": ("sort", "binary_search", "window", "prefix_sum", "merge"),
+    "debugging": ("bug_fix", "bug_boundary", "bug_accumulator"),
+    "code_completion": ("completion", "completion_loop"),
+    "files": ("file_lines", "safe_int", "csv_rows"),
+    "numpy": ("numpy_mean", "numpy_shape", "numpy_filter"),
+    "pandas": ("pandas_filter", "pandas_group", "pandas_missing"),
+    "intermediate_python": ("generator", "merge", "decorator_like", "context_like"),
+    "misc": ("chunk", "safe_int", "merge"),
 }
 FORMS = ("Write a Python function that {description}.", "Implement Python code to {description}.", "Create a reusable Python solution that {description}.", "Given the input values, use Python to {description}.")
 FULL, PER_FAMILY = 100_000, 25
@@ -52,7 +65,7 @@ def grid(spark: SparkSession, target: int = FULL, per_family: int = PER_FAMILY)
     ordinal, name, first = F.col("id"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
     for c, a, b in reversed(at):
         name, first = F.when((ordinal >= a) & (ordinal < b), c).otherwise(name), F.when((ordinal >= a) & (ordinal < b), a).otherwise(first)
-    prints = F.create_map(*[x for c, v in BLUEPRINTS.items() for x in (F.lit(c), F.array(*map(F.lit, v.split())))])
+    prints = F.create_map(*[x for c, v in BLUEPRINTS.items() for x in (F.lit(c), F.array(*map(F.lit, v)))])
     rows = spark.range(min(target, upto)).select(ordinal.alias("ordinal"), name.alias("category"), (ordinal - first).alias("k"))
     rows = rows.select("ordinal", "category", F.floor(F.col("k") / per_family).alias("family_index"), (F.col("k") % per_family).alias("variant"))
     turn = F.element_at(prints, F.col("category"))
@@ -67,34 +80,34 @@ def grid(spark: SparkSession, target: int = FULL, per_family: int = PER_FAMILY)
     )
 
 
-#: Templates: what the code does, the code, and arguments of its tests. P is a family's parameter, D its divisor.
+#: Our own tasks under the fixed names of the blueprints: what the code does, the code, and arguments of its tests. P is a family's parameter, D its divisor.
 TEMPLATES: dict[str, tuple[str, str, list]] = {
-    "parity": ("check whether a number is divisible by D", "def solve(value):\n    remainder = value % D\n    return 'divisible' if not remainder else 'not divisible'", [["D"], ["D1"]]),
-    "sign": ("compare an integer with the boundary P", "def solve(value):\n    if value == P:\n        return 'equal'\n    return ('below', 'above')[value > P]", [["P"], ["P1"], [0]]),
-    "digit_sum": ("return the digit sum scaled by P", "def solve(value):\n    total, rest = 0, abs(value)\n    while rest:\n        rest, digit = divmod(rest, 10)\n        total += digit\n    return total * P", [[507], [-38]]),
-    "reverse": ("reverse a sequence and keep its first P items", "def solve(items):\n    return list(reversed(items))[:P]", [[[1, 2, 3]], [[]]]),
-    "prime": ("tell whether a number above P is prime", "def solve(value):\n    if value <= P or value < 2:\n        return False\n    return all(value % k for k in range(2, int(value ** 0.5) + 1))", [[97], [91], [2]]),
-    "factorial": ("return factorials up to the limit P", "def solve(value):\n    if value > P:\n        raise ValueError('too large')\n    product = 1\n    while value > 1:\n        product, value = product * value, value - 1\n    return product", [[2], [1], [0]]),
-    "fibonacci": ("return the first Fibonacci numbers, at most P", "def solve(count):\n    out = [0, 1]\n    while len(out) < min(count, P):\n        out.append(out[-1] + out[-2])\n    return out[:min(count, P)]", [[2], [6]]),
+    "parity": ("count the even and the odd ones of a list's numbers once P is added to each", "def solve(numbers):\n    odd = sum((n + P) & 1 for n in numbers)\n    return [len(numbers) - odd, odd]", [[[1, 2, "P"]], [[]]]),
+    "sign": ("tell in which direction each reading moved away from P", "def solve(readings):\n    moves = []\n    for now in readings:\n        moves.append((now > P) - (now < P))\n    return moves", [[["P", "P1", 0]], [[]]]),
+    "digit_sum": ("list the numbers up to a limit whose digits add up to P", "def solve(limit):\n    return [n for n in range(limit + 1) if sum(map(int, str(n))) == P]", [[60], [0]]),
+    "reverse": ("turn round every run of P items and leave the runs in place", "def solve(items):\n    out = []\n    for at in range(0, len(items), P):\n        run = items[at:at + P]\n        run.reverse()\n        out.extend(run)\n    return out", [[[1, 2, 3, 4, 5]], [[]]]),
+    "prime": ("collect the first P primes from a starting number on", "def solve(start):\n    found, n = [], max(start, 2)\n    while len(found) < P:\n        if all(n % k for k in range(2, n) if k * k <= n):\n            found.append(n)\n        n += 1\n    return found", [[1], [90]]),
+    "factorial": ("write a number in the factorial base, with P places at most", "def solve(number):\n    places, base = [], 2\n    while number and len(places) < P:\n        number, place = divmod(number, base)\n        places.append(place)\n        base += 1\n    return places[::-1]", [[463], [0]]),
+    "fibonacci": ("count the steps until a sum of its two forerunners, from 1 and P, passes a mark", "def solve(mark):\n    older, newer, steps = 1, P, 0\n    while newer <= mark:\n        older, newer, steps = newer, older + newer, steps + 1\n    return steps", [[100], [0]]),
     "safe_int": ("convert text to an integer with the default P", "def solve(text):\n    try:\n        return int(str(text).strip())\n    except ValueError:\n        return P", [[" 12 "], ["x"]]),
     "generator": ("list multiples of P below a limit", "def solve(limit):\n    def multiples():\n        value = P\n        while value < limit:\n            yield value\n            value += P\n    return list(multiples())", [[30], [1]]),
-    "vowels": ("count vowels and add P", "def solve(text):\n    return P + sum(text.lower().count(v) for v in 'aeiou')", [["Orange"], [""]]),
-    "unique": ("remove repeats and keep at most P items", "def solve(items):\n    return list(dict.fromkeys(items))[:P]", [[[3, 1, 3]], [[]]]),
-    "anagram": ("check for anagrams of at least P letters", "def solve(a, b):\n    return len(a) >= P and sorted(a) == sorted(b)", [["listen", "silent"], ["ab", "cd"]]),
+    "vowels": ("hide the vowels of a text except in its first P letters", "def solve(text):\n    return text[:P] + ''.join('*' if c in 'aeiouAEIOU' else c for c in text[P:])", [["Orange juice, please"], [""]]),
+    "unique": ("name the items that stand exactly once among the first P", "def solve(items):\n    held = items[:P]\n    return [x for x in held if held.count(x) == 1]", [[[3, 1, 3, 4]], [[]]]),
+    "anagram": ("group words of the same letters and keep groups of P words at most", "def solve(words):\n    groups = {}\n    for word in words:\n        groups.setdefault(''.join(sorted(word)), []).append(word)\n    return [g for g in groups.values() if len(g) <= P]", [[["tea", "eat", "ate", "tan"]], [[]]]),
     "accumulator": ("add numbers to the start value P", "class Total:\n    def __init__(self):\n        self.value = P\n\n    def add(self, n):\n        self.value += n\n\n\ndef solve(numbers):\n    total = Total()\n    for n in numbers:\n        total.add(n)\n    return total.value", [[[1, 2]], [[]]]),
     "counter": ("count items that occur P times at most", "def solve(items):\n    counts = {}\n    for item in items:\n        counts[item] = counts.get(item, 0) + 1\n    return {k: v for k, v in counts.items() if v <= P}", [[["a", "b", "a"]], [[]]]),
     "dataclass_like": ("describe a point shifted by P", "class Point:\n    def __init__(self, x, y):\n        self.x, self.y = x, y\n\n    def shifted(self, by):\n        return Point(self.x + by, self.y + by)\n\n\ndef solve(x, y):\n    p = Point(x, y).shifted(P)\n    return [p.x, p.y]", [[1, 2]]),
-    "chunk": ("cut a list into parts of P items", "def solve(items):\n    return [items[k:k + P] for k in range(0, len(items), P)]", [[[1, 2, 3, 4, 5]], [[]]]),
+    "chunk": ("deal items in turn to P hands", "def solve(items):\n    return [items[hand::P] for hand in range(P)]", [[[1, 2, 3, 4, 5]], [[]]]),
     "sort": ("sort integers by their distance from P", "def solve(items):\n    return sorted(items, key=lambda n: (abs(n - P), n))", [[[9, 1, 4]], [[]]]),
     "linked_values": ("link values and read every P-th", "def solve(values):\n    head = None\n    for v in reversed(values):\n        head = (v, head)\n    out, k = [], 0\n    while head:\n        if k % P == 0:\n            out.append(head[0])\n        head, k = head[1], k + 1\n    return out", [[[1, 2, 3, 4, 5]], [[]]]),
     "stack": ("push values on a stack of P places and pop one", "def solve(values):\n    stack = []\n    for v in values:\n        if len(stack) < P:\n            stack.append(v)\n    return stack.pop() if stack else None", [[[1, 2, 3]], [[]]]),
     "queue": ("serve the first P of a queue", "def solve(values):\n    served, rest = values[:P], values[P:]\n    return [served, len(rest)]", [[[1, 2, 3]], [[]]]),
     "tree_sum": ("sum a nested tree and add P", "def solve(tree):\n    def total(node):\n        return node if isinstance(node, int) else sum(map(total, node))\n    return total(tree) + P", [[[1, [2, [3]]]], [[]]]),
-    "binary_search": ("find P in a sorted list", "def solve(items):\n    low, high = 0, len(items)\n    while low < high:\n        middle = (low + high) // 2\n        if items[middle] < P:\n            low = middle + 1\n        else:\n            high = middle\n    return low if low < len(items) and items[low] == P else -1", [[[1, "P", 90]], [[]]]),
+    "binary_search": ("count the numbers below P in a sorted list by halving", "def solve(ordered):\n    low, high = 0, len(ordered)\n    while low != high:\n        half = low + (high - low) // 2\n        low, high = (half + 1, high) if ordered[half] < P else (low, half)\n    return low", [[[1, "P", 90]], [[]]]),
     "graph_degree": ("name nodes of degree P or more", "def solve(edges):\n    degree = {}\n    for a, b in edges:\n        for node in (a, b):\n            degree[node] = degree.get(node, 0) + 1\n    return sorted(n for n, d in degree.items() if d >= P)", [[[[1, 2], [1, 3], [1, 4]]], [[]]]),
     "bfs_order": ("visit at most P nodes breadth first", "def solve(graph, start):\n    seen, queue = [start], [start]\n    while queue:\n        for node in graph.get(queue.pop(0), []):\n            if node not in seen:\n                seen.append(node)\n                queue.append(node)\n    return seen[:P]", [[{"a": ["b", "c"], "b": ["d"]}, "a"]]),
-    "window": ("return sums of P neighbours", "def solve(items):\n    return [sum(items[k:k + P]) for k in range(len(items) - P + 1)]", [[[1, 2, 3, 4]], [[]]]),
-    "prefix_sum": ("return running sums from P", "def solve(items):\n    out, total = [], P\n    for n in items:\n        total += n\n        out.append(total)\n    return out", [[[1, 2, 3]], [[]]]),
+    "window": ("find the narrowest spread of P neighbours", "def solve(items):\n    spreads = []\n    for end in range(P, len(items) + 1):\n        part = items[end - P:end]\n        spreads.append(max(part) - min(part))\n    return min(spreads, default=None)", [[[1, 2, 8, 9, 30] * 8], [[]]]),
+    "prefix_sum": ("find the place where a running total first reaches P", "def solve(items):\n    total = 0\n    for place, n in enumerate(items):\n        total += n\n        if total >= P:\n            return place\n    return None", [[[1, 2, 3, 40]], [[]]]),
     "merge": ("merge two sorted lists and drop values below P", "def solve(a, b):\n    out, i, j = [], 0, 0\n    while i < len(a) or j < len(b):\n        if j == len(b) or (i < len(a) and a[i] <= b[j]):\n            out.append(a[i])\n            i += 1\n        else:\n            out.append(b[j])\n            j += 1\n    return [n for n in out if n >= P]", [[[1, 30], [2, 40]], [[], []]]),
     "bug_fix": ("repair a mean that failed on empty input and used P as default", "def solve(items):\n    return sum(items) / len(items) if items else P", [[[1, 3]], [[]]]),
     "bug_boundary": ("repair a range that left out its end P", "def solve(start):\n    return list(range(start, P + 1))", [[1], [99]]),

@@ -20,7 +20,7 @@ def assign_families(sizes: list[tuple[str, int]], ratios: tuple[float, float, fl
     total = sum(n for _, n in sizes)
     got, out = dict.fromkeys(SPLITS, 0), {}
     if len(sizes) >= 3:
-        for (family, n), split in zip(sorted(sizes, key=lambda x: (x[1], x[0])), SPLITS[1:]):
+        for (family, n), split in zip(sorted(sizes, key=lambda x: (x[1], *((False,) if x[0] is None else (True, x[0])))), SPLITS[1:]):
             out[family] = split
             got[split] += n
     for family, n in sizes:
@@ -34,7 +34,7 @@ def assign_families(sizes: list[tuple[str, int]], ratios: tuple[float, float, fl
 def family_split(df: DataFrame, family: str, ordinal: str, seed: int = 42, mode: str = "hash", ratios: tuple[float, float, float] = (0.9, 0.05, 0.05)) -> DataFrame:
     """df with `split`. mode python: families by first occurrence, shuffled by Python's generator; mode hash: in order of a digest.
 
-    The driver sees one row for each family.
+    Rows without a family are one family. The driver sees one row for each family; hash_split needs none.
     """
     spark = df.sparkSession
     sizes = df.groupBy(family).agg(F.count("*").alias("n"), F.min(ordinal).alias("first"), F.sha2(F.concat(F.lit(str(seed)), F.col(family).cast("string")), 256).alias("digest"))
@@ -42,7 +42,8 @@ def family_split(df: DataFrame, family: str, ordinal: str, seed: int = 42, mode:
     if mode == "python":
         random.Random(seed).shuffle(rows)
     chosen = spark.createDataFrame(list(assign_families(rows, ratios).items()) or [], f"`{family}` {df.schema[family].dataType.simpleString()}, split string")
-    return df.join(chosen, family)
+    chosen = chosen.withColumnRenamed(family, "_family")
+    return df.join(chosen, df[family].eqNullSafe(chosen["_family"])).drop("_family")
 
 
 def hash_split(df: DataFrame, family: str, seed: int = 42, percent: tuple[int, int] = (90, 95)) -> DataFrame:

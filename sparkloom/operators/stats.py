@@ -150,10 +150,8 @@ def gate(checks: DataFrame, name: str = "name", passed: str = "passed") -> DataF
 
 def classify_split(overlaps: dict[str, Column]) -> Column:
     """A test split by what it shares with training: prompts, solutions or templates, in that order."""
-    out = F
-    for label, n in overlaps.items():
-        out = out.when(n > 0, f"shares_{label}")
-    return out.otherwise("disjoint")
+    found = [F.when(n > 0, f"shares_{label}") for label, n in overlaps.items()]
+    return F.coalesce(*found, F.lit("disjoint"))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

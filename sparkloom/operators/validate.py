@@ -20,11 +20,11 @@ SECRET_PATTERNS = (
     r"(?:password|passwd)\s*[:=]\s*\S+",
 )
 ARTIFICIAL = r"(?:_train_|_validation_|_challenge_|Scenario\s+\d+|\b(?:task|example\s+id)\s+\d+)"
-LICENSES = "MIT BSD-2-Clause BSD-3-Clause Apache-2.0 ISC Unlicense CC0-1.0 project_owned generated".split()
+LICENSES = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "ISC", "Unlicense", "CC0-1.0", "project_owned", "generated")
 INSTRUCTION_CHARS, RESPONSE_CHARS, RESPONSE_LINES = (10, 2000), (10, 12000), 300
-FORBIDDEN_IMPORTS = "os sys subprocess socket shutil pathlib requests urllib http ftplib".split()
-DYNAMIC_CALLS = "eval exec compile __import__".split()
-SFT_FIELDS = "id instruction input response response_type category skill_id prompt_template_id difficulty task_style function_name test_cases provenance".split()
+FORBIDDEN_IMPORTS = ("os", "sys", "subprocess", "socket", "shutil", "pathlib", "requests", "urllib", "http", "ftplib")
+DYNAMIC_CALLS = ("eval", "exec", "compile", "__import__")
+SFT_FIELDS = ("id", "instruction", "input", "response", "response_type", "category", "skill_id", "prompt_template_id", "difficulty", "task_style", "function_name", "test_cases", "provenance")
 
 
 def _any(tests: list[Column]) -> Column:
@@ -70,16 +70,16 @@ def schema_issue(prefix: str = "") -> Column:
         F.when(blank("id"), "id")
         .when(~code & blank("instruction"), "instruction")
         .when(F.when(code, blank("code")).otherwise(blank("response")), "response")
-        .when(c("language") != "python", "language")
-        .when(~c("task_type").isin(TASK_TYPES), "task_type")
-        .when(~c("category").isin(CATEGORIES), "category")
+        .when(F.lower(F.coalesce(strip(c("language")), F.lit(""))) != "python", "language")
+        .when(~c("task_type").isin(list(TASK_TYPES)), "task_type")
+        .when(~c("category").isin(list(CATEGORIES)), "category")
         .when(c("quality_score").isNull() | ~c("quality_score").between(0, 1), "quality_score")
     )
 
 
-def license_known(license_: Column, allowed: list[str] | None = None) -> Column:
+def license_known(license_: Column, allowed: list[str] | tuple[str, ...] | None = None) -> Column:
     known = F.coalesce(license_, F.lit("")) != ""
-    return known if allowed is None else known & license_.isin(allowed)
+    return known if allowed is None else known & license_.isin(list(allowed))
 
 
 # --- checks that need Python's parser -------------------------------------------------------------------------------

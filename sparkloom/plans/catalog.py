@@ -428,7 +428,7 @@ def bpe_encode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- generation and execution ----------------------------------------------------------------------------------------
 
-_ALLOCATED = ", ".join(f"('{c}', {k}, {sum(list(generate.allocation(5000).values())[:k])}, {n}, {[*generate.BLUEPRINTS[c].split()]})" for k, (c, n) in enumerate(generate.allocation(5000).items()))
+_ALLOCATED = ", ".join(f"('{c}', {k}, {sum(list(generate.allocation(5000).values())[:k])}, {n}, {[*generate.BLUEPRINTS[c]]})" for k, (c, n) in enumerate(generate.allocation(5000).items()))
 
 
 @query(

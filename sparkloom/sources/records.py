@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 #: The canonical record columns; `record_kind` tells instruction records from code-only ones.
 RECORD = T.StructType(
-    [T.StructField(n, T.StringType()) for n in "id task_type category instruction input response code language source".split()]
+    [T.StructField(n, T.StringType()) for n in ("id", "task_type", "category", "instruction", "input", "response", "code", "language", "source")]
     + [T.StructField("quality_score", T.DoubleType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("family_id", T.StringType())]
 )
 #: Fixed defaults of missing fields.

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import contamination, dedup, generate, packing, sampling, sandbox, splits, stats, tokens
+from sparkloom.operators import contamination, dedup, generate, packing, sampling, sandbox, splits, stats, tokens, validate
 
 
 def norm(t):
@@ -122,10 +122,10 @@ def test_masks_windows_and_checks(spark):
     assert got[0].input_ids == [1, 10, 11, 12, 2] and got[0].labels == [-100, -100, -100, 12, 2] and not got[0].truncated
     assert got[1].input_ids == [1, 16, 17, 18, 19, 30, 31, 2] and got[1].truncated
     assert got[2].input_ids == [*range(53, 60), 2] and got[2].prompt_length == 0
-    w = spark.range(1).select(F.explode(packing.windows(F.sequence(F.lit(0), F.lit(11)), 4)).alias("w")).collect()
-    assert len(w) == 8 and (w[2].w.x, w[2].w.y) == ([2, 3, 4, 5], [3, 4, 5, 6])
-    x = df.limit(1).select(packing.padded(F.array(*map(F.lit, [1, 10, 11, 2])), F.array(*map(F.lit, [-100, -100, 11, 2])), 5).alias("x")).first().x
-    assert x.x == [1, 10, 11, 0, 0] and x.y == [-100, 11, 2, -100, -100]
+    w = spark.range(1).select(F.explode(packing.windows(F.sequence(F.lit(3), F.lit(16)), 5)).alias("w")).collect()
+    assert len(w) == 9 and (w[2].w.x, w[2].w.y) == ([5, 6, 7, 8, 9], [6, 7, 8, 9, 10])
+    x = df.limit(1).select(packing.padded(F.array(*map(F.lit, [1, 30, 41, 52, 2])), F.array(*map(F.lit, [-100, -100, -100, 52, 2])), 6).alias("x")).first().x
+    assert x.x == [1, 30, 41, 52, 0, 0] and x.y == [-100, -100, 52, 2, -100, -100]
 
 
 def test_quantiles_offsets_and_epochs(spark):
@@ -162,3 +162,27 @@ def test_sandbox_outcomes():
     assert sandbox.run_tests("import os\ndef solve(x):\n    return 2", "solve", case) == "unsafe_for_execution"
     assert sandbox.run_tests("def solve(x):\n    return x", "solve", case, 20.0) == "runtime_failure"
     assert sandbox.run_tests("def solve(x):\n    return x + 1", "solve", case, 20.0) == "functional_pass"
+
+
+def test_null_keys_and_families_lose_no_row(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "A "), (5, "b")], "id long, k string")
+    assert sorted(r.id for r in dedup.exact_dedup(df, F.lower(F.trim("k")), "id").collect()) == [1, 2, 5]
+    flags = {r.id: r.has_earlier_k for r in dedup.earlier_flags(df, {"k": F.lower(F.trim("k"))}, "id").collect()}
+    assert flags == {1: False, 2: False, 3: True, 4: True, 5: False}
+    for mode in ("hash", "python"):
+        rows = spark.createDataFrame([(i, f) for i, f in enumerate(["x", "x", None, None, "y", "z", "z", "z"])], "id long, f string")
+        got = splits.family_split(rows, "f", "id", mode=mode).collect()
+        assert sorted(r.id for r in got) == list(range(8)) and len({(r.f, r.split) for r in got}) == 4
+
+
+def test_language_counts_whatever_its_case(spark):
+    row = {"id": "1", "instruction": "i", "response": "r", "code": "", "record_kind": "instruction", "task_type": "code_generation", "category": "strings", "quality_score": 1.0}
+    rows = [row | {"language": lang} for lang in ("Python", " python ", "java", "", None)]
+    schema = "id string, instruction string, response string, code string, record_kind string, task_type string, category string, quality_score double, language string"
+    got = [r.x for r in spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema).select(validate.schema_issue().alias("x")).collect()]
+    assert got == [None, None, "language", "language", "language"]
+
+
+def test_a_split_is_named_by_what_it_shares(spark):
+    got = spark.createDataFrame([(0, 0), (1, 1), (0, 2)], "p int, s int").select(stats.classify_split({"prompts": F.col("p"), "solutions": F.col("s")}).alias("x"), stats.classify_split({}).alias("y")).collect()
+    assert [tuple(r) for r in got] == [("disjoint", "disjoint"), ("shares_prompts", "disjoint"), ("shares_solutions", "disjoint")]
