@@ -1,17 +1,24 @@
-"""Column functions over text: cleaning, normal forms, keys, shingles and document formats. All run inside the JVM."""
+"""Column functions over text: cleaning, normal forms, keys, shingles and document formats. All but canonical_json run inside the JVM."""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed set: the characters that Python's str.strip() and \s treat as white space.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The same set as characters, and as a class in which one range test settles letters below U+1680.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_QUICK = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 
 
 def strip(c: Column) -> Column:
     """Outer white space removed, any Unicode kind."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean_text(c: Column) -> Column:
@@ -27,7 +34,7 @@ def strip_fence(c: Column) -> Column:
 
 def dedup_form(c: Column) -> Column:
     """Lower case, runs of white space as one space, stripped."""
-    return strip(F.regexp_replace(F.lower(c), f"[{SPACE}]+", " "))
+    return strip(F.regexp_replace(F.lower(c), f"{_QUICK}+", " "))
 
 
 def template_form(c: Column) -> Column:
@@ -46,8 +53,7 @@ def digest(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The dedup form's words; none for a blank text."""
-    form = dedup_form(c)
-    return F.when(form == "", F.array().cast("array<string>")).otherwise(F.split(form, " "))
+    return F.array_remove(F.split(dedup_form(c), " "), "")
 
 
 def shingles(c: Column, k: int = 3) -> Column:
@@ -55,7 +61,8 @@ def shingles(c: Column, k: int = 3) -> Column:
 
     def of(w: Column) -> Column:
         whole = F.array(F.concat_ws(" ", w))
-        many = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, k)))
+        joined = lambda i: F.concat(w[i], *[x for j in range(1, k) for x in (F.lit(" "), w[i + j])])
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - k), joined)
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= k, whole).otherwise(F.array_distinct(many))
 
     # bound by a transform over one element: inside a lambda an expression would be worked out again for each item
@@ -188,3 +195,35 @@ def line_count(c: Column) -> Column:
 
 def function_name(skill: Column, split: Column, index: Column) -> Column:
     return F.concat_ws("_", F.lit("solve"), F.regexp_replace(skill, "[^a-z0-9]+", "_"), split, index.cast("string"))
+
+
+def row_text(instruction: Column, input_: Column, response: Column) -> Column:
+    """A record as a benchmark measures it: its fields by lines, without an empty input. Nulls count as empty."""
+    i, g, r = (F.coalesce(c, F.lit("")) for c in (instruction, input_, response))
+    return F.concat(i, F.when(g != "", F.concat(F.lit("\n"), g)).otherwise(F.lit("")), F.lit("\n"), r)
+
+
+def record_keys(instruction: Column, input_: Column, response: Column) -> dict[str, Column]:
+    """Normal forms by which audits compare records: prompt, prompt with input, response, and prompt with response. Nulls count as empty."""
+    i, g, r = (F.coalesce(c, F.lit("")) for c in (instruction, input_, response))
+    line = F.lit("\n")
+    return {"prompt": dedup_form(i), "prompt_input": dedup_form(F.concat(i, line, g)), "response": dedup_form(r), "pair": dedup_form(F.concat(i, line, r))}
+
+
+@F.arrow_udf(T.StringType())
+def canonical_json(value: pa.Array) -> pa.Array:
+    """JSON texts with sorted keys and no white space, numbers in Python's form; null where the text is no JSON."""
+    out = []
+    for v in value.to_pylist():
+        try:
+            out.append(None if v is None else json.dumps(json.loads(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+        except (ValueError, RecursionError):
+            out.append(None)
+    return pa.array(out, pa.string())
+
+
+def review(id_: Column, fields: dict[str, Column], instruction: Column, response: Column) -> Column:
+    """A record as a section of a Markdown review. Nulls are shown as empty."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    lines = [x for n, c in fields.items() for x in (F.lit(f"- {n}: `"), shown(c), F.lit("`\n"))]
+    return F.concat(F.lit("## "), shown(id_), F.lit("\n\n"), *lines, F.lit("\n**Instruction:** "), shown(instruction), F.lit("\n\n```python\n"), shown(response), F.lit("\n```\n"))

@@ -35,3 +35,21 @@ def decay_groups(parameters: DataFrame, name: str = "name", dims: str = "dims",
 
 def meets_target(syntax: Column, compiled: Column, functional: Column, eos: Column) -> Column:
     return (syntax >= 0.8) & (compiled >= 0.8) & (functional >= 0.5) & (eos >= 0.95)
+
+
+def cross_entropy(logits: Column, target: Column, ignore: int = -100) -> Column:
+    """Loss of one position: log of the summed exponentials, less the target's logit; null for an ignored target, so that avg leaves it out."""
+
+    def of(x: Column) -> Column:
+        top = F.array_max(x)
+        return top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))) - F.get(x, target)
+
+    return F.when(target != ignore, F.get(F.transform(F.array(logits), of), F.lit(0)))
+
+
+def clipping(gradients: DataFrame, values: str, most: float = 1.0) -> DataFrame:
+    """One row: the norm over all arrays, the factor that brings it to `most` at most, and counts of values that are no finite numbers."""
+    v = F.col(values).cast("array<double>")
+    odd = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    row = gradients.agg(F.sqrt(F.coalesce(F.sum(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(0.0))).alias("norm"), F.coalesce(F.sum(F.size(F.filter(v, odd))), F.lit(0)).cast("bigint").alias("not_finite"))
+    return row.withColumn("factor", F.least(F.lit(1.0), F.lit(float(most)) / (F.col("norm") + 1e-6)))

@@ -80,6 +80,16 @@ def cache_stats(df: DataFrame, ids: str) -> DataFrame:
     return df.agg(F.count("*").alias("documents"), F.coalesce(F.sum(n), F.lit(0)).alias("tokens"), F.min(n).alias("min_tokens"), F.max(n).alias("max_tokens"), F.avg(n).alias("avg_tokens"), has(BOS).alias("bos"), has(EOS).alias("eos"), F.min(F.array_min(ids)).alias("min_id"), F.max(F.array_max(ids)).alias("max_id"))
 
 
+def sft_cache_stats(encoded: DataFrame, encoding: str = "e") -> DataFrame:
+    """One row over sft_encoding structs: documents, stored, answer and ignored tokens, truncated documents, longest document. Zeros for no rows."""
+    n = F.size(f"{encoding}.input_ids")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return encoded.agg(
+        F.count("*").alias("documents"), zero(F.sum(n)).alias("stored_tokens"), zero(F.sum(f"{encoding}.answer_length")).alias("answer_tokens"), zero(F.sum(f"{encoding}.prompt_length")).alias("ignored_tokens"),
+        F.count_if(f"{encoding}.truncated").alias("truncated"), zero(F.max(n)).alias("max_tokens"),
+    )
+
+
 def cache_checks(df: DataFrame, ids: str, labels: str, vocabulary: int = 32_000) -> DataFrame:
     """(name, passed): ids in range, same lengths, both kinds of label, labels that repeat their ids."""
     every = lambda c: F.coalesce(F.bool_and(c), F.lit(True))

@@ -97,3 +97,8 @@ def identity(spec: dict, probes: tuple[str, ...] = ("def f(x):\n    return x", "
     held = Tokenizer.from_str(json.dumps(spec))
     ids = json.dumps([held.encode(p, add_special_tokens=False).ids for p in probes])
     return {"spec": hashlib.sha256(text.encode()).hexdigest(), "behaviour": hashlib.sha256(ids.encode()).hexdigest()}
+
+
+def lookup(records: DataFrame, catalogue: DataFrame, skill: str = "skill_id") -> DataFrame:
+    """records with the columns of their skill; those of an unknown skill keep nulls. The catalogue has a row a skill, whatever the data's size."""
+    return records.join(F.broadcast(catalogue.dropDuplicates([skill])), skill, "left")

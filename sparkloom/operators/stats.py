@@ -28,6 +28,35 @@ def dimension_counts(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     return each.groupBy("x.dim", "x.value").agg(F.count("*").alias("n"))
 
 
+def dataset_summary(df: DataFrame, dims: dict[str, Column], score: Column | None = None) -> DataFrame:
+    """dimension_counts, with the quality histogram as one more dimension: what a report on records lists beside dataset_statistics."""
+    return dimension_counts(df, dims | ({"quality": quality_bucket(score)} if score is not None else {}))
+
+
+def sft_summary(df: DataFrame, instruction: Column, response: Column, cases: Column, distinct: dict[str, Column]) -> DataFrame:
+    """One row on instruction records: mean lengths of the normal forms, least and most test cases, distinct prompts, responses and other values, share of distinct responses. Zeros for no rows."""
+    i, r = dedup_form(F.coalesce(instruction, F.lit(""))), dedup_form(F.coalesce(response, F.lit("")))
+    # digests, so that whole texts aren't shuffled for the distinct counts
+    held = df.select(F.xxhash64(i, F.lit(1)).alias("hi"), F.xxhash64(i, F.lit(2)).alias("gi"), F.xxhash64(r, F.lit(1)).alias("hr"), F.xxhash64(r, F.lit(2)).alias("gr"), F.length(i).alias("li"), F.length(r).alias("lr"), cases.alias("c"), *[c.alias(f"d_{n}") for n, c in distinct.items()])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    row = held.agg(
+        F.count("*").alias("n"), zero(F.avg("li")).cast("double").alias("avg_prompt_chars"), zero(F.avg("lr")).cast("double").alias("avg_response_chars"), zero(F.min("c")).cast("bigint").alias("min_cases"), zero(F.max("c")).cast("bigint").alias("max_cases"),
+        F.count_distinct("hi", "gi").alias("unique_prompts"), F.count_distinct("hr", "gr").alias("unique_responses"), *[F.count_distinct(f"d_{n}").alias(f"unique_{n}") for n in distinct],
+    )
+    return row.withColumn("response_unique_rate", F.coalesce(F.try_divide("unique_responses", "n"), F.lit(0.0)))
+
+
+def validation_counters(checked: DataFrame, id_: str = "id", category: str = "category", missing: Column | None = None) -> DataFrame:
+    """One row over records with valid, syntax_valid and non_python: counts, and PASS where none is invalid, no id repeats and no category is unknown (null)."""
+    none = missing if missing is not None else F.lit(False)
+    row = checked.agg(
+        F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if(~F.col("syntax_valid")).alias("syntax_failures"), F.count_if(none).alias("missing_fields"),
+        (F.count(id_) - F.count_distinct(id_)).alias("duplicate_ids"), F.count_if(F.col(category).isNull()).alias("invalid_categories"), F.count_if("non_python").alias("non_python"),
+    )
+    passed = (F.col("invalid") == 0) & (F.col("duplicate_ids") == 0) & (F.col("invalid_categories") == 0)
+    return row.withColumn("result", F.when(passed, "PASS").otherwise("FAIL"))
+
+
 def quality_histogram(df: DataFrame, score: Column) -> DataFrame:
     return df.groupBy(quality_bucket(score).alias("bucket")).agg(F.count("*").alias("n"))
 

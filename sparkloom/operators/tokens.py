@@ -121,5 +121,24 @@ def combined_digest(files: DataFrame) -> DataFrame:
     return files.agg(F.array_sort(F.collect_list(F.concat("name", F.lit(":"), "sha256", F.lit("\n")))).alias("x")).select(F.sha2(F.array_join("x", ""), 256).alias("digest"))
 
 
+def contract(spec: str | dict, size: int = 32_000, specials: tuple[str, ...] = SPECIALS) -> dict[str, bool]:
+    """Whether a tokenizer has the size and its special tokens the ids 0, 1, 2, .. that caches count on."""
+    held = _tokenizer(json.dumps(spec) if isinstance(spec, dict) else spec)
+    return {"vocabulary_size": held.get_vocab_size() == size, "special_token_ids": all(held.token_to_id(t) == k for k, t in enumerate(specials))}
+
+
+def inspect(df: DataFrame, text: str, spec: str | dict) -> DataFrame:
+    """df with ids, their tokens, the decoded text, the number of tokens and whether the round trip holds."""
+    held = _tokenizer(json.dumps(spec) if isinstance(spec, dict) else spec)
+    names = {i: t for t, i in held.get_vocab().items()}
+
+    @F.arrow_udf("array<string>")
+    def strings(ids: pa.Array) -> pa.Array:
+        return pa.array([[names.get(i, "<INVALID>") for i in x or []] for x in ids.to_pylist()], pa.list_(pa.string()))
+
+    out = df.withColumn("ids", encode(spec)(text)).withColumns({"tokens": strings("ids"), "decoded": decode(spec)("ids"), "token_count": F.size("ids")})
+    return out.withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce(F.col(text), F.lit(""))))
+
+
 def round_trip_failures(df: DataFrame, text: str, spec: str | dict) -> DataFrame:
     return df.withColumn("_back", decode(spec)(encode(spec)(F.col(text)))).where(F.col("_back") != F.col(text)).drop("_back")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import CATEGORIES, TASK_TYPES, content_text, digest, line_count, strip
+from ..functions.text import CATEGORIES, TASK_TYPES, category, clean_text, content_text, digest, family_id, line_count, stable_id, strip, strip_fence, task_type
 
 #: Markers, patterns and limits.
 FOREIGN_MARKERS = ("#include <", "public static void main", "system.out.println", "std::cout", "console.log(", "package main", "func main()")
@@ -77,6 +77,36 @@ def schema_issue(prefix: str = "") -> Column:
     )
 
 
+def normalised(records: DataFrame) -> DataFrame:
+    """Canonical records (as sources.records.parse gives them) with clean texts, fences off code, canonical labels, language python, a source, a family and an id.
+
+    Unknown labels become null; code records take their family from their category where they name none.
+    """
+    code = F.col("record_kind") == "code"
+    text = lambda n: clean_text(F.coalesce(F.col(n), F.lit("")))
+    held = records.withColumns(
+        {
+            "instruction": F.when(~code, text("instruction")), "input": F.when(~code, text("input")), "response": F.when(~code, strip_fence(text("response"))), "code": F.when(code, strip_fence(text("code"))),
+            "category": category(F.col("category")), "task_type": task_type(F.col("task_type")), "language": F.lit("python"), "source": F.coalesce(F.nullif(text("source"), F.lit("")), F.lit("unknown")),
+        }
+    )
+    named = F.coalesce(F.nullif(strip(F.coalesce("family_id", F.lit(""))), F.lit("")), F.when(code, F.col("category")))
+    none = F.lit("")
+    key = stable_id(F.coalesce("task_type", none), F.coalesce("instruction", none), F.coalesce("input", none), F.coalesce("code", "response", none))
+    return held.withColumns({"family_id": family_id(F.coalesce("instruction", none), named), "id": F.when(F.coalesce(strip(F.col("id")), none) == "", key).otherwise(F.col("id"))})
+
+
+def guard_final(name: str, final: bool, manifest: dict | None = None) -> None:
+    """Raises where a test set would be evaluated before its time: without `final`, or while a manifest doesn't show that training left it out."""
+    if name.lower().startswith("test") and not final:
+        raise ValueError("a test set is evaluated only once, at the end")
+    if final:
+        held = manifest or {}
+        sources = [str(held.get("splits", {}).get(s, {}).get("source", "")).lower() for s in ("train", "validation")]
+        if any("test" in s for s in sources) or not held.get("test_split_immutable"):
+            raise ValueError("the manifest doesn't show that the test set was left out")
+
+
 def license_known(license_: Column, allowed: list[str] | tuple[str, ...] | None = None) -> Column:
     known = F.coalesce(license_, F.lit("")) != ""
     return known if allowed is None else known & license_.isin(list(allowed))

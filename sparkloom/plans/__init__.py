@@ -1,0 +1 @@
+from . import audits, catalog  # noqa: F401  (audits adds its queries to the catalogue's)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import contamination, curves, dedup, generate, packing, sampling, sandbox, splits, stats, tokens, validate
+from ..session import materialised
 from ..streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,21 +140,21 @@ def shingle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIR_COUNTS} SELECT a, b, common, na, nb FROM counted WHERE common * 10 >= (na + nb - common) * 9")
 def near_pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_pairs(shingled(spark, sf_dir), "doc_id", 9, 10)
+    return dedup.near_pairs(materialised(shingled(spark, sf_dir)), "doc_id", 9, 10)
 
 
 @query(f"WITH {PAIR_COUNTS} SELECT a, b, common, na, nb FROM counted WHERE common * 10 >= (na + nb - common) * 8 AND sa = sb")
 def near_pairs_same_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_pairs(shingled(spark, sf_dir), "doc_id", 8, 10, same="source")
+    return dedup.near_pairs(materialised(shingled(spark, sf_dir)), "doc_id", 8, 10, same="source")
 
 
 @query(
     f"WITH {PAIR_COUNTS} SELECT count(*) AS pairs, count(*) FILTER (common * 100 >= (na + nb - common) * 80) AS gte_0_80, count(*) FILTER (common * 100 >= (na + nb - common) * 90) AS gte_0_90, "
     "count(*) FILTER (common * 100 >= (na + nb - common) * 95) AS gte_0_95, count(*) FILTER (common * 100 >= (na + nb - common) * 99) AS gte_0_99, round(max(common / (na + nb - common)), 9) AS max_similarity, round(avg(common / (na + nb - common)), 9) AS mean_similarity "
-    "FROM counted WHERE common * 2 >= (na + nb - common)"
+    "FROM counted"
 )
 def similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = stats.similarity_audit(dedup.near_pairs(shingled(spark, sf_dir), "doc_id", 1, 2))
+    row = stats.similarity_audit(dedup.candidate_pairs(materialised(shingled(spark, sf_dir)), "doc_id"))
     return row.withColumns({c: F.round(c, 9) for c in ("max_similarity", "mean_similarity")})
 
 
@@ -168,7 +169,7 @@ def posting_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM greedy ORDER BY r DESC LIMIT 1)"
 )
 def near_dedup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = shingled(spark, sf_dir)
+    held = materialised(shingled(spark, sf_dir))
     near = dedup.near_pairs(held, "doc_id", 9, 10)
     return dedup.greedy_keep(table(spark, sf_dir, "documents"), near, "doc_id").where("kept").select("doc_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,8 +32,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has gone, and with it the need to tidy up
+        pass
+
+
 def materialised(df):
-    """df written and read again, in the folder that spark.checkpoint.dir names: lineage ends, and any executor can go on from there."""
+    """df written and read again, in the folder that spark.checkpoint.dir names: lineage ends, and any executor can go on from there.
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
@@ -40,4 +52,5 @@ def materialised(df):
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
