@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, language_id, media, mixing, packing, pii, quality, secret_scan, url_filter
+from . import decontamination, fingerprint, hard_negatives, jaccard_join, language_id, layout, media, mixing, packing, pii, quality, secret_scan, url_filter
 from ._common import table
 
 
@@ -57,8 +57,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_jaccard_join, op4_pii, op5_language, op6_media, op7_packing, op8_mixing, op9_quality, op10_secrets)
+    f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_jaccard_join, op4_pii, op5_language, op6_media, op7_packing, op8_mixing, op9_quality, op10_secrets, op11_decontamination, op12_hard_negatives, op13_layout)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.URL_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.URL_SQL,
+    "op11_decontamination": decontamination.CONTAMINATION_SQL,
+    "op12_hard_negatives": hard_negatives.NEGATIVES_SQL,
+    "op13_layout": layout.LAYOUT_SQL,
+}
