@@ -46,7 +46,7 @@ class WordEncoder:
     """Encodes whole texts word by word with the ids that the tokenizer gives for the text.
 
     The vocabulary drops white space and never joins across it, so a text's ids are its words' ids in order. Words of ASCII and
-    Latin-1 without an apostrophe are cut into letter runs, digits and other runs here and looked up piece by piece; all other
+    Latin-1 without an apostrophe or an added token are cut into letter runs, digits and other runs here and looked up piece by piece; all other
     words go through the tokenizer itself. Both caches are bounded; what they don't hold is made anew each time.
     """
 
@@ -56,9 +56,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # tokens that stand in a text as themselves, in whatever case
+        added = [re.escape(t["content"].lower()) for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.plain = re.compile(rf"[\x21-\x26\x28-\x7e{self.LATIN}]+") if self._known(spec) else re.compile(r"(?!)")
         self.runs = re.compile(rf"[{self.LATIN}]+|[0-9]|[^{self.LATIN}0-9]+")
         self.model = self.tokenizer.model
@@ -84,7 +86,7 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.plain.fullmatch(text):
+        if self.plain.fullmatch(text) and not self.added.search(text.lower()):
             return b"".join(map(self._piece, self.runs.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -205,14 +207,13 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, rounds: int = 3) -> tupl
 
 
 def pack_pieces(rows: DataFrame, keys: list[str], length: str = "length", capacity: int = CAPACITY, group: int = 100_000) -> DataFrame:
-    """rows (which must give the same rows when read again) with sequence_id and offset."""
+    """rows (which must give the same rows when read again) with sequence_id and offset, in place of columns of these names."""
+    rows = rows.drop("sequence_id", "offset")
     total = rows.where(F.col(length) < capacity).count()
     groups = max(1, -(-total // group))
     deal = F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
-    kind = rows.schema[length].dataType.simpleString()
-    names = [f for f in rows.columns]
+    names = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id bigint, offset bigint"
-    del kind
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(names, kind="stable", na_position="first").reset_index(drop=True)
@@ -223,7 +224,7 @@ def pack_pieces(rows: DataFrame, keys: list[str], length: str = "length", capaci
         raise ValueError("more groups than sequence ids have room for")
     # a full piece is a sequence of its own; it needs no group
     full = rows.where(F.col(length) >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
-    rest = rows.where(F.col(length) < capacity).withColumn("_deal", deal).groupBy("_deal").applyInPandas(fill, schema)
+    rest = rows.where(F.col(length) < capacity).groupBy(deal.alias("_deal")).applyInPandas(fill, schema)
     return rest.unionByName(full)
 
 
