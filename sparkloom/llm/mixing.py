@@ -1,12 +1,17 @@
 """Mixing sources to target weights by soft membership, with DataFrame functions only.
 
 A labelled table gives domains (clean, poor, toxic). A Bernoulli naive Bayes over telling words and shape bins, counted on a bounded
-sample of labelled documents, predicts every document's posterior over the domains. Of the rates of use r >= 0, one for each document,
-with which the domains' expected token totals, sum r x tokens x posterior, meet their targets, those nearest to 1 are taken. They are
-max(0, 1 - posterior . prices) with one price for each domain. Newton steps find the prices, damped where a whole one doesn't help; a
-step needs sums for each pair of domains over all documents. No rate is kept anywhere but as a function of the posterior. Steps end when
-every domain's total is within TOLERANCE of its target, or when misses in relation to the targets can't be lessened; the misses that
-stay are in the model, and larger ones, as of targets that no rates meet, are logged.
+sample of labelled documents, predicts every document's posterior over the domains. Distributed projected-gradient least squares fits the rates of use r >= 0,
+one for each document: from all rates at 1, every step sums the domains' expected token totals, sum r x tokens x posterior, over all
+documents, and each rate goes against the gradient of the squared misses and is cut at 0. A rate follows from its document's posterior and the
+steps so far, so it is worked out where the document lies and kept nowhere; a step brings back one sum for each domain and pair of
+domains. The first length of a step is the inverse of the largest eigenvalue of the normal equations, by power iteration; later ones
+follow Barzilai and Borwein's rule and fall back to that when the misses have grown.
+
+A domain's squared miss counts in relation to what it has, which makes the steps even. They end when every domain's total is within
+TOLERANCE of its target; the rates are then those nearest to 1, but for what was cut on the way. If that isn't reached because no
+rates meet the targets, the descent starts again with misses in relation to the targets. The misses that stay are in the model, and larger
+ones are logged.
 
 Targets: weights of the domains; the `anchor` domain keeps its token total, which sets the budget. Domains without tokens or labelled
 documents take no part, and the others' weights are scaled up.
@@ -36,10 +41,10 @@ TOP, LEAST, LIFT = 50, 8, 5.0
 _EDGES = "0123456789.,;:!?\"'()[]{}<>#$%&*@~^|+=/\\_-"
 #: Columns that the operator adds, or uses on the way.
 OWN = ("_tokens", "_p", "_rate", "_words", "_shape", "_all", "_log")
-#: Pull of the rates towards 1, most steps, and the miss of a domain's total as a share of its target (of what it has, if that is 0).
-PULL, MAX_STEPS, TOLERANCE = 1e-6, 40, 1e-4
-#: Dampings that a step tries in turn.
-DAMPING = (0.0, 1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0)
+#: Most steps of a descent, and the miss of a domain's total as a share of its target (of what it has, if that is 0).
+MAX_STEPS, TOLERANCE = 60, 1e-4
+#: After so many steps without a smaller greatest miss a descent ends.
+PATIENCE = 15
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -133,55 +138,90 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataF
 
 @dataclass
 class Rates:
-    """The rate of a document is max(0, 1 - posterior . prices)."""
+    """The rate of a document: from 1 on, each step takes posterior . step away and cuts at 0."""
 
-    prices: list[float]
+    steps: list[list[float]] = field(default_factory=list)
 
     def of(self, p: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((p[k] * F.lit(x) for k, x in enumerate(self.prices)), F.lit(0.0)))
+        out = F.lit(1.0)
+        for step in self.steps:
+            out = F.greatest(F.lit(0.0), out - sum((p[k] * F.lit(x) for k, x in enumerate(step)), F.lit(0.0)))
+        return out
 
 
-def fit(held: DataFrame, domains: list[str], weights: dict[str, float], anchor: str) -> tuple[Rates, list[float], list[float]]:
-    """Newton steps over stored rows of _tokens and _p: the rates, the targets and the totals that the rates give."""
-    d, p = range(len(domains)), F.col("_p")
+def largest_eigenvalue(a: np.ndarray, rounds: int = 50) -> float:
+    """Of a symmetric matrix without negative eigenvalues, by power iteration."""
+    x = np.ones(len(a))
+    for _ in range(rounds):
+        y = a @ x
+        size = float(np.linalg.norm(y))
+        if not size:
+            return 0.0
+        x = y / size
+    return float(x @ a @ x)
 
-    def sums(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Half the sum of tokens x rate^2, the totals, and their change with falling prices."""
-        r, t = Rates([float(x) for x in prices]).of(p), F.col("_tokens")
-        on = t * (r > 0).cast("int")
-        held_r = held.select("_p", t.alias("_tokens"), r.alias("_r"), on.alias("_on"))
-        row = held_r.agg(F.sum(t * F.col("_r") * F.col("_r") / 2), *[F.sum(t * F.col("_r") * p[k]) for k in d], *[F.sum(F.col("_on") * p[i] * p[j]) for i in d for j in d]).first()
+
+def descend(sums, start: tuple[np.ndarray, np.ndarray], target: np.ndarray, weight: np.ndarray, size: np.ndarray) -> tuple[Rates, np.ndarray]:
+    """Projected-gradient steps on the squared misses, each times its domain's weight; the rates with the smallest greatest miss / size, and their totals.
+
+    sums(rates) gives the totals and, over documents of a rate above 0, the sums for pairs of domains; start is that of all rates at 1.
+    """
+    rates, (got, pairs) = Rates(), start
+    root = np.sqrt(weight)
+    best = (math.inf, rates, got)
+    values: list[float] = []
+    last, since = None, 0
+    for _ in range(MAX_STEPS):
+        miss = got - target
+        worst = float(np.abs(miss / size).max())
+        if worst < best[0]:
+            best, since = (worst, rates, got), 0
+        else:
+            since += 1
+        top = largest_eigenvalue(root[:, None] * pairs * root)
+        if worst <= TOLERANCE / 2 or since >= PATIENCE or not top:
+            break
+        gradient, value = weight * miss, float(weight @ miss**2)
+        length = 1 / top
+        if last is not None and value <= max(values[-4:]):
+            # the last step and the change of the gradient that it made, both measured over documents
+            before, held, took = last
+            moved, change = took * float(before @ held @ before), -float(before @ held @ (gradient - before))
+            length = min(max(moved / change, 0.5 / top), 1e4 / top) if change > 0 else length
+        values.append(value)
+        last = (gradient, pairs, length)
+        rates = Rates([*rates.steps, [float(x) for x in length * gradient]])
+        got, pairs = sums(rates)
+    worst = float(np.abs((got - target) / size).max())
+    return (rates, got) if worst < best[0] else best[1:]
+
+
+def fit(held: DataFrame, domains: list[str], weights: dict[str, float], anchor: str) -> tuple[Rates, np.ndarray, np.ndarray, np.ndarray]:
+    """The rates for stored rows of _tokens and _p; what the domains have, their targets and the totals that the rates give."""
+    d, p, t = range(len(domains)), F.col("_p"), F.col("_tokens")
+
+    def sums(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+        with_rate = held.select("_p", t.alias("_tokens"), rates.of(p).alias("_r"))
+        on = F.when(F.col("_r") > 0, t).otherwise(0)
+        row = with_rate.agg(*[F.sum(t * F.col("_r") * p[k]) for k in d], *[F.sum(on * p[i] * p[j]) for i in d for j in d]).first()
         cells = np.array([x or 0.0 for x in row], float)
-        return cells[0], cells[1 : len(domains) + 1], cells[len(domains) + 1 :].reshape(len(domains), len(domains))
+        return cells[: len(domains)], cells[len(domains) :].reshape(len(domains), len(domains))
 
-    prices = np.zeros(len(domains))
-    half, got, change = sums(prices)
-    have, whole = got, 2 * half
-    if not whole:
-        return Rates([]), list(have), list(have)
+    start = sums(Rates())
+    have = start[0]
+    if not have.sum():
+        return Rates(), have, have, have
     live = [k for k in d if have[k] > 0 and weights.get(domains[k], 0) >= 0]
     a = domains.index(anchor) if anchor in domains and have[domains.index(anchor)] > 0 and weights.get(anchor, 0) > 0 else None
     scale = sum(weights.get(domains[k], 0.0) for k in live) or 1.0
-    budget = whole if a is None else have[a] / (weights[anchor] / scale)
+    budget = float(have.sum()) if a is None else have[a] / (weights[anchor] / scale)
     target = np.array([budget * weights.get(domains[k], 0.0) / scale if k in live else 0.0 for k in d])
-    root = np.array([1 / math.sqrt(h) if h > 0 else 0.0 for h in have])
-    # a price stands for a miss of PULL x price of the target, so that targets that no rates meet are missed least in relation to them
-    size = np.array([t if t > 0 else h if h > 0 else 1.0 for t, h in zip(target, have)])
-    soft, tied = PULL * size, np.diag(np.where(have > 0, have, 1.0))
-    value = lambda half, x: half + x @ target + x @ (soft * x) / 2  # noqa: E731  convex; the prices minimise it
-    for _ in range(MAX_STEPS):
-        ascent = got - target - soft * prices
-        if np.abs(ascent / size).max() <= TOLERANCE / 2:
-            break
-        for damping in DAMPING:
-            step = np.linalg.solve(change + np.diag(soft) + damping * tied, ascent)
-            after = sums(prices + step)
-            if value(after[0], prices + step) <= value(half, prices) - 1e-4 * float(ascent @ step):
-                break
-        else:
-            break
-        prices, (half, got, change) = prices + step, after
-    return Rates([float(x) for x in prices]), list(target), list(got)
+    size = np.array([x if x > 0 else h if h > 0 else 1.0 for x, h in zip(target, have)])
+    near = lambda got: np.abs((got - target) / size).max() <= TOLERANCE
+    rates, got = descend(sums, start, target, np.array([1 / h if h > 0 else 0.0 for h in have]), size)
+    if not near(got):
+        rates, got = descend(sums, start, target, 1 / size**2, size)
+    return rates, have, target, got
 
 
 def missed(domains: list[str], have: np.ndarray, target: np.ndarray, got: np.ndarray) -> dict[str, float]:
@@ -191,8 +231,8 @@ def missed(domains: list[str], have: np.ndarray, target: np.ndarray, got: np.nda
 
 def fitted(held: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str) -> Rates:
     """The rates; their misses go into the model, and a miss beyond TOLERANCE is logged."""
-    rates, target, got = fit(held, model.domains, weights, anchor)
-    model.misses = missed(model.domains, np.array(got), np.array(target), np.array(got)) if rates.prices else {}
+    rates, have, target, got = fit(held, model.domains, weights, anchor)
+    model.misses = missed(model.domains, have, target, got)
     if over := {d: m for d, m in model.misses.items() if m > TOLERANCE}:
         logging.getLogger(__name__).warning("token totals miss their targets, as shares of them: %s", over)
     return rates

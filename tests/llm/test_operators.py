@@ -199,19 +199,25 @@ def test_sequences_keep_order_and_captions(spark):
 
 
 def test_words_encode_as_the_tokenizer_does():
-    enc = packing.encoder(tokenizer_path())
+    from tokenizers import Tokenizer
+
+    enc, fresh = packing.encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     rnd = random.Random(1)
     letters = "aBé Ü's'T9 \n\t.,!?#́\xa0 ßİΣ\x1c\x85µª×ÅKﬁ<|endoftext|>日本"
-    for _ in range(4000):
-        t = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14))) + rnd.choice(["", "<|endoftext|>", "it's", "l'eau"])
-        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    whole = ["", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|><|endoftext|>", "<|endoftext |>", "it's", "l'eau", " "]
+    assert len(enc.encode("end <|endoftext|> here")) == 4 * len(fresh.encode("end <|endoftext|> here", add_special_tokens=False).ids) == 12
+    for _ in range(20_000):
+        t = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14))) + rnd.choice(whole) + "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 5)))
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_packing_is_complete_and_tight(spark):
     rnd = random.Random(2)
-    rows = [(i, " ".join(rnd.choice(["one", "two", "three"]) for _ in range(rnd.choice([1, 20, 300, 900, 2047, 2048, 5000])))) for i in range(80)] + [(900, None), (901, ""), (902, "dup"), (902, "dup")]
+    rows = [(i, " ".join(rnd.choice(["one", "two", "three"]) for _ in range(rnd.choice([1, 20, 300, 900, 2047, 2048, 5000])))) for i in range(80)] + [(900, None), (901, ""), (902, "dup"), (902, "dup"), (903, "end <|endoftext|> here")]
     got = packing.packing_report(spark.createDataFrame(rows, DOC).selectExpr("*", "1 AS piece"), tokenizer_path()).collect()
-    enc, want = packing.encoder(tokenizer_path()).tokenizer, []
+    from tokenizers import Tokenizer
+
+    enc, want = Tokenizer.from_file(tokenizer_path()), []
     for i, t in rows:
         ids = [*enc.encode(t or "", add_special_tokens=False).ids, 0]
         for k, at in enumerate(range(0, len(ids), 2048)):
@@ -231,6 +237,12 @@ def test_packing_is_complete_and_tight(spark):
     assert packing.packing_report(spark.createDataFrame([], DOC), tokenizer_path()).count() == 0
 
 
+def test_pieces_keep_columns_that_have_the_names_of_the_result(spark):
+    rows = spark.range(40).selectExpr("id", "id % 7 + 1 AS length", "id * 2 AS sequence_id", "'a' AS offset", "1 AS _deal")
+    got = packing.pack_pieces(rows, ["id"]).collect()
+    assert len(got) == 40 and set(got[0].asDict()) == {"id", "length", "_deal", "sequence_id", "offset"} and sum(r.length for r in got) == sum(k % 7 + 1 for k in range(40)) and {r._deal for r in got} == {1}
+
+
 def test_place_minimises_the_sum_of_squares():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 12, 60)
@@ -284,7 +296,7 @@ def test_mixing_meets_targets_and_matches_numpy(spark, mixed_rows):
     curve = max((p * t[:, None]).T @ p @ np.ones(3) * share)
     for _ in range(400):  # the same problem, descended much further
         miss = (p.T @ (t * r) - target) * share
-        r = np.maximum(0, r - (p @ miss + mixing.PULL * (r - 1)) / (curve + mixing.PULL))
+        r = np.maximum(0, r - p @ miss / curve)
     assert np.abs(r - np.array([x.rate for x in got])).max() < 0.02
     assert mixing.mixing_report(docs.limit(0), marks).count() == 0
     assert {x.rate for x in mixing.mixing_report(docs, marks.limit(0)).collect()} == {1.0}
@@ -303,6 +315,35 @@ def test_fit_meets_the_targets(spark, have):
     assert max(model.misses.values()) <= mixing.TOLERANCE
 
 
+@pytest.mark.parametrize("have", [(0.7, 0.02, 0.28), (0.3, 0.1, 0.6), (0.9, 0.08, 0.02)])
+def test_descent_ends_where_newton_steps_on_the_prices_do(spark, have):
+    """Where nothing is cut, the nearest rates to 1 are 1 - posterior . prices, which one linear system gives; where something is, a convex dual."""
+    rows = [(100 + k, [0.8 if i == j else 0.1 for j in range(3)]) for i, h in enumerate(have) for k in range(round(300 * h))]
+    t, p = np.array([x[0] for x in rows], float), np.array([x[1] for x in rows])
+    weights = {d: float(w) for d, w in zip(mixing.DOMAINS, 0.8 * p.T @ t / (p.T @ t).sum() + 0.2 / 3)}
+    held = spark.createDataFrame(rows, "_tokens long, _p array<double>")
+    rates, had, target, got = mixing.fit(held, list(mixing.DOMAINS), weights, "clean")
+    prices = np.zeros(3)
+    for _ in range(60):
+        r = np.maximum(0, 1 - p @ prices)
+        step = np.linalg.solve((p * (t * (r > 0))[:, None]).T @ p + 1e-9 * np.eye(3), p.T @ (t * r) - target)
+        prices += step
+    want = np.maximum(0, 1 - p @ prices)
+    assert np.allclose(p.T @ (t * want), target, rtol=1e-6) and np.allclose(had, p.T @ t) and np.allclose(got, target, rtol=1e-4)
+    found = [r[0] for r in held.select(rates.of(F.col("_p"))).collect()]
+    assert len(rates.steps) > 1 and np.abs(np.array(found) - want).max() < 2e-3
+
+
+def test_misses_are_told_for_a_target_of_zero_and_a_domain_driven_to_zero(spark):
+    assert mixing.missed(["a", "b", "c", "d"], np.array([10.0, 0, 50, 80]), np.array([0.0, 5, 100, 80]), np.array([1.0, 0, 0, 80])) == {"a": 0.1, "c": 1.0, "d": 0.0}
+    rows = [(1000, [1.0, 0.0, 0.0]), (1000, [0.0, 1.0, 0.0]), (1000, [0.5, 0.0, 0.5])] * 20
+    model = mixing.DomainModel(list(mixing.DOMAINS))
+    rates = mixing.fitted(spark.createDataFrame(rows, "_tokens long, _p array<double>"), model, {"clean": 0.9, "poor": 0.1, "toxic": 0.0}, "clean")
+    used = {tuple(r._p): r.rate for r in spark.createDataFrame(rows, "_tokens long, _p array<double>").select("_p", rates.of(F.col("_p")).alias("rate")).distinct().collect()}
+    toxic = 20_000 * used[(0.5, 0.0, 0.5)] * 0.5
+    assert abs(model.misses["toxic"] - toxic / 10_000) < 1e-6 and model.misses["poor"] < 1e-3 and set(model.misses) == set(mixing.DOMAINS)
+
+
 def test_targets_out_of_reach_are_told(spark, caplog):
     rows = [(1000, [0.998, 1e-3, 1e-3]), (1000, [1e-3, 1e-3, 0.998])] * 50
     model = mixing.DomainModel(list(mixing.DOMAINS))
