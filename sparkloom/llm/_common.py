@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,5 +81,14 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8")) % n
 
 
+#: Narrow rows of a table that may be broadcast, at most (some 20 MB on each executor).
+SMALL_ROWS = 1 << 18
+
+
+def small(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """How to join a table of narrow rows that has been counted: broadcast up to SMALL_ROWS, else as Spark plans it."""
+    return F.broadcast if rows <= SMALL_ROWS else lambda df: df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

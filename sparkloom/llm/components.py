@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import released, stored
+from ._common import released, small, stored
 
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -16,11 +16,12 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     both = stored(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct())
     labels = stored(both.select(F.col("x").alias("id")).distinct().withColumn("root", F.col("id")))
+    near_to = small(labels.count())
     last = None
     for _ in range(max_rounds):
-        near = both.join(labels, both["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("near"))
-        pulled = labels.join(near, labels["id"] == near["x"]).select("id", "root", F.least("root", "near").alias("new"))
-        jump = labels.select(F.col("id").alias("at"), F.col("root").alias("further"))
+        near = both.join(near_to(labels), both["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("near"))
+        pulled = near.join(near_to(labels), labels["id"] == near["x"]).select("id", "root", F.least("root", "near").alias("new"))
+        jump = near_to(labels.select(F.col("id").alias("at"), F.col("root").alias("further")))
         after = stored(pulled.join(jump, pulled["new"] == jump["at"]).select("id", F.least("new", "further").alias("root"), (F.least("new", "further") < F.col("root")).alias("moved")))
         released(labels)
         labels = after.select("id", "root")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, partitions, released, stored
+from ._common import bounded_batches, partitions, released, small, stored
 from .components import components
 
 WORDS = 5
@@ -43,6 +43,8 @@ DEAR, MAX_DEAR = 16, 1 << 20
 COST, MOST = 64, 8
 #: Of eight minimum hashes so many must agree before a node is compared with its group's representative, and so many such comparisons a round.
 AGREE, STARS, STAR_ROUNDS = 3, 3, 4
+#: Rounds end when they would compare at most one pair for so many nodes.
+FEW = 50
 #: Shingles for each part of the work, about. Lists of dear tokens have parts of their own, whose number depends on this alone: the fewer
 #: they are, the more of a pair's shared tokens meet in one part and are added up there.
 PART, DEAR_PART = 2_000_000, 4_000_000
@@ -207,28 +209,31 @@ def _near(nodes: DataFrame) -> DataFrame:
     return stored(nodes.join(common.drop("shared"), "id"))
 
 
-def _stars(near: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
+def _stars(near: DataFrame, labels: DataFrame, n: int, round_: int) -> DataFrame:
     """(x, y): nodes and the representatives, of another label, of their groups by minimum hash that agree with them best.
 
     In even rounds those with the most in common, the middles of their groups, are the representatives, and in odd ones any; which of equal ones differs by round.
     """
-    held = near.join(labels, "id").select("id", "n", "mins", "common", "root")
+    held = near.join(small(n)(labels), "id").select("id", "n", "mins", "common", "root")
     each = held.select("id", "n", "mins", "common", "root", F.posexplode("mins").alias("k", "m"))
     order = F.struct(-F.col("common") if round_ % 2 == 0 else F.lit(0), F.xxhash64("k", "id", F.lit(round_)))
-    heads = each.groupBy("k", "m").agg(F.min_by(F.struct(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("mins").alias("ymins"), F.col("root").alias("yroot")), order).alias("h"), F.count("*").alias("c")).where("c > 1")
+    # stored, so that the join below reads two plain exchanges, of which Spark splits hot keys
+    heads = stored(each.groupBy("k", "m").agg(F.min_by(F.struct(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("mins").alias("ymins"), F.col("root").alias("yroot")), order).alias("h"), F.count("*").alias("c")).where("c > 1"))
     agree = F.size(F.filter(F.zip_with("mins", "h.ymins", lambda a, b: a == b), lambda x: x))
     pairs = each.join(heads, ["k", "m"]).where("root <> h.yroot AND 4 * least(n, h.yn) >= 3 * greatest(n, h.yn)").select(F.col("id").alias("x"), F.col("h.y").alias("y"), agree.alias("agree"))
     best = pairs.where(F.col("agree") >= AGREE).groupBy("x").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("agree", "y")))), 1, STARS).alias("best"))  # at most MINS each
-    return stored(best.select("x", F.explode("best.y").alias("y")))
+    out = stored(best.select("x", F.explode("best.y").alias("y")))
+    released(heads)
+    return out
 
 
-def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+def _relabelled(labels: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """labels after new links (x, y): the smaller of the two labels, and then the label of the node that a label names. Equal labels mean linked nodes; the rounds need no more than that."""
     both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    better = both.join(labels, both["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("better"))
-    once = stored(labels.join(better, labels["id"] == better["x"], "left").select("id", F.least("root", "better").alias("root")))
+    better = both.join(small(n)(labels), both["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("better"))
+    once = stored(labels.join(small(n)(better), labels["id"] == better["x"], "left").select("id", F.least("root", "better").alias("root")))
     further = once.select(F.col("id").alias("at"), F.col("root").alias("further"))
-    out = stored(once.join(further, F.col("root.id") == F.col("at")).select("id", F.least("root", "further").alias("root")))
+    out = stored(once.join(small(n)(further), F.col("root.id") == F.col("at")).select("id", F.least("root", "further").alias("root")))
     released(once)
     return out
 
@@ -381,20 +386,36 @@ def _needs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(x["l"] == 0, cheap, np.where(np.minimum(xd, yd) >= least, np.minimum(x["l"], y["l"]), 0))
 
 
-def list_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Candidates of the lists in rows, by list: ids x and y of different labels, the shared listed tokens that they need, and whether the list is a dear one's."""
-    if not len(rows):
-        return
+def _ordered(rows: np.ndarray) -> np.ndarray:
+    """Rows of lists that hold more than one document, by list, size and document; repeated rows once."""
     rows = rows[np.lexsort((rows["id"], rows["n"], rows["t"]))]
     new = rows["t"][1:] != rows["t"][:-1]
-    keep = np.concatenate([[True], new | (rows["id"][1:] != rows["id"][:-1])])  # repeated rows of a document
-    rows = rows[keep]
+    rows = rows[np.concatenate([[True], new | (rows["id"][1:] != rows["id"][:-1])])] if len(rows) else rows
+    edge = np.concatenate([[True], rows["t"][1:] != rows["t"][:-1], [True]]) if len(rows) else np.ones(1, bool)
+    return rows[~(edge[:-1] & edge[1:])]  # most lists hold one row
+
+
+def _other_pairs(rows: np.ndarray) -> int:
+    """How many pairs of different labels the lists of ordered rows have, at most."""
+    if not len(rows):
+        return 0
+    rows = rows[np.lexsort((rows["label"], rows["t"]))]
+    new = np.concatenate([[True], rows["t"][1:] != rows["t"][:-1]])
+    same = np.concatenate([[True], new[1:] | (rows["label"][1:] != rows["label"][:-1])])
+    sizes, labels = (np.diff(np.flatnonzero(x), append=len(rows)).astype(np.int64) for x in (new, same))
+    return int((sizes**2).sum() - (labels**2).sum()) // 2
+
+
+def list_pairs(rows: np.ndarray, band: int = 0, bands: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Candidates of the lists in ordered rows, by list: ids x and y of different labels, the shared listed tokens that they need, and whether the list is a dear one's.
+
+    Of several bands each has the pairs whose first document, by size and id, falls to it; a pair's lists all agree on that.
+    """
+    if not len(rows):
+        return
     cuts = np.concatenate([[0], np.flatnonzero(rows["t"][1:] != rows["t"][:-1]) + 1, [len(rows)]])
     size = np.diff(cuts)
-    wide = np.repeat(size > 1, size)  # most lists hold one row
-    if not wide.all():
-        rows, size = rows[wide], size[size > 1]
-        cuts = np.concatenate([[0], np.cumsum(size)])
+    mine = _mix(rows["id"].view(np.uint64)) % np.uint64(bands) == band if bands > 1 else np.ones(len(rows), bool)
 
     def pairs(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
         need = _needs(x, y)
@@ -408,7 +429,7 @@ def list_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     # short lists all at once: each row with the one that comes `off` places after it
     long = size > 64
     of = np.repeat(np.arange(len(size)), size)
-    at = np.flatnonzero(~long[of])
+    at = np.flatnonzero(~long[of] & mine)
     for off in range(1, 64):
         at = at[at + off < cuts[of[at] + 1]]
         at = at[3 * rows["n"][at + off].astype(np.int64) <= 4 * rows["n"][at].astype(np.int64)]  # later ones are larger still
@@ -423,7 +444,7 @@ def list_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         # rows of the most common label are compared with the others alone
         rare = np.flatnonzero(r["label"] != names[count.argmax()])
         few, common = r[rare], r["label"] == names[count.argmax()]
-        for i in np.flatnonzero(r["low"] > 0):
+        for i in np.flatnonzero((r["low"] > 0) & mine[cuts[k] : cuts[k + 1]]):
             held, start = (few, np.searchsorted(rare, i, "right")) if common[i] else (r, i + 1)
             y = held[start : np.searchsorted(held["n"], int(r["n"][i]) * 4 // 3, "right")]
             if len(y):
@@ -431,7 +452,7 @@ def list_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 
 _PAIR = np.dtype([("x", "<i8"), ("y", "<i8"), ("dear", "?"), ("need", "<i8"), ("shared", "<i8")])
-#: Pairs that are held before those of the same documents are added up.
+#: Pairs that a band of a part should have, and are held before those of the same documents are added up.
 HELD = 1 << 20
 
 
@@ -445,21 +466,22 @@ def _added(found: list[np.ndarray]) -> np.ndarray:
 
 
 def counted(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs with the number of lists that they share, added up as far as HELD pairs allow."""
-    held, n = [], 0
-    for x, y, need, kind in list_pairs(rows):
-        r = np.empty(len(x), _PAIR)
-        r["x"], r["y"], r["need"], r["dear"], r["shared"] = x, y, need, kind, 1
-        held.append(r)
-        n += len(r)
-        if n > HELD:
-            held = [_added(held)]
-            n = len(held[0])
-            if n > HELD // 2:
-                yield held[0]
-                held, n = [], 0
-    if n:
-        yield _added(held)
+    """Pairs with the number of lists that they share, each pair once: the lists are gone through in as many bands as their pairs need."""
+    rows = _ordered(rows)
+    bands = 1 + _other_pairs(rows) // HELD
+    for band in range(bands):
+        held, n, most = [], 0, HELD
+        for x, y, need, kind in list_pairs(rows, band, bands):
+            r = np.empty(len(x), _PAIR)
+            r["x"], r["y"], r["need"], r["dear"], r["shared"] = x, y, need, kind, 1
+            held.append(r)
+            n += len(r)
+            if n > most:
+                held = [_added(held)]
+                n = len(held[0])
+                most = max(HELD, 2 * n)
+        if n:
+            yield _added(held)
 
 
 def _candidates(held: DataFrame) -> DataFrame:
@@ -507,15 +529,17 @@ def _joined(texts: DataFrame, nodes: DataFrame, labels: DataFrame, parts: tuple[
 def _drawn(texts: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """Links that draw groups of near copies together; None if no two nodes agree. Only nodes that agree with another take part; their sets are made once."""
     near = _near(nodes)
+    n = near.count()
     labels = stored(near.select("id", F.struct((-F.col("common")).alias("order"), "id").alias("root")))  # the middle of a group has the smallest label
     links, sets = [], None
     for r in range(STAR_ROUNDS):
-        pairs = _stars(near, labels, r)
-        if pairs.isEmpty():
+        pairs = _stars(near, labels, n, r)
+        # groups that a round hardly changes are left to the exact join
+        if pairs.count() * FEW <= n:
             break
         sets = _sets(texts, near.select("id", "key", "node")) if sets is None else sets
         links.append(_verified(pairs, sets))
-        before, labels = labels, _relabelled(labels, links[-1])
+        before, labels = labels, _relabelled(labels, links[-1], n)
         released(before, pairs)
     kept = None
     if links:
