@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import digest
+from ..session import materialised
+
 
 def overlap(left: DataFrame, right: DataFrame, key: Column | str) -> DataFrame:
     """One row: the number of distinct keys that both sides have."""
@@ -13,8 +20,8 @@ def overlap(left: DataFrame, right: DataFrame, key: Column | str) -> DataFrame:
 
 
 def overlap_matrix(df: DataFrame, split: str, keys: dict[str, Column]) -> DataFrame:
-    """(left_split, right_split, kind, shared) for every pair of splits and kind of key, in one pass."""
-    each = df.select(F.col(split).alias("s"), F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), c.alias("key")) for n, c in keys.items()])).alias("x")).select("s", "x.kind", "x.key").where("key IS NOT NULL")
+    """(left_split, right_split, kind, shared) for every pair of splits and kind of key, in one pass. Digests of the keys are shuffled, not the keys."""
+    each = df.select(F.col(split).alias("s"), F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.unhex(digest(c.cast("string"))).alias("key")) for n, c in keys.items()])).alias("x")).select("s", "x.kind", "x.key").where("key IS NOT NULL")
     splits = each.groupBy("kind", "key").agg(F.array_sort(F.collect_set("s")).alias("splits")).where("size(splits) > 1")  # as many as there are splits
     pairs = splits.select("kind", F.explode("splits").alias("left_split"), "splits").select("kind", "left_split", F.explode("splits").alias("right_split")).where("left_split < right_split")
     return pairs.groupBy("left_split", "right_split", "kind").agg(F.count("*").alias("shared"))
@@ -37,25 +44,68 @@ def evidence(found: DataFrame, order: str, per_kind: int = 20) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(order))).where(F.col("rank") <= per_kind)
 
 
-def containments(df: DataFrame, benchmark: DataFrame, id_: str, item: str, text: str = "text", words: int = 5) -> DataFrame:
-    """(id, item) of all rows whose text holds an item's text. Items are looked up by a run of their words, then compared in full.
+#: Of an item's text so many letters are searched for at once; the rest is compared where they stand.
+PROBE = 32
+#: Items of an automaton, and characters of their texts, at most (about 150 MB in each worker). More items take more passes over the texts.
+MOST_ITEMS, MOST_CHARS = 50_000, 16 << 20
+#: The automaton that this worker built last, by its name.
+_built: dict[str, tuple] = {}
+
+
+def _automaton(name: str, needles: list[str]) -> tuple:
+    """The automaton of the needles' probes and, for each probe, the places of its needles; built once a worker."""
+    if name not in _built:
+        import ahocorasick
+
+        by_probe: dict[str, list[int]] = {}
+        for k, n in enumerate(needles):
+            by_probe.setdefault(n[:PROBE], []).append(k)
+        found = ahocorasick.Automaton()
+        for probe, own in by_probe.items():
+            found.add_word(probe, (len(probe), own))
+        found.make_automaton()
+        _built.clear()
+        _built[name] = (found, needles)
+    return _built[name]
+
 
-    Items of fewer than three words are no evidence and don't count; those too short for a run are looked up by one word.
+def containments(df: DataFrame, benchmark: DataFrame, id_: str, item: str, text: str = "text", most_items: int = MOST_ITEMS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(id, item) of all rows whose text holds an item's text, of whatever length; empty and null items are in no text.
+
+    The items' texts become an automaton that finds all of them in one pass over a text, in Arrow batches: no text is shuffled. An
+    automaton has bounded numbers of items and characters, dealt by a digest; a larger benchmark takes a pass over the texts for each.
     """
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    # words come from a generator, so that they are worked out once and not again for each run
-    held = lambda t, *c: t.select(*c, F.inline(F.array(F.struct(split(F.col(text)).alias("w")))))
-    b = held(benchmark, F.col(item).alias("item"), F.col(text).alias("needle")).where("size(w) >= 3")
-    d = held(df, F.col(id_).alias("id"), F.col(text).alias("hay"))
-    run = lambda c, i, k: F.xxhash64(F.concat_ws(" ", F.slice(c, i, k)))
-    found = []
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: run(F.col("w"), i, k))
-    for k, own in ((words, b.where(F.size("w") >= words + 2)), (1, b.where(F.size("w") < words + 2))):
-        # the first and last words of an item may be parts of longer words in the text: the run is taken from its inside
-        keys = own.select("item", "needle", run(F.col("w"), F.lit(2), k).alias("run"))
-        each = d.where(F.size("w") >= k).select("id", "hay", F.explode(F.array_distinct(runs(k))).alias("run"))
-        found.append(each.join(keys, "run").where(F.contains("hay", "needle")).select("id", "item"))
-    return found[0].unionByName(found[1]).distinct()
+    needles = materialised(benchmark.select(F.col(text).alias("needle")).where("needle <> ''").distinct())
+    n, chars = needles.agg(F.count("*"), F.sum(F.length("needle"))).first()
+    kind = df.schema[id_].dataType.simpleString()
+    groups = max(1, -(-n // most_items), -(-(chars or 0) // most_chars))
+
+    def searched(own: list[str]) -> DataFrame:
+        name = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, held = _automaton(name, own)
+            for b in batches:
+                rows, found = [], []
+                for k, hay in enumerate(b.column(1).to_pylist()):
+                    hit = set()
+                    for end, (size, places) in automaton.iter(hay) if hay else ():
+                        hit.update(p for p in places if p not in hit and hay.startswith(held[p], end + 1 - size))
+                    rows += [k] * len(hit)
+                    found += [held[p] for p in sorted(hit)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["id", "needle"])
+
+        return df.select(F.col(id_).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, needle string")
+
+    if not n:
+        return df.sparkSession.createDataFrame([], f"id {kind}, item {benchmark.schema[item].dataType.simpleString()}")
+    dealt = ([r[0] for r in needles.where(F.pmod(F.xxhash64("needle"), F.lit(groups)) == g).collect()] for g in range(groups))
+    parts = [searched(own) for own in dealt if own]
+    hits = parts[0]
+    for more in parts[1:]:
+        hits = hits.unionByName(more)
+    named = benchmark.select(F.col(item).alias("item"), F.col(text).alias("needle"))
+    return hits.join(named, "needle").select("id", "item").distinct()
 
 
 def manifest_diff(expected: DataFrame, actual: DataFrame, name: str = "name", sha: str = "sha256") -> DataFrame:

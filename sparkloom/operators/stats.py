@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_form, lengths, quality_bucket, size_class
+from ..session import materialised
+from . import selection
 
 
 def dataset_statistics(df: DataFrame, instruction: Column, response: Column, syntax: Column | None = None) -> DataFrame:
@@ -28,6 +30,14 @@ def dimension_counts(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     return each.groupBy("x.dim", "x.value").agg(F.count("*").alias("n"))
 
 
+def margins(df: DataFrame, dims: dict[str, Column], sets: list[tuple[str, ...]]) -> DataFrame:
+    """Every dimension's value ('*' where it is summed over) and n, for each set of dimensions, by grouping sets in one aggregate."""
+    held = df.select(*[F.coalesce(c.cast("string"), F.lit("unknown")).alias(d) for d, c in dims.items()])
+    grouped = held.groupingSets([[F.col(d) for d in own] for own in sets], *[F.col(d) for d in dims])
+    counted = grouped.agg(F.count("*").alias("n"), *[F.grouping(d).alias(f"_{d}") for d in dims])
+    return counted.select(*[F.when(F.col(f"_{d}") == 1, "*").otherwise(F.col(d)).alias(d) for d in dims], "n")
+
+
 def dataset_summary(df: DataFrame, dims: dict[str, Column], score: Column | None = None) -> DataFrame:
     """dimension_counts, with the quality histogram as one more dimension: what a report on records lists beside dataset_statistics."""
     return dimension_counts(df, dims | ({"quality": quality_bucket(score)} if score is not None else {}))
@@ -63,7 +73,9 @@ def quality_histogram(df: DataFrame, score: Column) -> DataFrame:
 
 def family_profile(df: DataFrame, family: str) -> DataFrame:
     """Families, the median and the greatest number of rows of one."""
-    return df.groupBy(family).agg(F.count("*").alias("n")).agg(F.count("*").alias("families"), F.percentile("n", 0.5).alias("median_rows"), F.max("n").alias("max_rows"))
+    sizes = materialised(df.groupBy(family).agg(F.count("*").alias("n")))
+    median = selection.linear_quantiles(sizes, "n", [0.5]).select(F.col("value").alias("median_rows"))
+    return sizes.agg(F.count("*").alias("families"), F.max("n").alias("max_rows")).join(median, how="cross").select("families", "median_rows", "max_rows")  # of one row each
 
 
 def distinct_counts(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -96,18 +108,13 @@ def token_metrics(df: DataFrame, text: Column, ids: Column, unknown: int = 3) ->
 
 
 def linear_quantiles(df: DataFrame, c: str, at: list[float]) -> DataFrame:
-    """q and value by linear interpolation, exactly."""
-    one = df.agg(F.percentile(c, F.array(*map(F.lit, at))).alias("v"))
-    return one.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("v").alias("value"))).alias("x")).select("x.q", "x.value")
+    """q and value by linear interpolation, exactly, by refining histograms."""
+    return selection.linear_quantiles(df, c, at)
 
 
 def lower_quantiles(df: DataFrame, c: str, at: list[float]) -> DataFrame:
-    """q and value at index floor((n - 1) q) of the sorted values: by running counts of distinct values, not by a sort in one task."""
-    values = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
-    total = values.agg(F.sum("n").alias("total"))
-    wanted = total.select("total", F.explode(F.array(*map(F.lit, at))).alias("q")).select("q", F.floor((F.col("total") - 1) * F.col("q")).alias("index"))
-    upto = values.select("value", F.sum("n").over(Window.orderBy("value")).alias("upto"))  # one row for each distinct value
-    return upto.join(F.broadcast(wanted), F.col("upto") > F.col("index")).groupBy("q").agg(F.min("value").alias("value"))
+    """q and value at index floor((n - 1) q) of the ordered values, by refining histograms."""
+    return selection.lower_quantiles(df, c, at)
 
 
 def distribution(df: DataFrame, c: str) -> DataFrame:

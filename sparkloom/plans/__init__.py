@@ -1 +1 @@
-from . import audits, catalog  # noqa: F401  (audits adds its queries to the catalogue's)
+from . import audits, catalog, scaled  # noqa: F401  (audits and scaled add their queries to the catalogue)

@@ -40,17 +40,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary one, but only if all tasks run in this process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
 def materialised(df):
     """df written and read again, in the folder that spark.checkpoint.dir names: lineage ends, and any executor can go on from there.
 
     The table goes when the driver ends.
     """
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialised
+
 #: The canonical record columns; `record_kind` tells instruction records from code-only ones.
 RECORD = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("id", "task_type", "category", "instruction", "input", "response", "code", "language", "source")]
@@ -21,6 +23,55 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("ok", F.json_object_keys("value").isNotNull())
 
 
+#: Pieces of files whose numbers of lines may be broadcast, at most.
+MOST_PIECES = 1 << 17
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1 on) and value of text files, which are read in pieces as usual.
+
+    Lines are counted by piece first; a line's number is what the pieces before it in its file hold, and its place in its own. Both reads plan
+    the same pieces, as they read the same files under the same settings.
+    """
+    own = F.monotonically_increasing_id()
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_piece"), own.alias("_at"))
+    pieces = materialised(text.groupBy("file", "_piece").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = pieces.select("file", "_piece", "_first", before.alias("_before"))
+    starts = F.broadcast(starts) if pieces.count() <= MOST_PIECES else starts
+    return text.join(starts, ["file", "_piece"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "value")
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value, and ok: whether the line is a JSON object, with its place for messages. Blank lines count as lines and are skipped."""
+    held = read_lines(spark, path).where(~F.col("value").rlike(r"^\s*$"))
+    return held.withColumn("ok", F.json_object_keys("value").isNotNull())
+
+
+def line_errors(numbered: DataFrame) -> DataFrame:
+    """Of read_numbered's rows those that are no records, with a message that names file and line."""
+    return numbered.where(~F.col("ok")).select("file", "line", F.concat(F.element_at(F.split("file", "/"), -1), F.lit(":"), F.col("line").cast("string"), F.lit(": invalid JSON object")).alias("message"))
+
+
+def gated(rows: DataFrame, reason: Column, path: str, reasons: list[str]) -> DataFrame:
+    """Writes rows to path/status=accepted and path/status=rejected, the latter with their reason, and gives (name, n): rows, accepted, rejected and each reason.
+
+    The counts are observed while the rows are written, so everything is read and judged once; reasons outside the list count as `other`.
+    """
+    seen = Observation()
+    held = rows.withColumn("reason", reason)
+    known = F.col("reason").isin(reasons)
+    counts = [F.count("*").alias("rows"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.count_if(F.col("reason").isNotNull() & ~known).alias("other"), *[F.count_if(F.col("reason") == r).alias(f"reason_{r}") for r in reasons]]
+    marked = held.observe(seen, *counts).withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected"))
+    marked.write.mode("overwrite").partitionBy("status").parquet(path)
+    return rows.sparkSession.createDataFrame([(k.removeprefix("reason_"), v) for k, v in seen.get.items()], "name string, n bigint")
+
+
+def gate_side(spark: SparkSession, path: str, status: str) -> DataFrame:
+    """What gated() wrote as accepted or rejected."""
+    return spark.read.parquet(path).where(F.col("status") == status).drop("status")
+
+
 def parse(lines: DataFrame, ordinal: str | None = None) -> DataFrame:
     """Typed records from JSON lines (column value): fields by name, defaults where they are missing, kind by which keys are there."""
     keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))

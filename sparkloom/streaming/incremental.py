@@ -1,15 +1,16 @@
-"""Incremental forms: counters over event time, exact deduplication within a watermark, and greedy near deduplication with kept state."""
+"""Incremental forms: counters over event time, exact and near duplicates within a watermark, and joins of streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import dedup_form, digest, shingles
+from ..session import shared_folder
 
 
 def events(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
@@ -38,32 +39,89 @@ def dedup_within(stream: DataFrame, key: Column, time: str, late: str) -> DataFr
     return stream.withColumn("_key", digest(dedup_form(key))).withWatermark(time, late).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
-def near_dedup(stream: DataFrame, text: str, id_: str, buckets: int = 64, threshold: float = 0.9, most: int = 100_000) -> DataFrame:
-    """id and kept, greedily in order of arrival, among texts whose least shingle hash falls into one bucket; state of a bucket is bounded by `most` texts."""
-    held = stream.select(F.col(id_).alias("id"), F.transform(shingles(F.col(text)), lambda s: F.xxhash64(s)).alias("s")).withColumn("bucket", F.pmod(F.coalesce(F.array_min("s"), F.lit(0)), F.lit(buckets)))
+def _sets(stream: DataFrame, id_: str, text: str, time: str, num: int, den: int) -> DataFrame:
+    """id, time, n and the prefix: of the ordered shingle hashes so many that no pair of similarity num/den can miss each other's."""
+    held = stream.select(F.col(id_).alias("id"), F.col(time).alias("at"), F.inline(F.array(F.struct(F.sort_array(F.array_distinct(F.transform(shingles(F.col(text)), lambda s: F.xxhash64(s)))).alias("h")))))
+    n = F.size("h")
+    return held.where(n > 0).select("id", "at", n.alias("n"), F.slice("h", 1, n - F.ceil(n * num / F.lit(float(den))).cast("int") + 1).alias("prefix"))
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = [set(x) for x in state.get[0]] if state.exists else []
-        for b in batches:
-            flags = []
-            for s in b.sort_values("id")["s"]:
-                s = set(s)
-                hit = any(s and len(s & k) >= threshold * len(s | k) for k in kept)
-                flags.append(not hit)
-                if not hit and len(kept) < most:
-                    kept.append(s)
-            yield pd.DataFrame({"id": b.sort_values("id")["id"].to_numpy(), "kept": flags})
-        state.update(([list(k) for k in kept],))
 
-    return held.groupBy("bucket").applyInPandasWithState(run, "id bigint, kept boolean", "sets array<array<bigint>>", "append", GroupStateTimeout.NoTimeout)
+def near_candidates(stream: DataFrame, id_: str, text: str, time: str, num: int = 9, den: int = 10, horizon: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """(a, b), a < b, of a stream's rows that may have Jaccard similarity num/den and lie at most `horizon` apart in time: each pair once.
 
+    Every row goes to all tokens of its prefix, and the stream is joined with itself on them, so no similar pair can be missed, whichever row
+    comes first. A pair that shares several prefix tokens comes out at the smallest alone: rows carry the prefix tokens below. Rows
+    later than the watermark are left out and counted by late_rows(). State is kept by prefix token; a row leaves it when the
+    watermark has passed its time by `horizon`, as nothing that is still to come can meet it then.
+    """
 
-def drained(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote, as a table in memory: for reports and tests."""
+    def side(s: str) -> DataFrame:
+        held = _sets(stream, id_, text, time, num, den).withWatermark("at", late)
+        each = held.select("id", "at", "n", "prefix", F.posexplode("prefix").alias("k", "t"))
+        return each.select(F.col("id").alias(s), F.col("at").alias(f"at_{s}"), F.col("n").alias(f"n_{s}"), F.col("t").alias(f"t_{s}"), F.slice("prefix", 1, F.col("k")).alias(f"below_{s}"))
+
+    a, b, span = side("a"), side("b"), F.expr(f"INTERVAL {horizon}")
+    near = (F.col("at_b") >= F.col("at_a") - span) & (F.col("at_b") <= F.col("at_a") + span)
+    sized = (F.col("n_a") * num <= F.col("n_b") * den) & (F.col("n_b") * num <= F.col("n_a") * den)
+    met = a.join(b, (F.col("t_a") == F.col("t_b")) & near & (F.col("a") < F.col("b")) & sized)
+    return met.where(~F.arrays_overlap("below_a", "below_b")).select("a", "b")
+
+
+def verified(candidates: DataFrame, archive: DataFrame, id_: str, text: str, num: int = 9, den: int = 10) -> DataFrame:
+    """(a, b, common, na, nb) of candidates that reach the similarity, by the shingles of the archive's texts. Candidates may be a table or a stream; a pair that was written twice counts once in a table."""
+    sets = archive.select(F.col(id_).alias("id"), F.inline(F.array(F.struct(shingles(F.col(text)).alias("s")))))
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("s").alias(f"s_{s}"))
+    once = candidates if candidates.isStreaming else candidates.distinct()
+    both = once.join(side("a"), "a").join(side("b"), "b")
+    scored = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("common"), F.size("s_a").alias("na"), F.size("s_b").alias("nb"))
+    return scored.where(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num)
+
+
+def followed(first: DataFrame, then: DataFrame, key: str, time: str, within: str, late_first: str = "1 hour", late_then: str = "1 hour") -> DataFrame:
+    """Rows of one stream with those of another of the same key that come at most `within` after them: columns first_* and then_*.
+
+    Both sides have a watermark, and the condition bounds how far apart rows may lie, so that either side's state goes: a first row when
+    the watermark is past its time by `within`, a later one when it is past its own.
+    """
+    named = lambda d, s, late: d.withWatermark(time, late).select(*[F.col(c).alias(f"{s}_{c}") for c in d.columns])
+    a, b = named(first, "first", late_first), named(then, "then", late_then)
+    at_a, at_b = F.col(f"first_{time}"), F.col(f"then_{time}")
+    return a.join(b, (F.col(f"first_{key}") == F.col(f"then_{key}")) & (at_b > at_a) & (at_b <= at_a + F.expr(f"INTERVAL {within}")))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows the query's stateful operators have left out as too late, over all its batches that are still remembered."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in json.loads(p.json)["stateOperators"])
+
+
+def kept_rows(query: StreamingQuery) -> int:
+    """Rows of state after the last batch."""
+    progress = query.recentProgress
+    return sum(o["numRowsTotal"] for o in json.loads(progress[-1].json)["stateOperators"]) if progress else 0
+
+
+def run(result: DataFrame, mode: str = "append", name: str | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Runs a stream over all that is there and returns what it wrote, as a table, and the ended query.
+
+    Rows are written by the tasks, as Parquet in the folder that spark.checkpoint.dir names, where the query's checkpoint lies as well; none
+    goes through the driver. In append mode the sink's log makes each batch count once; in complete mode each batch replaces the table.
+    """
     spark = result.sparkSession
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    path, log = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    spark.createDataFrame([], result.schema).write.parquet(path)  # there, if no row comes
+    out = result.writeStream.option("checkpointLocation", log).outputMode(mode).trigger(availableNow=True)
+    out = out.queryName(f"{name}_{uuid.uuid4().hex[:8]}") if name else out
+    if mode == "append":
+        query = out.format("parquet").option("path", path).start()
+    else:
+        query = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).parquet(path), query
+
+
+def drained(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What run() wrote, as a table."""
+    return run(result, mode, name)[0]
 
 
 def metrics_log(spark: SparkSession, path: str) -> DataFrame:
