@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def parameter_breakdown(spark: SparkSession, vocabulary: int = 32_000, layers: int = 24, width: int = 768, hidden: int = 2176) -> DataFrame:
-    """part and parameters of a decoder with tied embeddings, gated feed-forward layers and two norms a layer."""
-    v, n, d, f = (F.lit(x).cast("bigint") for x in (vocabulary, layers, width, hidden))
+def parameter_parts(vocabulary: Column, layers: int = 24, width: int = 768, hidden: int = 2176) -> Column:
+    """Array of part and parameters of a decoder with tied embeddings, gated feed-forward layers and two norms a layer."""
+    v, (n, d, f) = vocabulary.cast("bigint"), (F.lit(x).cast("bigint") for x in (layers, width, hidden))
     parts = {"embedding": v * d, "attention": n * 4 * d * d, "feed_forward": n * 3 * d * f, "norms": n * 2 * d + d}
-    total = sum(parts.values(), F.lit(0))
-    row = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("part"), x.alias("parameters")) for k, x in (parts | {"total": total}).items()])).alias("x"))
-    return row.select("x.*")
+    return F.array(*[F.struct(F.lit(k).alias("part"), x.alias("parameters")) for k, x in (parts | {"total": sum(parts.values(), F.lit(0))}).items()])
+
+
+def parameter_breakdown(spark: SparkSession, vocabulary: int = 32_000, layers: int = 24, width: int = 768, hidden: int = 2176) -> DataFrame:
+    return spark.range(1).select(F.explode(parameter_parts(F.lit(vocabulary), layers, width, hidden)).alias("x")).select("x.*")
 
 
 def learning_rate(step: Column, top: float, least: float, warm_up: int, total: int) -> Column:

@@ -54,20 +54,20 @@ def allocation(target: int) -> dict[str, int]:
     return rows
 
 
-def grid(spark: SparkSession, target: int = FULL, per_family: int = PER_FAMILY) -> DataFrame:
-    """ordinal, category, blueprint, family_index, variant, family_id, difficulty, template_id for every task."""
+def in_grid(rows: DataFrame, ordinal: str, target: int = FULL, per_family: int = PER_FAMILY) -> DataFrame:
+    """rows with category, blueprint, family_index, variant, family_id, difficulty, template_id and variant_id of the task that has their ordinal."""
     if target <= 0 or per_family <= 0:
         raise ValueError("target and per_family must be positive")
     at, upto = [], 0
     for c, n in allocation(target).items():
         at.append((c, upto, upto + n))
         upto += n
-    ordinal, name, first = F.col("id"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    place, name, first = F.col(ordinal), F.lit(None).cast("string"), F.lit(None).cast("bigint")
     for c, a, b in reversed(at):
-        name, first = F.when((ordinal >= a) & (ordinal < b), c).otherwise(name), F.when((ordinal >= a) & (ordinal < b), a).otherwise(first)
+        name, first = F.when((place >= a) & (place < b), c).otherwise(name), F.when((place >= a) & (place < b), a).otherwise(first)
     prints = F.create_map(*[x for c, v in BLUEPRINTS.items() for x in (F.lit(c), F.array(*map(F.lit, v)))])
-    rows = spark.range(min(target, upto)).select(ordinal.alias("ordinal"), name.alias("category"), (ordinal - first).alias("k"))
-    rows = rows.select("ordinal", "category", F.floor(F.col("k") / per_family).alias("family_index"), (F.col("k") % per_family).alias("variant"))
+    rows = rows.withColumns({"category": name, "_k": place - first})
+    rows = rows.withColumns({"family_index": F.floor(F.col("_k") / per_family), "variant": F.col("_k") % per_family}).drop("_k")
     turn = F.element_at(prints, F.col("category"))
     rows = rows.withColumn("blueprint", F.get(turn, (F.col("family_index") % F.size(turn)).cast("int")))
     return rows.withColumns(
@@ -80,6 +80,12 @@ def grid(spark: SparkSession, target: int = FULL, per_family: int = PER_FAMILY)
     )
 
 
+def grid(spark: SparkSession, target: int = FULL, per_family: int = PER_FAMILY) -> DataFrame:
+    """ordinal, category, blueprint, family_index, variant, family_id, difficulty, template_id for every task."""
+    rows = spark.range(min(target, sum(allocation(target).values()))).withColumnRenamed("id", "ordinal")
+    return in_grid(rows, "ordinal", target, per_family)
+
+
 #: Our own tasks under the fixed names of the blueprints: what the code does, the code, and arguments of its tests. P is a family's parameter, D its divisor.
 TEMPLATES: dict[str, tuple[str, str, list]] = {
     "parity": ("count the even and the odd ones of a list's numbers once P is added to each", "def solve(numbers):\n    odd = sum((n + P) & 1 for n in numbers)\n    return [len(numbers) - odd, odd]", [[[1, 2, "P"]], [[]]]),
@@ -89,12 +95,12 @@ TEMPLATES: dict[str, tuple[str, str, list]] = {
     "prime": ("collect the first P primes from a starting number on", "def solve(start):\n    found, n = [], max(start, 2)\n    while len(found) < P:\n        if all(n % k for k in range(2, n) if k * k <= n):\n            found.append(n)\n        n += 1\n    return found", [[1], [90]]),
     "factorial": ("write a number in the factorial base, with P places at most", "def solve(number):\n    places, base = [], 2\n    while number and len(places) < P:\n        number, place = divmod(number, base)\n        places.append(place)\n        base += 1\n    return places[::-1]", [[463], [0]]),
     "fibonacci": ("count the steps until a sum of its two forerunners, from 1 and P, passes a mark", "def solve(mark):\n    older, newer, steps = 1, P, 0\n    while newer <= mark:\n        older, newer, steps = newer, older + newer, steps + 1\n    return steps", [[100], [0]]),
-    "safe_int": ("convert text to an integer with the default P", "def solve(text):\n    try:\n        return int(str(text).strip())\n    except ValueError:\n        return P", [[" 12 "], ["x"]]),
+    "safe_int": ("read the leading digits of each field, P where a field has none", "def solve(fields):\n    out = []\n    for field in fields:\n        end = 0\n        while field[end:end + 1].isdecimal():\n            end += 1\n        out.append(int(field[:end]) if end else P)\n    return out", [[["12px", "none", "7"]], [[]]]),
     "generator": ("list multiples of P below a limit", "def solve(limit):\n    def multiples():\n        value = P\n        while value < limit:\n            yield value\n            value += P\n    return list(multiples())", [[30], [1]]),
     "vowels": ("hide the vowels of a text except in its first P letters", "def solve(text):\n    return text[:P] + ''.join('*' if c in 'aeiouAEIOU' else c for c in text[P:])", [["Orange juice, please"], [""]]),
     "unique": ("name the items that stand exactly once among the first P", "def solve(items):\n    held = items[:P]\n    return [x for x in held if held.count(x) == 1]", [[[3, 1, 3, 4]], [[]]]),
     "anagram": ("group words of the same letters and keep groups of P words at most", "def solve(words):\n    groups = {}\n    for word in words:\n        groups.setdefault(''.join(sorted(word)), []).append(word)\n    return [g for g in groups.values() if len(g) <= P]", [[["tea", "eat", "ate", "tan"]], [[]]]),
-    "accumulator": ("add numbers to the start value P", "class Total:\n    def __init__(self):\n        self.value = P\n\n    def add(self, n):\n        self.value += n\n\n\ndef solve(numbers):\n    total = Total()\n    for n in numbers:\n        total.add(n)\n    return total.value", [[[1, 2]], [[]]]),
+    "accumulator": ("keep a running product modulo P and list it after each factor", "class Wheel:\n    def __init__(self, teeth):\n        self.teeth, self.at = teeth, 1\n\n    def turn(self, by):\n        self.at = self.at * by % self.teeth\n        return self.at\n\n\ndef solve(factors):\n    wheel = Wheel(P)\n    return [wheel.turn(f) for f in factors]", [[[3, 5, 7]], [[]]]),
     "counter": ("count items that occur P times at most", "def solve(items):\n    counts = {}\n    for item in items:\n        counts[item] = counts.get(item, 0) + 1\n    return {k: v for k, v in counts.items() if v <= P}", [[["a", "b", "a"]], [[]]]),
     "dataclass_like": ("describe a point shifted by P", "class Point:\n    def __init__(self, x, y):\n        self.x, self.y = x, y\n\n    def shifted(self, by):\n        return Point(self.x + by, self.y + by)\n\n\ndef solve(x, y):\n    p = Point(x, y).shifted(P)\n    return [p.x, p.y]", [[1, 2]]),
     "chunk": ("deal items in turn to P hands", "def solve(items):\n    return [items[hand::P] for hand in range(P)]", [[[1, 2, 3, 4, 5]], [[]]]),
@@ -104,7 +110,7 @@ TEMPLATES: dict[str, tuple[str, str, list]] = {
     "queue": ("serve the first P of a queue", "def solve(values):\n    served, rest = values[:P], values[P:]\n    return [served, len(rest)]", [[[1, 2, 3]], [[]]]),
     "tree_sum": ("sum a nested tree and add P", "def solve(tree):\n    def total(node):\n        return node if isinstance(node, int) else sum(map(total, node))\n    return total(tree) + P", [[[1, [2, [3]]]], [[]]]),
     "binary_search": ("count the numbers below P in a sorted list by halving", "def solve(ordered):\n    low, high = 0, len(ordered)\n    while low != high:\n        half = low + (high - low) // 2\n        low, high = (half + 1, high) if ordered[half] < P else (low, half)\n    return low", [[[1, "P", 90]], [[]]]),
-    "graph_degree": ("name nodes of degree P or more", "def solve(edges):\n    degree = {}\n    for a, b in edges:\n        for node in (a, b):\n            degree[node] = degree.get(node, 0) + 1\n    return sorted(n for n, d in degree.items() if d >= P)", [[[[1, 2], [1, 3], [1, 4]]], [[]]]),
+    "graph_degree": ("list edges whose ends have P neighbours or fewer between them", "def solve(edges):\n    near = {}\n    for a, b in edges:\n        near.setdefault(a, set()).add(b)\n        near.setdefault(b, set()).add(a)\n    return [[a, b] for a, b in edges if len(near[a] | near[b]) <= P]", [[[["a", "b"], ["b", "c"], ["c", "d"], ["b", "e"]]], [[]]]),
     "bfs_order": ("visit at most P nodes breadth first", "def solve(graph, start):\n    seen, queue = [start], [start]\n    while queue:\n        for node in graph.get(queue.pop(0), []):\n            if node not in seen:\n                seen.append(node)\n                queue.append(node)\n    return seen[:P]", [[{"a": ["b", "c"], "b": ["d"]}, "a"]]),
     "window": ("find the narrowest spread of P neighbours", "def solve(items):\n    spreads = []\n    for end in range(P, len(items) + 1):\n        part = items[end - P:end]\n        spreads.append(max(part) - min(part))\n    return min(spreads, default=None)", [[[1, 2, 8, 9, 30] * 8], [[]]]),
     "prefix_sum": ("find the place where a running total first reaches P", "def solve(items):\n    total = 0\n    for place, n in enumerate(items):\n        total += n\n        if total >= P:\n            return place\n    return None", [[[1, 2, 3, 40]], [[]]]),
@@ -172,17 +178,22 @@ def instruction(description: Column, category: Column, family_index: Column, var
     return F.replace(form, F.lit("{description}"), noted)
 
 
-def tasks(spark: SparkSession, target: int = FULL, per_family: int = PER_FAMILY, partitions: int | None = None) -> DataFrame:
-    """The grid with rendered code: id, instruction, response, function_name, test_cases and metadata columns."""
-    rows = grid(spark, target, per_family)
-    rows = (rows.repartition(partitions) if partitions else rows).withColumn("r", rendered("blueprint", "family_index", "variant"))
+def tasks_of(grid: DataFrame, ordinal: str = "ordinal", *more: str) -> DataFrame:
+    """A grid's rows with rendered code: id, instruction, response, function_name, test_cases and metadata columns, and more of its own."""
+    rows = grid.withColumn("r", rendered("blueprint", "family_index", "variant"))
     return rows.select(
-        F.concat(F.lit("py_cgen_"), F.substring(digest(F.concat_ws("\n", "family_id", "variant", "r.code")), 1, 20)).alias("id"), "ordinal", "category", "family_id", "difficulty", "template_id", "variant_id",
+        *more,
+        F.concat(F.lit("py_cgen_"), F.substring(digest(F.concat_ws("\n", "family_id", "variant", "r.code")), 1, 20)).alias("id"), F.col(ordinal).alias("ordinal"), "category", "family_id", "difficulty", "template_id", "variant_id",
         instruction(F.col("r.description"), F.col("category"), F.col("family_index"), F.col("variant")).alias("instruction"), F.lit("").alias("input"),
         F.col("r.code").alias("response"), F.lit("solve").alias("function_name"), "r.test_cases", "r.test_count",
     )
 
 
+def tasks(spark: SparkSession, target: int = FULL, per_family: int = PER_FAMILY, partitions: int | None = None) -> DataFrame:
+    rows = grid(spark, target, per_family)
+    return tasks_of(rows.repartition(partitions) if partitions else rows)
+
+
 def prompts(spark: SparkSession, skills: dict[str, list[str]], starts: list[str], givens: list[str], wants: list[str], count: int) -> DataFrame:
     """Prompts by mixed-radix numbers: every combination of skill, wording, start, given and want once before any repeats."""
     flat = [(s, w) for s, ws in skills.items() for w in ws]

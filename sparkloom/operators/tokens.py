@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 #: Special tokens with their ids, and the pretoken pattern of byte-level vocabularies.
 SPECIALS = ("<PAD>", "<BOS>", "<EOS>", "<UNK>")
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -22,47 +26,187 @@ def pretoken_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(pretokens(F.col(text))).alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("n"))
 
 
-def train_bpe(df: DataFrame, text: str, vocabulary: int = 32_000, min_count: int = 2, most_pretokens: int = 2_000_000) -> dict:
-    """A byte-level BPE vocabulary as a tokenizer's JSON: specials first, then the byte alphabet, then merges.
+#: Distinct pretokens with which merges are learnt on the driver; with more, they are learnt by rounds over a table.
+DRIVER_PRETOKENS = 2_000_000
+#: Merges that a round tries, at most.
+ROUND = 256
 
-    Counts are distributed; the driver merges over distinct pretokens that occur min_count times or more, at most most_pretokens.
-    """
-    from tokenizers import pre_tokenizers
 
-    rows = pretoken_counts(df, text).where(F.col("n") >= min_count).orderBy(F.desc("n"), "pretoken").limit(most_pretokens).collect()
-    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
-    vocab = {t: i for i, t in enumerate((*SPECIALS, *alphabet))}
-    spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    words = [(list(spell.pre_tokenize_str(r[0])[0][0]), r[1]) for r in rows if r[0]]
+def merged(word: list[str], pair: tuple[str, str]) -> list[str]:
+    """The word with the pair joined wherever it stands, from the left."""
+    out, i = [], 0
+    while i < len(word):
+        step = 2 if i + 1 < len(word) and (word[i], word[i + 1]) == pair else 1
+        out.append("".join(word[i : i + step]))
+        i += step
+    return out
+
+
+class _Last(tuple):
+    """A pair that comes before smaller ones in a heap."""
+
+    def __lt__(self, other: tuple) -> bool:
+        return tuple.__gt__(self, other)
+
+
+def _learnt(words: list[tuple[list[str], int]], vocab: dict[str, int], vocabulary: int, min_count: int) -> list[list[str]]:
+    """Merges over words in memory: the most frequent pair, of equal ones the greatest; vocab grows. A heap holds every count that a pair has had."""
     where: dict[tuple[str, str], set[int]] = {}
     count: dict[tuple[str, str], int] = {}
     for k, (w, n) in enumerate(words):
         for p in zip(w, w[1:]):
             count[p] = count.get(p, 0) + n
             where.setdefault(p, set()).add(k)
+    heap = [(-n, _Last(p)) for p, n in count.items()]
+    heapq.heapify(heap)
     merges: list[list[str]] = []
-    while len(vocab) < vocabulary and count:
-        best = max(count, key=lambda p: (count[p], p))
-        if count[best] < min_count:
+    while len(vocab) < vocabulary and heap:
+        n, last = heapq.heappop(heap)
+        best = tuple(last)
+        if count.get(best, 0) != -n:  # its count has changed since
+            continue
+        if -n < min_count:
             break
         merges.append(list(best))
         vocab.setdefault("".join(best), len(vocab))
-        for k in list(where[best]):
+        touched = set()
+        for k in where.pop(best):
             w, n = words[k]
             for p in zip(w, w[1:]):
                 count[p] -= n
-                if count[p] <= 0:
-                    count.pop(p)
-                where[p].discard(k)
-            out, i = [], 0
-            while i < len(w):
-                step = 2 if i + 1 < len(w) and (w[i], w[i + 1]) == best else 1
-                out.append("".join(w[i : i + step]))
-                i += step
-            words[k] = (out, n)
-            for p in zip(out, out[1:]):
+                touched.add(p)
+                if p != best:
+                    where[p].discard(k)
+            words[k] = (merged(w, best), n)
+            for p in zip(words[k][0], words[k][0][1:]):
                 count[p] = count.get(p, 0) + n
+                touched.add(p)
                 where.setdefault(p, set()).add(k)
+        for p in touched:
+            if count[p] > 0:
+                heapq.heappush(heap, (-count[p], _Last(p)))
+            else:
+                del count[p]
+    return merges
+
+
+def _independent(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """As many of the pairs from the first on as leave each other's counts alone: none begins with what another ends with."""
+    out: list[tuple[str, str]] = []
+    starts, ends = set(), set()
+    for a, b in pairs:
+        if a == b and out or a in ends or b in starts or (out and out[0][0] == out[0][1]):
+            break
+        out.append((a, b))
+        starts.add(a)
+        ends.add(b)
+    return out
+
+
+def _learnt_in_rounds(words: DataFrame, vocab: dict[str, int], vocabulary: int, min_count: int) -> list[list[str]]:
+    """The same merges over a table (w array of symbols, n) of any size.
+
+    Pair counts are a table too. A round takes the most frequent pairs that leave each other's counts alone, applies them in order to the
+    words, and counts after which of them each new pair would have come before the next one. From there on they are given up, so the merges are those of
+    one step after the other. The driver has ROUND pairs and what would have come before them.
+    """
+    kind = "step int, a string, b string, d bigint"
+
+    def changes(batch: list[tuple[str, str]]):
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in rows:
+                total: dict[tuple[int, str, str], int] = {}
+                for w, n in zip(r.column("w").to_pylist(), r.column("n").to_pylist()):
+                    held = set(zip(w, w[1:]))
+                    for k, pair in enumerate(batch):
+                        if pair in held:
+                            after = merged(w, pair)
+                            for sign, x in ((-1, w), (1, after)):
+                                for p in zip(x, x[1:]):
+                                    total[k, *p] = total.get((k, *p), 0) + sign * n
+                            w = after
+                            held = set(zip(w, w[1:]))
+                rows_ = [(*key, d) for key, d in total.items() if d]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows_], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.int64()))], names=["step", "a", "b", "d"])
+
+        return run
+
+    def apply(batch: list[tuple[str, str]]):
+        @F.arrow_udf("array<string>")
+        def run(col: pa.Array) -> pa.Array:
+            out = []
+            for w in col.to_pylist():
+                held = set(zip(w, w[1:]))
+                for pair in batch:
+                    if pair in held:
+                        w = merged(w, pair)
+                        held = set(zip(w, w[1:]))
+                out.append(w)
+            return pa.array(out, pa.list_(pa.string()))
+
+        return run
+
+    words = materialised(words)
+    pairs = materialised(words.select("n", F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("c")))
+    merges: list[list[str]] = []
+    while len(vocab) < vocabulary:
+        top = [r for r in pairs.orderBy(F.desc("c"), F.desc("a"), F.desc("b")).limit(ROUND).collect() if r["c"] >= min_count]
+        batch = _independent([(r["a"], r["b"]) for r in top])[: vocabulary - len(vocab)]
+        if not batch:
+            break
+        # a product that is a symbol already has counts of its own: it ends the round
+        known = set(vocab)
+        for k, p in enumerate(batch):
+            if "".join(p) in known:
+                batch = batch[: k + 1]
+                break
+            known.add("".join(p))
+        counts = [r["c"] for r in top[: len(batch)]]
+        found = materialised(words.mapInArrow(changes(batch), kind).groupBy("step", "a", "b").agg(F.sum("d").alias("d")))
+        fresh = ["".join(p) for p in batch]
+        new = found.where(F.col("a").isin(fresh) | F.col("b").isin(fresh))
+        upto = new.select("step", "a", "b", F.sum("d").over(Window.partitionBy("a", "b").orderBy("step")).alias("c"))
+        ahead: dict[tuple[str, str], list] = {}
+        for r in upto.where(F.col("c") >= counts[-1]).collect() if len(batch) > 1 else []:
+            ahead.setdefault((r["a"], r["b"]), []).append((r["step"], r["c"]))
+        keep = len(batch)  # what falls below again later ends the round all the same
+        for p, seen in ahead.items():
+            for step, c in seen:
+                keep = min([keep, *(j + 1 for j in range(step, len(batch) - 1) if (c, p) > (counts[j + 1], batch[j + 1]))])
+        batch = batch[:keep]
+        for p in batch:
+            merges.append(list(p))
+            vocab.setdefault("".join(p), len(vocab))
+        deltas = found.where(F.col("step") < keep).groupBy("a", "b").agg(F.sum("d").alias("c"))
+        pairs = materialised(pairs.unionByName(deltas).groupBy("a", "b").agg(F.sum("c").alias("c")).where("c > 0"))
+        words = materialised(words.select(apply(batch)("w").alias("w"), "n"))
+    return merges
+
+
+def train_bpe(df: DataFrame, text: str, vocabulary: int = 32_000, min_count: int = 2, driver_pretokens: int = DRIVER_PRETOKENS) -> dict:
+    """A byte-level BPE vocabulary as a tokenizer's JSON: specials first, then the byte alphabet, then merges.
+
+    Pretokens are counted over all texts, and all that occur min_count times or more take part. Up to driver_pretokens distinct ones are merged on
+    the driver; with more, by rounds over the table of them, with the same merges.
+    """
+    from tokenizers import pre_tokenizers
+
+    counted = materialised(pretoken_counts(df, text).where((F.col("n") >= min_count) & (F.col("pretoken") != "")))
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    vocab = {t: i for i, t in enumerate((*SPECIALS, *alphabet))}
+
+    def spelt(pretoken: str) -> list[str]:
+        return list(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(pretoken)[0][0])
+
+    if counted.count() <= driver_pretokens:
+        merges = _learnt([(spelt(r["pretoken"]), r["n"]) for r in counted.collect()], vocab, vocabulary, min_count)
+    else:
+
+        @F.arrow_udf("array<string>")
+        def spell(col: pa.Array) -> pa.Array:
+            return pa.array([spelt(t) for t in col.to_pylist()], pa.list_(pa.string()))
+
+        merges = _learnt_in_rounds(counted.select(spell("pretoken").alias("w"), "n"), vocab, vocabulary, min_count)
     added = [{"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, t in enumerate(SPECIALS)]
     level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
     model = {"type": "BPE", "dropout": None, "unk_token": "<UNK>", "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": merges}

@@ -97,16 +97,16 @@ def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("conv_id", "turn", T.stable_id(F.lit("code_generation"), F.col("instruction"), F.lit(""), F.col("response")).alias("id"))
 
 
-_RAW_NAMES = ["linked-list", "Dict ", "strings", "Object_Oriented", "dynamic programming", "data structures", "code completion", "nonsense", "OOP", "linked list"]
-
-
 @query(
-    "WITH v(raw) AS (VALUES " + ", ".join(f"('{x}')" for x in _RAW_NAMES) + "), a(alias, name) AS (VALUES " + ", ".join(f"('{a}', '{n}')" for a, n in T.CATEGORY_ALIASES.items()) + "), "
-    "n AS (SELECT raw, coalesce(name, replace(replace(lower(trim(raw)), '/', '_'), ' ', '_')) AS k FROM v LEFT JOIN a ON alias = replace(lower(trim(raw)), '/', '_')) "
+    f"WITH v AS (SELECT DISTINCT unnest(string_split({NORM.format('text')}, ' ')) AS raw FROM documents UNION SELECT DISTINCT lower(kind) FROM items UNION SELECT DISTINCT lower(name) FROM items), a(alias, name) AS (VALUES " + ", ".join(f"('{a}', '{n}')" for a, n in T.CATEGORY_ALIASES.items()) + "), "
+    "n AS (SELECT raw, coalesce(name, replace(replace(raw, '/', '_'), ' ', '_')) AS k FROM v LEFT JOIN a ON alias = replace(raw, '/', '_') WHERE raw IS NOT NULL) "
     "SELECT raw, CASE WHEN k IN (" + ", ".join(f"'{c}'" for c in T.CATEGORIES) + ") THEN k END AS category FROM n"
 )
 def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, _RAW_NAMES))).alias("raw")).select("raw", T.category(F.col("raw")).alias("category"))
+    """The category, if it is one, of every word of the documents and of the items' kinds and names."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(T.dedup_form(F.col("text")), " ")).alias("raw"))
+    items = table(spark, sf_dir, "items").select(F.explode(F.array(F.lower("kind"), F.lower("name"))).alias("raw"))
+    return words.union(items).where("raw IS NOT NULL").distinct().select("raw", T.category(F.col("raw")).alias("category"))
 
 
 # --- deduplication ---------------------------------------------------------------------------------------------------
@@ -346,17 +346,16 @@ def non_python_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", validate.non_python(F.col("html")).alias("non_python"), validate.placeholder(F.col("html")).alias("placeholder"))
 
 
-_SNIPPETS = ["```python\nx = 1\n```", "say ```a``` or ```py\nlonger\n```", "text\nimport os\nprint(1)", "no code here", "```\none\n``` and ```\ntwo\n```"]
-
-
 @query(
-    "WITH v(k, t) AS (VALUES " + ", ".join("(" + str(k) + ", '" + s.replace("\n", "' || chr(10) || '") + "')" for k, s in enumerate(_SNIPPETS)) + "), "
-    "b AS (SELECT k, t, regexp_extract_all(t, '(?is)```(?:python|py)?\\s*\\n?(.*?)```', 1) AS blocks, regexp_extract(t, '(?ms)^(?:from\\s+\\w+|import\\s+\\w+|def\\s+\\w+|class\\s+\\w+|if\\s+__name__\\s*==|if\\s+|for\\s+|while\\s+|print\\s*\\(|[A-Za-z_]\\w*\\s*=).*') AS rest FROM v) "
-    "SELECT k, CASE WHEN len(blocks) > 0 THEN trim((list_filter(blocks, lambda x: length(x) = list_max(list_transform(blocks, lambda y: length(y)))))[1], ' ' || chr(10)) WHEN rest <> '' THEN trim(rest, ' ' || chr(10)) END AS code FROM b"
+    f"WITH {PAIRS}, v AS (SELECT conv_id, turn, 'See ```py' || chr(10) || instruction || chr(10) || '``` and ```' || chr(10) || response || chr(10) || '```' AS t FROM pairs UNION ALL SELECT -1 - doc_id, 0, text FROM documents), "
+    "b AS (SELECT *, regexp_extract_all(t, '(?is)```(?:python|py)?\\s*\\n?(.*?)```', 1) AS blocks, regexp_extract(t, '(?ms)^(?:from\\s+\\w+|import\\s+\\w+|def\\s+\\w+|class\\s+\\w+|if\\s+__name__\\s*==|if\\s+|for\\s+|while\\s+|print\\s*\\(|[A-Za-z_]\\w*\\s*=).*') AS rest FROM v) "
+    "SELECT conv_id, turn, CASE WHEN len(blocks) > 0 THEN trim((list_filter(blocks, lambda x: length(x) = list_max(list_transform(blocks, lambda y: length(y)))))[1], ' ' || chr(10)) WHEN rest <> '' THEN trim(rest, ' ' || chr(10)) END AS code FROM b"
 )
 def code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1).select(F.posexplode(F.array(*map(F.lit, _SNIPPETS))).alias("k", "t"))
-    return rows.select("k", T.extract_code(F.col("t")).alias("code"))
+    """Turns of conversations as two fenced blocks, of which the longer counts, and documents (with negative ids) as plain outputs."""
+    told = pairs(spark, sf_dir).select("conv_id", "turn", F.concat(F.lit("See ```py\n"), "instruction", F.lit("\n``` and ```\n"), "response", F.lit("\n```")).alias("t"))
+    docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.col("text").alias("t"))
+    return told.unionByName(docs).select("conv_id", "turn", T.extract_code(F.col("t")).alias("code"))
 
 
 @query("WITH c(name, passed) AS (SELECT 'no_null_text', count(*) FILTER (text IS NULL) = 0 FROM documents UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'lengths_match', bool_and(n_chars = length(text)) FROM documents) SELECT CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS status, count(*) FILTER (NOT passed) AS n_failed FROM c")
@@ -423,51 +422,70 @@ def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bpe_encode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "conversations")
-    spec = tokens.train_bpe(docs, "text", vocabulary=600)
+    spec = tokens.train_bpe(docs, "text")
     return stats.token_metrics(docs.withColumn("ids", tokens.encode(spec, 1, 2)("text")), F.col("text"), F.col("ids"))
 
 
 # --- generation and execution ----------------------------------------------------------------------------------------
 
-_ALLOCATED = ", ".join(f"('{c}', {k}, {sum(list(generate.allocation(5000).values())[:k])}, {n}, {[*generate.BLUEPRINTS[c]]})" for k, (c, n) in enumerate(generate.allocation(5000).items()))
+_ALLOCATED = ", ".join(f"('{c}', {sum(list(generate.allocation(generate.FULL).values())[:k])}, {n}, {[*generate.BLUEPRINTS[c]]})" for k, (c, n) in enumerate(generate.allocation(generate.FULL).items()))
+
+
+def task_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document one of the full grid's tasks; neighbouring ids lie far apart in it."""
+    return generate.in_grid(table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 10_007 % generate.FULL).alias("ordinal")), "ordinal")
 
 
 @query(
-    f"WITH c(category, k, first, n, prints) AS (VALUES {_ALLOCATED}), g AS (SELECT first + r AS ordinal, category, r // 25 AS family_index, r % 25 AS variant, prints FROM c, range(0, 5000) t(r) WHERE r < n), "
-    "b AS (SELECT *, prints[family_index % len(prints) + 1] AS blueprint FROM g) SELECT ordinal, category, blueprint, family_index, variant, category || '/' || blueprint || '/' || lpad(family_index::VARCHAR, 4, '0') AS family_id, "
+    f"WITH c(category, first, n, prints) AS (VALUES {_ALLOCATED}), g AS (SELECT doc_id, o AS ordinal, category, (o - first) // 25 AS family_index, (o - first) % 25 AS variant, prints FROM (SELECT doc_id, doc_id * 10007 % 100000 AS o FROM documents) JOIN c ON o >= first AND o < first + n), "
+    "b AS (SELECT *, prints[family_index % len(prints) + 1] AS blueprint FROM g) SELECT doc_id, ordinal, category, blueprint, family_index, variant, category || '/' || blueprint || '/' || lpad(family_index::VARCHAR, 4, '0') AS family_id, "
     "CASE WHEN (family_index + variant) % 20 < 9 THEN 'easy' WHEN (family_index + variant) % 20 < 17 THEN 'medium' ELSE 'hard' END AS difficulty, category || '_' || blueprint || '_v1' AS template_id, 'variant_' || lpad(variant::VARCHAR, 2, '0') AS variant_id FROM b"
 )
 def generated_tasks_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.grid(spark, 5000)
+    return task_grid(spark, sf_dir)
 
 
 @query()
 def generated_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.tasks(spark, 2000)
+    return generate.tasks_of(task_grid(spark, sf_dir), "ordinal", "doc_id")
 
 
 @query()
 def syntax_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.tasks(spark, 2000).select("id", validate.syntax_valid("response").alias("syntax_valid"), validate.code_errors("response").alias("errors"))
+    """Of every document whether its text is Python, and the errors of the task that belongs to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", validate.syntax_valid("text").alias("text_valid"))
+    tasks = generate.tasks_of(task_grid(spark, sf_dir), "ordinal", "doc_id").select("doc_id", validate.syntax_valid("response").alias("syntax_valid"), validate.code_errors("response").alias("errors"))
+    return docs.join(tasks, "doc_id")
 
 
 @query()
 def functional_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = generate.tasks(spark, 95, partitions=8)
-    return sandbox.functional_audit(tasks.withColumn("outcome", sandbox.tested(seconds=20.0, tolerant=True)("response", "function_name", "test_cases")))
+    """Outcomes of all documents' tasks; tasks of the same code and tests run once and count as often as they occur."""
+    tasks = generate.tasks_of(task_grid(spark, sf_dir))
+    # few rows that each take a process: dealt to all cores, which an adaptive plan would not do for so few bytes
+    programs = tasks.groupBy("response", "function_name", "test_cases").agg(F.count("*").alias("tasks")).repartition(4 * spark.sparkContext.defaultParallelism, "response")
+    return sandbox.functional_audit(programs.withColumn("outcome", sandbox.tested(seconds=20.0, tolerant=True)("response", "function_name", "test_cases")), weight="tasks")
 
 
 # --- curves, samples, streams ----------------------------------------------------------------------------------------
 
 
-@query("SELECT s AS step, round(CASE WHEN s < 100 THEN 0.0003 * s / 100 ELSE 0.00003 + (0.0003 - 0.00003) * 0.5 * (1 + cos(pi() * least(1, (s - 100) / 1900))) END, 12) AS rate FROM range(0, 2001) t(s)")
+@query("SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.0003 * event_id / 100 ELSE 0.00003 + (0.0003 - 0.00003) * 0.5 * (1 + cos(pi() * least(1, (event_id - 100) / 4900))) END, 12) AS rate FROM events")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.schedule(spark, 2000, 3e-4, 3e-5, 100).withColumn("rate", F.round("rate", 12))
+    """The learning rate at every step of the metrics log."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(curves.learning_rate(F.col("event_id"), 3e-4, 3e-5, 100, 5000), 12).alias("rate"))
 
 
-@query("SELECT unnest(['embedding', 'attention', 'feed_forward', 'norms', 'total']) AS part, unnest([24576000, 56623104, 120324096, 37632, 201560832]::BIGINT[]) AS parameters")
+@query(
+    f"WITH v AS (SELECT lang, count(DISTINCT w) AS n FROM (SELECT lang, unnest(string_split({NORM.format('text')}, ' ')) AS w FROM documents) GROUP BY lang), "
+    "p AS (SELECT lang, n * 768 AS embedding, 24 * 4 * 768 * 768 AS attention, 24 * 3 * 768 * 2176 AS feed_forward, 24 * 2 * 768 + 768 AS norms FROM v) "
+    "SELECT lang, unnest(['embedding', 'attention', 'feed_forward', 'norms', 'total']) AS part, unnest([embedding, attention, feed_forward, norms, embedding + attention + feed_forward + norms])::BIGINT AS parameters FROM p"
+)
 def param_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.parameter_breakdown(spark)
+    """What a decoder's parts would hold with each language's words as vocabulary."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(T.dedup_form(F.col("text")), " ")).alias("w")).distinct()
+    sizes = words.groupBy("lang").agg(F.count("*").alias("n"))
+    return sizes.select("lang", F.explode(curves.parameter_parts(F.col("n"))).alias("x")).select("lang", "x.*")
 
 
 @query("SELECT doc_id FROM documents ORDER BY sha256('42:' || doc_id::VARCHAR), doc_id LIMIT 100")

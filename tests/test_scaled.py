@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import contamination, dedup, selection, splits, stats
+from sparkloom.operators import contamination, dedup, selection, splits, stats, tokens
 from sparkloom.streaming import incremental
 
 # --- splits ----------------------------------------------------------------------------------------------------------
@@ -138,6 +138,61 @@ def test_texts_are_in_no_shuffle(spark):
     assert "sha2" in keys
 
 
+# --- tokenizer training ----------------------------------------------------------------------------------------------
+
+
+def plain_merges(words, size, least):
+    """The rule itself: count everything again after each merge."""
+    words, out, known = [(list(w), n) for w, n in words], [], set()
+    while len(known) < size:
+        count = {}
+        for w, n in words:
+            for p in zip(w, w[1:]):
+                count[p] = count.get(p, 0) + n
+        best = max(count, key=lambda p: (count[p], p), default=None)
+        if best is None or count[best] < least:
+            break
+        out.append(list(best))
+        known.add("".join(best))
+        words = [(tokens.merged(w, best), n) for w, n in words]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merges_are_those_of_the_plain_rule(spark, monkeypatch, seed):
+    monkeypatch.setattr(tokens, "ROUND", 16)
+    rnd = random.Random(seed)
+    words = sorted({("".join(rnd.choice("aabcde" if seed == 1 else "ab") for _ in range(rnd.randint(1, 9))), rnd.randint(1, 40)) for _ in range(60)})
+    want = plain_merges(words, 30, 2)
+    vocab = {}
+    assert tokens._learnt([(list(w), n) for w, n in words], vocab, 30, 2) == want and list(vocab) == list(dict.fromkeys("".join(p) for p in want))
+    vocab = {}
+    df = spark.createDataFrame([(list(w), n) for w, n in words], "w array<string>, n long").repartition(3)
+    assert tokens._learnt_in_rounds(df, vocab, 30, 2) == want and len(want) >= 28
+
+
+def test_training_by_rounds_gives_the_same_tokenizer(spark):
+    df = spark.createDataFrame([("the cat sat on the mat and the hat",), ("naïve cats said that the mats",), (None,), ("",)] * 2, "text string")
+    one, two = (tokens.train_bpe(df, "text", 290, driver_pretokens=k) for k in (100, 0))
+    assert one == two and len(one["model"]["merges"]) > 8
+
+
+def test_completion_takes_the_first_new_substrings(spark):
+    docs = [(1, "abc d"), (2, "xabcd<y"), (3, None), (4, "ab")]
+    known = spark.createDataFrame([("abc",)], "token string")
+    want, seen = [], {"abc"}
+    for _, t in docs:
+        for k in range(8, 2, -1):
+            for i in range(len(t or "") - k + 1):
+                g = t[i : i + k]
+                if g not in seen and g.isprintable() and g == g.strip() and not set("<>") & set(g):
+                    seen.add(g)
+                    want.append(g)
+    df = spark.createDataFrame(docs, "id int, text string")
+    for need in (3, 100):
+        assert [r.token for r in tokens.completion_tokens(df, "text", known, need, "id").collect()] == want[:need]
+
+
 # --- grouping sets ---------------------------------------------------------------------------------------------------
 
 
