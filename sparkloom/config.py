@@ -64,6 +64,53 @@ class TrainingConfig:
             raise ValueError("steps, lengths and rates must be positive and in order")
 
 
+@dataclass(frozen=True)
+class ProductionConfig:
+    """A corpus build that is published: sizes, shares, and the gates that must be on."""
+
+    minimum_examples: int
+    maximum_examples: int
+    ratios: tuple[float, ...] = (0.90, 0.05, 0.05)
+    difficulty: dict[str, float] = field(default_factory=lambda: {"easy": 0.45, "medium": 0.40, "hard": 0.15})
+    require_known_license: bool = True
+    benchmark_exclusion: bool = True
+    execution_validation: bool = True
+    near_duplicate_threshold: float = 0.90
+
+    def __post_init__(self) -> None:
+        if not 0 < self.minimum_examples <= self.maximum_examples:
+            raise ValueError("minimum_examples must be positive and not exceed maximum_examples")
+        for name, shares in (("ratios", self.ratios), ("difficulty", tuple(self.difficulty.values()))):
+            if any(x < 0 for x in shares) or abs(sum(shares) - 1) > 1e-9:
+                raise ValueError(f"{name} must be shares that sum to 1")
+        if not (self.require_known_license and self.benchmark_exclusion):
+            raise ValueError("a published corpus needs known licenses and benchmark exclusion")
+
+
+@dataclass(frozen=True)
+class ModelConfig:
+    """Shape of a decoder and the special ids of its vocabulary."""
+
+    vocabulary: int = 32_000
+    layers: int = 24
+    width: int = 768
+    heads: int = 12
+    hidden: int = 2176
+    context: int = 1024
+    special_ids: tuple[int, ...] = (0, 1, 2, 3)
+
+    def __post_init__(self) -> None:
+        if min(self.vocabulary, self.layers, self.width, self.heads, self.hidden, self.context) <= 0 or self.width % self.heads or (self.width // self.heads) % 2:
+            raise ValueError("sizes must be positive, and the width must give every head an even share")
+        if len(set(self.special_ids)) != len(self.special_ids) or any(not 0 <= i < self.vocabulary for i in self.special_ids):
+            raise ValueError("special ids must differ and lie in the vocabulary")
+
+    @property
+    def parameters(self) -> int:
+        d = self.width
+        return self.vocabulary * d + self.layers * (4 * d * d + 3 * d * self.hidden + 2 * d) + d
+
+
 def load(kind: type[C], values: dict[str, Any]) -> C:
     """kind from a mapping; lists become tuples."""
     names = {f.name for f in fields(kind)}

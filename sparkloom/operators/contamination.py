@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import digest
+from ..functions.text import digest, shingles
 from ..session import materialised
 
 
@@ -108,6 +108,13 @@ def containments(df: DataFrame, benchmark: DataFrame, id_: str, item: str, text:
     return hits.join(named, "needle").select("id", "item").distinct()
 
 
+def shared_shingles(df: DataFrame, benchmark: DataFrame, id_: str, item: str, text: str = "text", k: int = 3, least: int = 1) -> DataFrame:
+    """(id, item, shared): how many distinct shingles of k words a row and an item share, where at least so many. Hashes and ids are shuffled, not texts."""
+    each = lambda d, own, name: d.select(F.col(own).alias(name), F.explode(F.transform(shingles(F.col(text), k), lambda s: F.xxhash64(s))).alias("s")).distinct()
+    met = each(df, id_, "id").join(each(benchmark, item, "item"), "s")
+    return met.groupBy("id", "item").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
 def manifest_diff(expected: DataFrame, actual: DataFrame, name: str = "name", sha: str = "sha256") -> DataFrame:
     """name and status: same, changed, missing or unexpected."""
     e, a = expected.select(F.col(name).alias("n"), F.col(sha).alias("e")), actual.select(F.col(name).alias("m"), F.col(sha).alias("a"))

@@ -101,6 +101,42 @@ def cache_checks(df: DataFrame, ids: str, labels: str, vocabulary: int = 32_000)
     return row.unpivot([], row.columns, "name", "passed")
 
 
+def checked_ids(ids: Column, vocabulary: int = 32_000) -> Column:
+    """The ids; reading a row with one outside the vocabulary raises."""
+    return F.when(F.exists(ids, lambda x: x.isNull() | (x < 0) | (x >= vocabulary)), F.raise_error(F.lit("an id lies outside the vocabulary")).cast("array<int>")).otherwise(ids)
+
+
+def offset_checks(df: DataFrame, start: str, length: Column) -> DataFrame:
+    """(name, passed): starts and ends of all rows fit together from 0 to the total, and none is negative.
+
+    Every end but the total must be another row's start: counted by place, so that no order of all rows is needed.
+    """
+    held = df.select(F.col(start).alias("s"), length.cast("bigint").alias("n"))
+    row = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.bool_and((F.col("s") >= 0) & (F.col("n") >= 0)), F.lit(True)).alias("not_negative"), F.coalesce(F.min("s"), F.lit(0)).alias("first"))
+    ends = held.select(F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("s") + F.col("n")).alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    open_ = ends.groupBy("x.at").agg(F.sum("x.d").alias("d")).where("d <> 0")
+    edges = open_.agg(F.count("*").alias("k"), F.max(F.when(F.col("d") == 1, F.col("at"))).alias("a"), F.max(F.when(F.col("d") == -1, F.col("at"))).alias("z"))
+    both = row.join(edges, how="cross")  # of one row each
+    told = both.select("not_negative", (F.col("first") == 0).alias("starts_at_zero"), F.when(F.col("total") == 0, F.col("k") == 0).otherwise((F.col("k") == 2) & F.col("a").eqNullSafe(F.lit(0)) & F.col("z").eqNullSafe(F.col("total"))).alias("contiguous"))
+    return told.unpivot([], told.columns, "name", "passed")
+
+
+def sft_gates(encoded: DataFrame, length: int, encoding: str = "e", vocabulary: int = 32_000) -> DataFrame:
+    """(name, passed) of what a cache of sft_encoding structs must hold before it is written: ids and labels in range and of one length, no row cut, every
+    row with prompt and answer labels, and stored rows of 2 to length + 1 ids."""
+    e = lambda c: F.col(f"{encoding}.{c}")
+    every = lambda c: F.coalesce(F.bool_and(c), F.lit(True))
+    row = encoded.agg(
+        every(F.forall(e("input_ids"), lambda x: (x >= 0) & (x < vocabulary))).alias("ids_in_range"),
+        every(F.forall(e("labels"), lambda x: (x == IGNORE) | ((x >= 0) & (x < vocabulary)))).alias("labels_in_range"),
+        every(F.size(e("input_ids")) == F.size(e("labels"))).alias("same_length"),
+        every(~e("truncated")).alias("no_truncation"),
+        every(F.exists(e("labels"), lambda x: x == IGNORE) & F.exists(e("labels"), lambda x: x >= 0)).alias("both_kinds_everywhere"),
+        every(F.size(e("input_ids")).between(2, length + 1)).alias("lengths_fit"),
+    )
+    return row.unpivot([], row.columns, "name", "passed")
+
+
 def order_free_digest(df: DataFrame, *columns: str) -> DataFrame:
     """A digest of all rows whatever their order and partitions: two builds of a cache agree in it."""
     h = F.xxhash64(*columns)

@@ -137,6 +137,47 @@ def sequence_candidates(df: DataFrame, c: str, candidates: tuple[int, ...] = CAN
     return row.select("n", F.explode(each).alias("x")).select("x.*", F.coalesce(F.try_divide(F.col("x.truncated"), F.col("n")), F.lit(0.0)).alias("rate"))
 
 
+def selected_length(candidates: DataFrame, fallback: bool = False) -> DataFrame:
+    """length: the least candidate that cuts no row. Without one none, or the greatest with fallback."""
+    least = F.min(F.when(F.col("truncated") == 0, F.col("length")))
+    return candidates.agg((F.coalesce(least, F.max("length")) if fallback else least).alias("length")).where("length IS NOT NULL")
+
+
+def budget_expectations(df: DataFrame, tokens: str, supervised: str, length: int, batch: int = 8, passes: int = 2) -> DataFrame:
+    """One row: examples, tokens, supervised and ignored ones, padding at a fixed length, what an update is expected to hold, updates and steps.
+
+    An example's shifted pair uses one place less than it has tokens.
+    """
+    row = df.agg(F.count("*").alias("examples"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.coalesce(F.sum(supervised), F.lit(0)).alias("supervised"))
+    n, t, s = F.col("examples"), F.col("tokens"), F.col("supervised")
+    share = lambda x: F.coalesce(F.try_divide(x, n) * batch, F.lit(0.0))
+    updates = F.ceil(n / batch)
+    return row.select("examples", "tokens", "supervised", (t - s).alias("ignored"), (n * length - t).alias("static_padding"), share(t - n).alias("positions_per_update"), share(s).alias("supervised_per_update"), updates.alias("updates_per_pass"), (updates * passes).alias("steps"), (t - n).alias("positions_per_pass"))
+
+
+def training_progress(log: DataFrame, step: str = "step", recent: int = 20) -> DataFrame:
+    """One row over a metrics log (train_loss, validation_loss, learning_rate, tokens_seen, gradient_norm, tokens_per_second; nulls where a row has none).
+
+    First, last and best losses, the step of the best validation, means of the last `recent` training rows, and flags: training loss falls,
+    validation doesn't rise above its first, and validation is a quarter above training. No row without training rows.
+    """
+    train, valid = log.where("train_loss IS NOT NULL"), log.where("validation_loss IS NOT NULL")
+    of = lambda c, f, name: f(c, step).alias(name)
+    row = train.agg(
+        F.count("*").alias("_n"), F.max(step).alias("current_step"), of("tokens_seen", F.max_by, "tokens_seen"), of("learning_rate", F.max_by, "learning_rate"),
+        of("train_loss", F.min_by, "initial_train_loss"), of("train_loss", F.max_by, "latest_train_loss"), F.min("train_loss").alias("best_train_loss"),
+    )
+    checked = valid.agg(of("validation_loss", F.min_by, "_first"), of("validation_loss", F.max_by, "latest_validation_loss"), F.min("validation_loss").alias("best_validation_loss"), F.min_by(step, F.struct("validation_loss", step)).alias("best_validation_step"))
+    last = train.orderBy(F.desc(step)).limit(recent).agg(F.avg("gradient_norm").alias("recent_gradient_norm"), F.avg("tokens_per_second").alias("recent_tokens_per_second"))
+    whole = row.where("_n > 0").join(checked, how="cross").join(last, how="cross")  # of one row each
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return whole.withColumns({
+        "train_loss_decreasing": F.col("latest_train_loss") < F.col("initial_train_loss"),
+        "validation_loss_improving": flag(F.col("latest_validation_loss") <= F.col("_first")),
+        "divergence_warning": flag(F.col("latest_validation_loss") > F.col("latest_train_loss") * 1.25),
+    }).drop("_n", "_first")
+
+
 def budget(df: DataFrame, tokens: str, supervised: str, batch: int = 8, passes: int = 6) -> DataFrame:
     """For 1 to `passes` passes: updates, and tokens seen and learnt from."""
     row = df.agg(F.count("*").alias("n"), F.sum(tokens).alias("tokens"), F.sum(supervised).alias("supervised"))

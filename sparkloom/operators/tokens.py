@@ -286,3 +286,28 @@ def inspect(df: DataFrame, text: str, spec: str | dict) -> DataFrame:
 
 def round_trip_failures(df: DataFrame, text: str, spec: str | dict) -> DataFrame:
     return df.withColumn("_back", decode(spec)(encode(spec)(F.col(text)))).where(F.col("_back") != F.col(text)).drop("_back")
+
+
+def reload_failures(df: DataFrame, text: str, spec: dict) -> DataFrame:
+    """Rows whose ids differ between the tokenizer and the one that is loaded from what it saves."""
+    from tokenizers import Tokenizer
+
+    again = Tokenizer.from_str(json.dumps(spec)).to_str()
+    ids = df.select("*", encode(spec)(text).alias("_one")).select("*", encode(again)(text).alias("_two"))
+    return ids.where(~F.col("_one").eqNullSafe(F.col("_two"))).drop("_one", "_two")
+
+
+#: The least vocabulary of a trial run: specials and all bytes.
+SMOKE_LEAST = len(SPECIALS) + 256
+
+
+def training_gate(df: DataFrame, digest: str, expected: str, vocabulary: int, split: str = "split", smoke: bool = False) -> int:
+    """The vocabulary to train, if the training data may be used: its digest is the expected one and all of it is of the training split. A trial run
+    needs neither, and takes SMOKE_LEAST at least."""
+    if smoke:
+        return max(vocabulary, SMOKE_LEAST)
+    if digest != expected:
+        raise ValueError(f"the training data's digest {digest} isn't {expected}")
+    if other := [r[0] for r in df.where(~F.col(split).eqNullSafe(F.lit("train"))).select(split).distinct().limit(5).collect()]:
+        raise ValueError(f"rows of other splits than train: {other}")
+    return vocabulary

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import contamination, selection, splits, stats
+from ..operators import contamination, packing, selection, splits, stats
 from ..session import materialised, shared_folder
 from ..sources import records, token_sink
 from ..streaming import incremental
-from .catalog import NORM, PAIR_COUNTS, query, shingled, table
+from .catalog import NORM, PAIR_COUNTS, PAIRS, SHINGLES, _IDS, pairs, query, shingled, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -166,3 +166,75 @@ def packed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = token_sink.read_packed(spark, path)
     add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return held.select(F.col("labels")[0].cast("bigint").alias("doc_id"), F.size("ids").cast("bigint").alias("n"), add(F.col("ids")).alias("total"), add(F.transform("ids", lambda x, i: x.cast("bigint") * (i + 1))).alias("ordered"))
+
+
+# --- budgets, progress and cache gates -------------------------------------------------------------------------------
+
+_WORDS = f"SELECT len(string_split({NORM.format('text')}, ' ')) AS w FROM documents"
+
+
+@query(f"WITH t AS ({_WORDS}), c AS (SELECT unnest({list(stats.CANDIDATES)} || [1024, 4096, 16384, 65536]) AS length), k AS (SELECT length, count(*) FILTER (w > length) AS truncated FROM c, t GROUP BY length) SELECT coalesce(min(length) FILTER (truncated = 0), max(length)) AS length FROM k")
+def sequence_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least candidate length that cuts no document."""
+    held = table(spark, sf_dir, "documents").select(F.greatest(F.lit(1), F.size(T.words(F.col("text")))).alias("w"))
+    return stats.selected_length(stats.sequence_candidates(held, "w", (*stats.CANDIDATES, 1024, 4096, 16_384, 65_536)), fallback=True)
+
+
+@query(
+    f"WITH {PAIRS}, a AS (SELECT count(*) AS n, sum(len(string_split(instruction, ' ')) + len(string_split(response, ' ')) + 2)::BIGINT AS t, sum(len(string_split(response, ' ')) + 1)::BIGINT AS s FROM pairs) "
+    "SELECT n AS examples, t AS tokens, s AS supervised, t - s AS ignored, n * 256 - t AS static_padding, round((t - n) / n * 8, 6) AS positions_per_update, round(s / n * 8, 6) AS supervised_per_update, ceil(n / 8)::BIGINT AS updates_per_pass, (ceil(n / 8) * 2)::BIGINT AS steps, t - n AS positions_per_pass FROM a"
+)
+def budget_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = lambda c: F.size(F.split(c, " "))
+    held = pairs(spark, sf_dir).select((size("instruction") + size("response") + 2).alias("t"), (size("response") + 1).alias("s"))
+    row = stats.budget_expectations(held, "t", "s", 256)
+    return row.withColumns({c: F.round(c, 6) for c in ("positions_per_update", "supervised_per_update")})
+
+
+_LOG = "SELECT event_id AS step, event_id * 2048 AS tokens_seen, CASE WHEN event_type <> 'purchase' THEN value END AS train_loss, CASE WHEN event_type = 'purchase' THEN value END AS validation_loss, 1 / (1 + event_id) AS learning_rate, CASE WHEN event_type <> 'signup' THEN value / 10 END AS gradient_norm, user_id::DOUBLE AS tokens_per_second FROM events"
+
+
+@query(
+    f"WITH l AS ({_LOG}), t AS (SELECT * FROM l WHERE train_loss IS NOT NULL), v AS (SELECT * FROM l WHERE validation_loss IS NOT NULL), r AS (SELECT * FROM t ORDER BY step DESC LIMIT 20), "
+    "a AS (SELECT max(step) AS current_step, arg_max(tokens_seen, step) AS tokens_seen, round(arg_max(learning_rate, step), 12) AS learning_rate, arg_min(train_loss, step) AS initial_train_loss, arg_max(train_loss, step) AS latest_train_loss, min(train_loss) AS best_train_loss FROM t), "
+    "b AS (SELECT arg_min(validation_loss, step) AS f, arg_max(validation_loss, step) AS latest_validation_loss, min(validation_loss) AS best_validation_loss, (SELECT min(step) FROM v WHERE validation_loss = (SELECT min(validation_loss) FROM v)) AS best_validation_step FROM v), "
+    "c AS (SELECT round(avg(gradient_norm), 9) AS recent_gradient_norm, round(avg(tokens_per_second), 9) AS recent_tokens_per_second FROM r) "
+    "SELECT a.*, b.* EXCLUDE (f), c.*, latest_train_loss < initial_train_loss AS train_loss_decreasing, latest_validation_loss <= f AS validation_loss_improving, latest_validation_loss > latest_train_loss * 1.25::DOUBLE AS divergence_warning FROM a, b, c"
+)
+def training_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a metrics log: purchases are validation rows, all others training rows."""
+    kind, value, step = F.col("event_type"), F.col("value"), F.col("event_id")
+    log = table(spark, sf_dir, "events").select(
+        step.alias("step"), (step * 2048).alias("tokens_seen"), F.when(kind != "purchase", value).alias("train_loss"), F.when(kind == "purchase", value).alias("validation_loss"),
+        (1 / (1 + step)).alias("learning_rate"), F.when(kind != "signup", value / 10).alias("gradient_norm"), F.col("user_id").cast("double").alias("tokens_per_second"),
+    )
+    row = stats.training_progress(log)
+    return row.withColumns({"learning_rate": F.round("learning_rate", 12), "recent_gradient_norm": F.round("recent_gradient_norm", 9), "recent_tokens_per_second": F.round("recent_tokens_per_second", 9)})
+
+
+@query(
+    f"WITH {PAIRS}, t AS (SELECT len(string_split(instruction, ' ')) + 1 AS p, len(string_split(response, ' ')) + 1 AS a, list_max(list_transform(string_split(instruction || ' ' || response, ' '), lambda x: length(x))) + 10 AS top FROM pairs), "
+    "k AS (SELECT *, p + a > 65 AS cut, CASE WHEN p + a > 65 THEN greatest(0, 65 - a) ELSE p END AS q FROM t) "
+    "SELECT unnest(['ids_in_range', 'labels_in_range', 'same_length', 'no_truncation', 'both_kinds_everywhere', 'lengths_fit']) AS name, unnest([bool_and(top < 32000), bool_and(top < 32000), true, bool_and(NOT cut), bool_and(q > 0), bool_and(least(p + a, 65) BETWEEN 2 AND 65)]) AS passed FROM k"
+)
+def sft_cache_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lambda c: F.transform(F.split(c, " "), lambda w: F.length(w) + 10)
+    return packing.sft_gates(pairs(spark, sf_dir).select(packing.sft_encoding(ids("instruction"), ids("response"), 64).alias("e")), 64)
+
+
+@query(f"WITH t AS (SELECT conv_id * 1000 + turn AS o, len({_IDS.format('text')}) + 2 AS n FROM conversations), s AS (SELECT o, n, coalesce(sum(n) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, coalesce(lead(o) OVER (ORDER BY o), -1) AS nx FROM t) SELECT unnest(['not_negative', 'starts_at_zero', 'contiguous']) AS name, unnest([bool_and(s >= 0 AND n >= 0), min(s) = 0, max(s + n) = sum(n) AND count(DISTINCT s) = count(*)]) AS passed FROM s")
+def stream_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the packed stream's starts and lengths fit together without gap or overlap."""
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w) + 10)
+    held = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), packing.framed(ids).alias("ids"))
+    return packing.offset_checks(packing.offsets(held, "ordinal", F.size("ids")), "start", F.size("ids"))
+
+
+@query(
+    f"WITH {SHINGLES}, bw AS (SELECT item_id, string_split({NORM.format('text')}, ' ') AS w FROM benchmark WHERE {NORM.format('text')} <> ''), "
+    "bs AS (SELECT item_id, unnest(list_distinct(CASE WHEN len(w) <= 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS s FROM bw) "
+    "SELECT doc_id AS id, item_id AS item, count(*) AS shared FROM sh JOIN bs USING (s) GROUP BY ALL HAVING shared >= 5"
+)
+def benchmark_shared_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items that share five shingles of three words or more."""
+    return contamination.shared_shingles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", least=5)

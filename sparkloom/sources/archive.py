@@ -101,3 +101,23 @@ class CheckpointStore:
     def latest(self) -> Path | None:
         done = self.complete()
         return done[-1] if done else None
+
+
+def stage(source: str, target: str, dry_run: bool = False, force: bool = False) -> list[str]:
+    """Copies a reviewed local file or folder into target and names what is there then; a dry run only names what would be. A target that holds something is refused
+    without force. Nothing is fetched from anywhere."""
+    if not os.path.exists(source):
+        raise FileNotFoundError(source)
+    if os.path.isdir(source):
+        names = sorted(os.path.relpath(f"{d}/{n}", source) for d, _, own in os.walk(source) for n in own)
+    else:
+        names = [os.path.basename(source)]
+    if dry_run:
+        return names
+    if os.path.isdir(target) and os.listdir(target) and not force:
+        raise FileExistsError(f"{target} holds something already")
+    for name in names:
+        to = os.path.join(target, name)
+        os.makedirs(os.path.dirname(to), exist_ok=True)
+        shutil.copy2(os.path.join(source, name) if os.path.isdir(source) else source, to)
+    return names

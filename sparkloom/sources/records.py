@@ -104,7 +104,9 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, key) of an exclusion manifest; ids and content hashes may go by either of two names."""
+    """(kind, key) of an exclusion manifest; ids and content hashes may go by either of two names. A file that isn't there excludes nothing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "kind string, key string")
     r = F.from_json("value", "problem_ids array<string>, ids array<string>, instruction_hashes array<string>, content_hashes array<string>, hashes array<string>")
     none = F.array().cast("array<string>")
     one = spark.read.text(path, wholetext=True).select(r.alias("r"))
@@ -113,6 +115,12 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """name and SHA-256 of every file under the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -131,9 +139,27 @@ def from_code_search(raw: DataFrame) -> DataFrame:
     )
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines with keys in order; the job's commit makes the folder appear whole."""
-    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("overwrite").text(path)
+def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> str:
+    """JSON lines with keys in order; the job's commit makes the folder appear whole. Gives one SHA-256 over the parts' digests, by name.
+
+    With order the parts are ranges of that column, ordered within, so that their lines, one part after the other, are in order.
+    """
+    lines = df if order is None else df.repartitionByRange(order).sortWithinPartitions(order)
+    lines.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("overwrite").text(path)
+    parts = spark_digests(df.sparkSession, path)
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: x["sha256"]), "\n"), 256)).first()[0]
+
+
+def spark_digests(spark: SparkSession, path: str) -> DataFrame:
+    """file_digests of what Spark wrote: parts alone, under the number that they have in the name."""
+    return file_digests(spark, path).where(F.col("name").startswith("part-")).withColumn("name", F.regexp_extract("name", r"^part-(\d+)", 1))
+
+
+def sft_sides(records: DataFrame, path: str) -> DataFrame:
+    """The view of records for supervised tuning written as accepted and rejected rows in one pass; (name, n) of both and of each reason."""
+    from ..operators.validate import sft_view
+
+    return gated(sft_view(records), F.col("reason"), path, ["empty_instruction", "empty_response", "syntax_invalid"])
 
 
 def write_corpus(texts: DataFrame, path: str, column: str = "text") -> None:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..operators import packing
 from .caches import IDS, LABELS
 
 MANIFEST, PENDING, OPEN = "manifest.json", "_pending", "open"
@@ -204,6 +205,16 @@ def write_packed(rows: DataFrame, path: str, dtype: str = IDS, mode: str = "over
     return {k: v for k, v in _manifest(path).items() if k != "parts"}
 
 
+def write_sft_cache(encoded: DataFrame, path: str, length: int, expected_length: int, encoding: str = "e", vocabulary: int = 32_000) -> dict:
+    """Writes sft_encoding structs as a cache if all gates pass: the length is the one that the analysis chose, and those of sft_gates. Else nothing is written."""
+    if length != expected_length:
+        raise ValueError(f"the cache's length {length} isn't the chosen one, {expected_length}")
+    failed = [r["name"] for r in packing.sft_gates(encoded, length, encoding, vocabulary).where(~F.col("passed")).collect()]
+    if failed:
+        raise ValueError(f"gates failed: {', '.join(sorted(failed))}")
+    return write_packed(encoded.select(F.col(f"{encoding}.input_ids").alias("ids"), F.col(f"{encoding}.labels").alias("labels")), path) | {"length": length}
+
+
 def read_packed(spark: SparkSession, path: str, piece: int = 1 << 16) -> DataFrame:
     """(row, offset, ids, labels): rows numbered in the order of the parts, offset the number of tokens before."""
     spark.dataSource.register(PackedTokens)
