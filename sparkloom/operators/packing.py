@@ -12,12 +12,17 @@ def framed(ids: Column) -> Column:
     return F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
 
 
-def offsets(df: DataFrame, ordinal: str, length: Column, ranges: int = 64) -> DataFrame:
+#: Rows of a range of offsets(), about; ranges are 64 to 1024.
+RANGE_ROWS = 200_000
+
+
+def offsets(df: DataFrame, ordinal: str, length: Column, ranges: int | None = None) -> DataFrame:
     """df with start: the summed lengths of all rows with smaller ordinals.
 
-    Rows are cut into ranges of ordinals; sums run inside each, and the ranges' totals (a row each) are carried along.
+    Rows are cut into ranges of ordinals, as many as they need; sums run inside each, and the ranges' totals (a row each) are carried along.
     """
     held = df.withColumn("_n", length.cast("bigint"))
+    ranges = ranges or min(1024, max(64, -(-df.count() // RANGE_ROWS)))
     q = held.agg(F.percentile_approx(ordinal, [(k + 1) / ranges for k in range(ranges - 1)], 10_000).alias("q")).first()["q"] or []
     borders = sorted(set(q))
     held = held.withColumn("_r", F.size(F.filter(F.array(*map(F.lit, borders)).cast("array<bigint>"), lambda b: b < F.col(ordinal))) if borders else F.lit(0))
