@@ -280,6 +280,23 @@ def mixed_rows():
     return rows + [(900, None), (901, ""), (902, LONG), (902, LONG)], labels + [(None, 1, 0), (3, None, 7)]
 
 
+def test_quality_of_long_texts_is_that_of_their_lines(monkeypatch):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice(["ab", "b", "A1", "!?", "é", " ", " ", "  ", "\n", "\n", "\t", "x" * 20]) for _ in range(n)).encode()
+    texts = [text(rnd.choice([0, 1, 5, 60, 400])) for _ in range(80)] + [b"", b"\n", b"\n\n", b" ", b"same\nsame\nsame", b"a a a a a a " * 50]
+    own, length, lines = quality.line_features(texts)
+    model = quality.QualityModel(np.random.default_rng(0).normal(size=quality.WIDTH), np.array([[0.5, -0.2], [0.1, 0.3]]), (1.3, 0.2), 0.5, True)
+    good, _ = quality.marginals(quality.with_neighbours(own, lines) @ model.node, model.edge, lines)
+    begin = np.cumsum(lines) - lines
+    p = [np.average(good[b : b + n], weights=length[b : b + n] + 1) for b, n in zip(begin, lines)]
+    want = 1 / (1 + np.exp(-(1.3 * np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6))) + 0.2)))
+    for chunk in (1, 2, 7, 50, 300, 1 << 20):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        sums, got_length, got_lines = quality.projected(texts, np.eye(quality.OWN))
+        assert np.abs(sums - own).max() < 1e-12 and np.array_equal(got_length, length) and np.array_equal(got_lines, lines)
+        assert np.abs(model.score(texts) - want).max() < 1e-9
+
+
 def test_mixing_meets_targets_and_matches_numpy(spark, mixed_rows):
     rows, labels = mixed_rows
     docs = spark.createDataFrame(rows, DOC).selectExpr("*", "1 AS rate")
