@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialised
+from ..session import materialised, released
 
 BUCKETS = 4096
 
@@ -95,6 +95,7 @@ def placed(df: DataFrame, *order: str) -> DataFrame:
     parts = min(PARTS, max(1, -(-rows.count() // PART_ROWS)))
     own = F.monotonically_increasing_id()
     held = materialised(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.shiftright(own, 33).cast("int").alias("_part"), own.bitwiseAND(F.lit((1 << 33) - 1)).alias("_own")))
+    released(rows)
     counts = {r[0]: r[1] for r in held.groupBy("_part").count().collect()}  # PARTS at most
     starts, at = [], 0
     for k in range(max(counts, default=0) + 1):
@@ -132,7 +133,9 @@ def sampled_pairs(held: DataFrame, ordinal: str, wanted: int = 10_000, seed: int
     at = lambda s: post.select(F.col("place").alias(s), F.col("o").alias(f"o{s}"))
     named = drawn.join(at("x"), "x").join(at("y"), "y").select(F.least("ox", "oy").alias("a"), F.greatest("ox", "oy").alias("b"))
     side = lambda s: held.select(F.col(ordinal).alias(s), F.col("shingles").alias(f"g{s}"), F.col("n").alias(f"n{s}"))
-    return materialised(named.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), "na", "nb")), rate
+    out = materialised(named.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), "na", "nb"))
+    released(lists, drawn)
+    return out, rate
 
 
 def sampled_audit(held: DataFrame, ordinal: str, wanted: int = 10_000, seed: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialised
+from ..session import materialised, released
 
 #: Special tokens with their ids, and the pretoken pattern of byte-level vocabularies.
 SPECIALS = ("<PAD>", "<BOS>", "<EOS>", "<UNK>")
@@ -178,8 +178,11 @@ def _learnt_in_rounds(words: DataFrame, vocab: dict[str, int], vocabulary: int,
             merges.append(list(p))
             vocab.setdefault("".join(p), len(vocab))
         deltas = found.where(F.col("step") < keep).groupBy("a", "b").agg(F.sum("d").alias("c"))
+        before = (pairs, words, found)
         pairs = materialised(pairs.unionByName(deltas).groupBy("a", "b").agg(F.sum("c").alias("c")).where("c > 0"))
         words = materialised(words.select(apply(batch)("w").alias("w"), "n"))
+        released(*before)
+    released(pairs, words)
     return merges
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import contamination, packing, selection, splits, stats
+from ..operators import contamination, packing, sampling, selection, splits, stats, validate
 from ..session import materialised, shared_folder
 from ..sources import records, token_sink
 from ..streaming import incremental
@@ -238,3 +238,26 @@ def stream_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_shared_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and benchmark items that share five shingles of three words or more."""
     return contamination.shared_shingles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", least=5)
+
+
+# --- secrets and sets ------------------------------------------------------------------------------------------------
+
+_PLAIN = "replace(replace(text, '\"', ''), 'token', 'secret')"
+
+
+@query(f"SELECT doc_id, regexp_matches({_PLAIN}, '{'|'.join('(?i:' + p.replace(chr(39), chr(39) * 2) + ')' for p in validate.SECRET_PATTERNS)}') AS secret FROM documents")
+def secret_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a secret by the gate's patterns, once assigned values stand without quotes and tokens are called secrets."""
+    plain = F.replace(F.replace("text", F.lit('"'), F.lit("")), F.lit("token"), F.lit("secret"))
+    return table(spark, sf_dir, "documents").select("doc_id", validate.has_secret(plain).alias("secret"))
+
+
+_BY_LANG = f"SELECT DISTINCT unnest(string_split({NORM.format('text')}, ' ')) AS word FROM documents WHERE lang = '{{}}'"
+
+
+@query(f"SELECT 'shared' AS kind, word FROM ({_BY_LANG.format('de')} INTERSECT {_BY_LANG.format('en')}) UNION ALL SELECT 'only_de', word FROM ({_BY_LANG.format('de')} EXCEPT {_BY_LANG.format('en')})")
+def language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that German and English documents share, and those of German ones alone."""
+    words = lambda lang: table(spark, sf_dir, "documents").where(F.col("lang") == lang).select(F.explode(F.split(T.dedup_form(F.col("text")), " ")).alias("word"))
+    de, en = words("de"), words("en")
+    return sampling.shared(de, en).select(F.lit("shared").alias("kind"), "word").unionByName(sampling.without(de, en).select(F.lit("only_de").alias("kind"), "word"))

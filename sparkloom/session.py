@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,13 +52,26 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def materialised(df):
+#: Where the tables of materialised() lie, until released() or the end of the driver.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def materialised(df: DataFrame) -> DataFrame:
     """df written and read again, in the folder that spark.checkpoint.dir names: lineage ends, and any executor can go on from there.
 
-    The table goes when the driver ends.
+    The table goes with released(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialised() whose last reader is done; other tables stay."""
+    for t in tables:
+        if t is not None and (path := _paths.pop(t, None)):
+            _remove(t.sparkSession, path)
