@@ -179,16 +179,23 @@ def instruction(description: Column, category: Column, family_index: Column, var
 
 
 def tasks_of(grid: DataFrame, ordinal: str = "ordinal", *more: str) -> DataFrame:
-    """A grid's rows with rendered code: id, instruction, response, function_name, test_cases and metadata columns, and more of its own."""
+    """A grid's rows with rendered code: a record's columns, function_name, test_cases, its metadata (nothing is executed here) and more columns of its own."""
     rows = grid.withColumn("r", rendered("blueprint", "family_index", "variant"))
     return rows.select(
         *more,
         F.concat(F.lit("py_cgen_"), F.substring(digest(F.concat_ws("\n", "family_id", "variant", "r.code")), 1, 20)).alias("id"), F.col(ordinal).alias("ordinal"), "category", "family_id", "difficulty", "template_id", "variant_id",
         instruction(F.col("r.description"), F.col("category"), F.col("family_index"), F.col("variant")).alias("instruction"), F.lit("").alias("input"),
         F.col("r.code").alias("response"), F.lit("solve").alias("function_name"), "r.test_cases", "r.test_count",
+        F.lit("code_generation").alias("task_type"), F.lit("programmatic").alias("source"), F.lit(1.0).alias("quality_score"), F.lit("generated").alias("license"), F.lit("function").alias("interface"),
+        F.lit(False).alias("execution_tested"), F.lit(False).alias("execution_passed"),
     )
 
 
+def executed(tasks: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """tasks with their execution flags by the outcome of a run; a task without one was not tested."""
+    return tasks.withColumns({"execution_tested": F.col(outcome).isNotNull(), "execution_passed": F.coalesce(F.col(outcome) == "functional_pass", F.lit(False))})
+
+
 def tasks(spark: SparkSession, target: int = FULL, per_family: int = PER_FAMILY, partitions: int | None = None) -> DataFrame:
     rows = grid(spark, target, per_family)
     return tasks_of(rows.repartition(partitions) if partitions else rows)

@@ -153,6 +153,10 @@ def test_generated_tasks_pass_their_tests(spark):
         if "import" not in code:
             assert sandbox.run_tests(code, "solve", cases, 20.0, True) == "functional_pass", blueprint
     assert sum(generate.allocation(100_000).values()) == 100_000 and sum(generate.allocation(777).values()) == 777
+    one = generate.tasks(spark, 60)
+    assert {tuple(r) for r in one.select("task_type", "source", "license", "interface", "execution_tested", "execution_passed").collect()} == {("code_generation", "programmatic", "generated", "function", False, False)}
+    ran = generate.executed(one.withColumn("outcome", F.when(F.col("ordinal") % 3 == 0, "functional_pass").when(F.col("ordinal") % 3 == 1, "timeout")))
+    assert sorted(map(tuple, ran.groupBy("execution_tested", "execution_passed").count().collect())) == [(False, False, 20), (True, False, 20), (True, True, 20)]
     a, b = (sorted(map(tuple, generate.tasks(spark, 60).select("id", "instruction").collect())) for _ in "ab")
     assert a == b and len({x[0] for x in a}) == 60
 
