@@ -2,15 +2,17 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from sparkloom.llm import decontamination, hard_negatives, layout
+from sparkloom.llm import decontamination, hard_negatives, layout, queries
 
 DOC = "doc_id long, text string"
 ITEM = "item_id long, text string"
@@ -204,3 +206,17 @@ def test_cells_round_trip():
     assert all(set(np.unique(v)) == set(range(16)) for v in at.values())
     k = 0b1000_0100_0010_0001
     assert {d: int(v[k]) for d, v in at.items()} == {"length": 8, "source": 4, "date": 2, "lang": 1}
+
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", ["op11_decontamination", "op12_hard_negatives", "op13_layout"])
+def test_queries_match_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, DIR)
+    want = con.sql(queries.ORACLE_SQL[name]).select(*[f'"{c}"' for c in df.columns]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.collect()) and want
