@@ -191,3 +191,29 @@ def test_language_counts_whatever_its_case(spark):
 def test_a_split_is_named_by_what_it_shares(spark):
     got = spark.createDataFrame([(0, 0), (1, 1), (0, 2)], "p int, s int").select(stats.classify_split({"prompts": F.col("p"), "solutions": F.col("s")}).alias("x"), stats.classify_split({}).alias("y")).collect()
     assert [tuple(r) for r in got] == [("disjoint", "disjoint"), ("shares_prompts", "disjoint"), ("shares_solutions", "disjoint")]
+
+
+def test_gram_bounds_never_lose_a_pair(spark):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(400):
+        words = "".join(rnd.choice("etaoinshr dlu,xq9") for _ in range(rnd.choice([20, 90, 210, 400, 1500])))
+        if k % 4 == 0:
+            words = "".join(rnd.choice("etaoinshrd") for _ in range(300)) + words[:20]  # few anchors
+        if k % 5 == 0:
+            words = words[:8] * (len(words) // 8)  # few different grams
+        other = list(words)
+        for _ in range(rnd.randrange(1, 2 + len(other) // rnd.choice([8, 20, 100]))):
+            at = rnd.randrange(len(other))
+            if rnd.random() < 0.5:
+                other[at : at + rnd.randrange(4)] = []
+            else:
+                other[at:at] = rnd.choice(["x", "e", "the ", "é😀"])
+        rows.append((words, "".join(other)) if k % 3 else ("".join(other), words))
+    texts = sorted({t for r in rows for t in r})
+    strangers = [(texts[k], texts[k * 7 % len(texts)]) for k in range(len(texts))]
+    df = spark.createDataFrame(rows + strangers, "x string, y string")
+    got = df.select("x", "y", dedup.shares_grams(9, 10)(F.length("x"), dedup.gram_bits(F.col("x")), F.length("y"), dedup.gram_bits(F.col("y"))).alias("may")).collect()
+    near = [r for r in got if difflib.SequenceMatcher(None, r.x, r.y).ratio() >= 0.9]
+    assert len(near) > 60 and all(r.may for r in near)
+    assert sum(not r.may for r in got) > 200
