@@ -66,6 +66,7 @@ def media_table(docs: DataFrame, text: str = "text") -> DataFrame:
     def media(col: pa.Array) -> pa.Array:
         return pa.array([encode(pad((t or "").encode("utf-8", "replace"))) for t in col.to_pylist()], pa.binary())
 
+    bounded_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     return stored(docs.select(F.sha2(F.encode(whole, "UTF-8"), 256).alias("digest"), F.octet_length(whole).cast("long").alias("n_bytes"), media(text).alias("media")))
 
@@ -87,6 +88,7 @@ def catalogue(media: DataFrame, payload: bool = False) -> DataFrame:
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), features(samples)))
         return pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows) if rows else [[]] * len(_FACTS), _FACTS)], names=[n for n, _ in _FACTS])
 
+    bounded_batches(media.sparkSession)
     kept = [F.min("media").alias("media")] if payload else []  # one digest, one payload
     return media.select("digest", "n_bytes", facts("media").alias("f"), *(["media"] if payload else [])).groupBy("digest").agg(F.min("n_bytes").alias("n_bytes"), F.min("f").alias("f"), *kept)
 
@@ -220,14 +222,17 @@ def sequences(pages: DataFrame, key: str, html: str, out: str = "items") -> Data
 def interleave(pages: DataFrame, facts: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, row (number of the row within its key) and sequence: array of (position, kind, text, digest, caption, and the columns of facts), in document order.
 
-    facts has a row for each digest: catalogue(media) for descriptions, with payload=True for the stored media themselves.
+    facts has a row for each digest: catalogue(media) for descriptions, with payload=True for the stored media themselves. A key that is
+    called row or sequence keeps its name; the result's own column then has an underscore before it.
     """
-    rows = sequences(pages.select(key, html), key, html).select(key, "items", F.monotonically_increasing_id().alias("row"))
+    number, sequence = (f"_{n}" if n == key else n for n in ("row", "sequence"))
+    rows = sequences(pages.select(F.col(key).alias("_key"), F.col(html).alias("_html")), "_key", "_html", "_items").select("_key", "_items", F.monotonically_increasing_id().alias("_number"))
     named = stored(rows)  # row numbers must not change when a task runs again
-    items = named.select(key, "row", F.posexplode_outer("items").alias("position", "item"))
-    resolved = items.join(facts, items["item.digest"] == facts["digest"], "left")
-    item = F.struct(F.col("position"), F.col("item.kind").alias("kind"), F.col("item.text").alias("text"), F.col("item.digest").alias("digest"), F.col("item.caption").alias("caption"), *[F.col(c) for c in facts.columns if c != "digest"])
-    return resolved.groupBy("row").agg(F.first(key).alias(key), F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), item))).alias("sequence"))
+    items = named.select("_key", "_number", F.posexplode_outer("_items").alias("_position", "_item"))
+    resolved = items.join(facts.withColumnRenamed("digest", "_digest"), F.col("_item.digest") == F.col("_digest"), "left")
+    item = F.struct(F.col("_position").alias("position"), *[F.col(f"_item.{n}").alias(n) for n in ("kind", "text", "digest", "caption")], *[F.col(c) for c in facts.columns if c != "digest"])
+    whole = resolved.groupBy("_number").agg(F.first("_key").alias("_key"), F.array_sort(F.collect_list(F.when(F.col("_position").isNotNull(), item))).alias("_sequence"))
+    return whole.select(F.col("_number").alias(number), F.col("_key").alias(key), F.col("_sequence").alias(sequence))
 
 
 def media_report(docs: DataFrame) -> DataFrame:

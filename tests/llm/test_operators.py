@@ -22,16 +22,22 @@ LONG = ("word " * 30_000 + "mail me at ann.lee@mail.example.org ") * 2
 
 def test_url_rules_match_brute_force(spark):
     rnd = random.Random(0)
-    hosts = ["example.net", "a.example.net", "EXAMPLE.com", "x.example.com", "b.org", "notexample.net", "net", "cheap-pills.io", "my_pills.io", "io", "épills.io"]
+    hosts = ["example.net", "a.example.net", "EXAMPLE.com", "x.example.com", "b.org", "notexample.net", "net", "cheap-pills.io", "my_pills.io", "io", "épills.io", "ads.io", "ADS.example.io", "xads.io", "track.io"]
     paths = ["", "/", "/en/", "/en", "/de/x", "/fr/1", "/EN/x", "/casino", "/casinos", "/a_casino.b", "/pills/en/", "?q=/en/", "#/en/"]
+    paths += ["/CASINO/x", "/online-casinos/", "/Kasino/\u212aasino", "/x/banner_1/a.gif", "/xbanner.js", "/banner.js", "/banner.GIF/", "/WP-Login.php", "/wp-login.phpx", "/free-big-download", "/free-download"]
     urls = [f"{rnd.choice(['http', 'https'])}://{h}{p}{rnd.choice(['', '?a=1', '#x'])}" for h in hosts for p in paths] + [None, "", "no-scheme/en/", "://", "a://b://c/en/"]
 
+    words = "casino casinos porn porno xxx viagra cialis pills betting bets escort escorts warez torrent torrents payday"
+    plain = [rf"(^|[^a-z0-9]){w}([^a-z0-9]|$)" for w in [*words.split(), "wp-login[.]php", "free-.*-download"]]
+    plain += [r"^(ads|adserver|track)[.].*/", r"(^|[^a-z0-9])banner.*[.](gif|js)\Z"]
+
     def brute(u):
         host, path = url_filter.host_and_path(u)
         fits = [(n, v) for n, v in url_filter.HOST_RULES if host and (host == n.split("/")[0] or host.endswith("." + n.split("/")[0])) and path.startswith("/" + n.split("/", 1)[1])]
         if fits:
             return (host, path, *max(fits, key=lambda x: len(x[0])))
-        bad = any(re.search(rf"(?<![A-Za-z0-9]){w}(?![A-Za-z0-9])", host + path) for w in url_filter.BLOCKED_WORDS)
+        whole = re.sub("[A-Z]", lambda m: m[0].lower(), host + path)
+        bad = any(re.search(x, whole, re.S) for x in plain)
         return host, path, None, "block" if bad and host else "allow"
 
     got = url_filter.url_report(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").selectExpr("*", "'x' AS judged")).collect()
@@ -39,6 +45,25 @@ def test_url_rules_match_brute_force(spark):
     assert url_filter.url_report(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_pattern_rules():
+    cases = {
+        "^casino^": (["a.io/casino", "casino.io/", "a.io/x-CASINO_1"], ["a.io/casinos", "xcasino.io/"]),
+        "|ads.*^x|": (["ads.io/x", "ADS.b.io/y/X"], ["a.ads.io/x", "ads.io/x/", "ads.io/yx"]),
+        "a{b,cd}e": (["h/abe", "h/ACDEf"], ["h/abcde2"[:5], "h/ae"]),
+        "1.5(x": (["h/1.5(x"], ["h/1x5(x"]),
+        "*": (["h", "h/"], []),
+    }
+    for text, (fit, other) in cases.items():
+        rules = url_filter.pattern_rules(text, "block")
+        index = url_filter.Index(rules, {})
+        for whole, want in [*((w, True) for w in fit), *((w, False) for w in other)]:
+            host, slash, path = whole.partition("/")
+            found, _ = index.best(host, slash + path)
+            assert (found is not None) == want == any(re.search(r.regex, whole) for r in rules), (text, whole)
+    assert url_filter.pattern_rules("^free-*load-x*", "block")[0].tokens == ("free",)
+    assert [r.tokens for r in url_filter.pattern_rules("^{A,b}^c", "block")] == [("a",), ("b",)]
+
+
 def test_index_uses_the_rarest_token():
     rules = tuple(url_filter.host_rule(f"site{k}.com/", "block") for k in range(500))
     index = url_filter.Index(rules, {"com": 10_000} | {f"site{k}": 1 for k in range(500)})
@@ -196,6 +221,9 @@ def test_sequences_keep_order_and_captions(spark):
         ("text", "T", None, None, None), ("text", "one", None, None, None), ("media", None, "aa", "A", 3), ("text", "two", None, None, None), ("media", None, "bb", "cap", 4), ("text", "three", None, None, None),
     ]
     assert got[2] == [] and got[3][0].n_bytes is None and [x.position for x in got[1]] == list(range(6))
+    for key, columns in (("row", ["_row", "row", "sequence"]), ("sequence", ["row", "sequence", "_sequence"]), ("digest", ["row", "digest", "sequence"])):
+        out = media.interleave(pages.withColumnRenamed("page_id", key), facts, key)
+        assert out.columns == columns and {r[1]: len(r[2]) for r in out.collect()} == {1: 6, 2: 0, 3: 1}
 
 
 def test_words_encode_as_the_tokenizer_does():
