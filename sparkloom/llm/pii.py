@@ -53,6 +53,37 @@ NEAR = {
 }
 AGAINST = frozenset("version release isbn issn order invoice chapter section page sku serial figure table".split())
 WORD = re.compile(r"[^\W\d_][\w-]*")
+#: Words of a table of word lists, at most, as every worker holds them.
+MAX_WORDS = 500_000
+
+
+@dataclass(frozen=True)
+class WordLists:
+    """What the gazetteer and context labelers know, in lower case."""
+
+    top_domains: frozenset[str] = TOP_DOMAINS
+    first_names: frozenset[str] = FIRST_NAMES
+    near: tuple[tuple[str, frozenset[str]], ...] = tuple(NEAR.items())
+    against: frozenset[str] = AGAINST
+
+
+LISTS = WordLists()
+
+
+def word_lists(words: DataFrame) -> WordLists:
+    """The fixed lists and the words of a table (list, word): top_domain, first_name, against, or a kind for the words that stand near it.
+
+    Null words and other lists don't count; more than MAX_WORDS different words are refused with an error.
+    """
+    rows = words.select(F.col("list"), F.lower(F.trim("word")).alias("word")).where("word <> ''").where(F.col("list").isin("top_domain", "first_name", "against", *KINDS)).distinct().limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words; a worker may hold that many")
+    by: dict[str, set[str]] = {}
+    for r in rows:
+        by.setdefault(r["list"], set()).add(r["word"])
+    more = lambda name: frozenset(by.get(name, ()))
+    return WordLists(TOP_DOMAINS | more("top_domain"), FIRST_NAMES | more("first_name"), tuple((k, v | more(k)) for k, v in NEAR.items()), AGAINST | more("against"))
+
 LABELERS = ("pattern", "check", "gazetteer", "context", "counter")
 FEATURES = ("base", "long", "separated", "edge")
 
@@ -92,7 +123,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _vote(text: str, kind: str, start: int, end: int, base: bool) -> tuple[str, str]:
+def _vote(text: str, kind: str, start: int, end: int, base: bool, lists: WordLists = LISTS) -> tuple[str, str]:
     span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
     digits = _digits(span)
     near = {w.lower() for w in WORD.findall(before)}
@@ -110,9 +141,9 @@ def _vote(text: str, kind: str, start: int, end: int, base: bool) -> tuple[str,
         votes.append("+" if re.search(r"[\[(0-9._+-]", span) else "0")
     if kind == "email":
         words = [w.lower() for w in re.split(r"[^A-Za-z0-9]+", span) if w]
-        known = words[-1] in TOP_DOMAINS
+        known = words[-1] in lists.top_domains
         if base:
-            votes.append("+" if known or FIRST_NAMES & set(words) else "-" if not words[-1].isalpha() else "0")
+            votes.append("+" if known or lists.first_names & set(words) else "-" if not words[-1].isalpha() else "0")
         else:  # ordinary words can look like an address that is spelt out
             votes.append("+" if known else "-")
     elif kind == "phone":
@@ -121,28 +152,28 @@ def _vote(text: str, kind: str, start: int, end: int, base: bool) -> tuple[str,
         votes.append("+" if digits[:1] in ("3", "4", "5", "6") else "-")
     else:
         votes.append("-" if span.startswith(("0.", "255.")) else "0")
-    votes.append("+" if near & NEAR[kind] else "0")
-    votes.append("-" if near & AGAINST else "0")
+    votes.append("+" if near & dict(lists.near)[kind] else "0")
+    votes.append("-" if near & lists.against else "0")
     edge = (not before or not before[-1].isalnum()) and (not after or not after[0].isalnum())
     return "".join(votes), "".join("01"[x] for x in (base, len(span) >= 16, any(c in span for c in " -()"), edge))
 
 
-def candidates(text: str) -> list[tuple[str, int, int, bool, str, str]]:
+def candidates(text: str, lists: WordLists = LISTS) -> list[tuple[str, int, int, bool, str, str]]:
     """All candidate spans with their votes and shape, by kind as listed, then start."""
     base = base_spans(text)
     spans = [(*x, True) for x in base]
     if _any_digit(text) or _spelt_dot(text):
         taken = sorted((s, e) for _, s, e in base)
         spans += [(k, *m.span(), False) for k in KINDS for m in MORE[k].finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
-    return sorted(((k, s, e, b, *_vote(text, k, s, e, b)) for k, s, e, b in spans), key=lambda x: (KINDS.index(x[0]), x[1]))
+    return sorted(((k, s, e, b, *_vote(text, k, s, e, b, lists)) for k, s, e, b in spans), key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
-def _candidates(text: Column) -> Column:
+def _candidates(text: Column, lists: WordLists) -> Column:
     names = [f.name for f in _ARROW.value_type]
 
     @F.arrow_udf(CANDIDATES)
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(names, x)) for x in candidates(t or "")] for t in col.to_pylist()], _ARROW)
+        return pa.array([[dict(zip(names, x)) for x in candidates(t or "", lists)] for t in col.to_pylist()], _ARROW)
 
     return run(text)
 
@@ -192,15 +223,18 @@ def fit_spans(counts: list[tuple[str, str, str, int]], rounds: int = 50) -> Span
     return SpanModel(reliability, decide)
 
 
-def find_pii(docs: DataFrame, text: str = "text", out: str = "spans", least: float = 0.5) -> DataFrame:
-    """docs with the column `out`: array of (kind, start, end, base, score), by kind as listed and start; code points, end exclusive."""
+def find_pii(docs: DataFrame, text: str = "text", out: str = "spans", least: float = 0.5, lists: WordLists = LISTS) -> DataFrame:
+    """docs with the column `out`: array of (kind, start, end, base, score), by kind as listed and start; code points, end exclusive.
+
+    lists may come from a table, see word_lists.
+    """
     bounded_batches(docs.sparkSession)
-    seen = docs.select(F.explode(_candidates(F.col(text))).alias("c")).groupBy("c.kind", "c.votes", "c.shape").count()
+    seen = docs.select(F.explode(_candidates(F.col(text), lists)).alias("c")).groupBy("c.kind", "c.votes", "c.shape").count()
     model = fit_spans([tuple(r) for r in seen.collect()])  # bounded by the patterns there can be
     known = [x for k, v in model.decide.items() for x in (F.lit(":".join(k)), F.lit(v))]
     scores = F.create_map(*known) if known else F.lit(None).cast("map<string,double>")
     score = lambda x: F.coalesce(scores[F.concat_ws(":", x["kind"], x["votes"], x["shape"])], F.lit(0.0))
-    every = F.transform(_candidates(F.col(text)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), score(x).alias("score")))
+    every = F.transform(_candidates(F.col(text), lists), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), score(x).alias("score")))
     return docs.withColumn(out, F.filter(every, lambda x: x["base"] | (x["score"] >= least)))
 
 

@@ -232,3 +232,21 @@ def test_token_counts_match_plain_python(spark):
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
     assert url_filter.token_counts(pages, rules) == want
     assert url_filter.token_counts(pages.where(F.lit(False)), rules) == {}
+
+
+def test_word_lists_from_a_table(spark, monkeypatch):
+    rows = [("top_domain", "Zone"), ("first_name", "ingrid"), ("phone", " Ruf "), ("against", None), ("other", "x"), ("phone", ""), ("first_name", "ingrid")]
+    words = spark.createDataFrame(rows, "list string, word string")
+    lists = pii.word_lists(words)
+    assert lists.top_domains - pii.TOP_DOMAINS == {"zone"} and lists.first_names - pii.FIRST_NAMES == {"ingrid"} and lists.against == pii.AGAINST
+    assert dict(lists.near)["phone"] - pii.NEAR["phone"] == {"ruf"} and dict(lists.near)["card"] == pii.NEAR["card"]
+    votes = lambda text, **more: [c[4] for c in pii.candidates(text, **more)]
+    assert votes("ingrid@host.zone")[0][2] == "0" and votes("ingrid@host.zone", lists=lists)[0][2] == "+"
+    assert votes("Ruf 555-123-4567")[0][3] == "0" and votes("Ruf 555-123-4567", lists=lists)[0][3] == "+"
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["bob at host dot zone"] * 30 + ["ask bob (at) mail (dot) com"] * 30 + ["looked at spot dot xyzzy"] * 30)], "doc_id long, text string")
+    found = lambda more: {r.doc_id for r in pii.find_pii(docs, **more).collect() if r.spans}
+    assert found({}) <= found({"lists": lists}) and set(range(30)) <= found({"lists": lists}) and not set(range(60, 90)) & found({"lists": lists})
+    assert pii.word_lists(words.limit(0)) == pii.LISTS
+    monkeypatch.setattr(pii, "MAX_WORDS", 2)
+    with pytest.raises(ValueError):
+        pii.word_lists(words)
