@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import contamination, packing, sampling, selection, splits, stats, validate
+from ..operators import contamination, dedup, packing, sampling, selection, splits, stats, validate
 from ..session import materialised, shared_folder
 from ..sources import records, token_sink
 from ..streaming import incremental
@@ -28,7 +28,8 @@ def stream_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet*")
     timed = stream.withColumn("at", F.timestamp_seconds(F.col("doc_id") + 86_400))
-    found = incremental.drained(incremental.near_candidates(timed, "doc_id", "text", "at", horizon="3650 days", late="3650 days"), "stream_near_pairs")
+    order = dedup.often(dedup.hashed(docs, F.col("text"), "doc_id"))
+    found = incremental.drained(incremental.near_candidates(timed, "doc_id", "text", "at", horizon="3650 days", late="3650 days", order=order), "stream_near_pairs")
     return incremental.verified(found, docs, "doc_id", "text")
 
 
