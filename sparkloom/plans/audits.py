@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import contamination, curves, dedup, packing, sandbox, skills, stats, validate
+from ..session import materialised
 from ..sources import records
 from ..streaming import incremental
-from .catalog import _IDS, NORM, PAIRS, SHINGLES, pairs, query, shingled, table
+from .catalog import _IDS, NORM, PAIRS, SHINGLES, hashed, pairs, query, table
 
 def _id() -> Column:
     return F.col("doc_id")
@@ -193,7 +194,7 @@ def manifest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SHINGLES}, p AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS r FROM sh) SELECT count(DISTINCT s) AS shingles, count(*) AS postings, count(DISTINCT s) FILTER (r > 100) AS shingles_over, count(*) FILTER (r > 100) AS postings_lost FROM p")
 def posting_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.posting_cap(shingled(spark, sf_dir))
+    return dedup.posting_cap(materialised(hashed(spark, sf_dir)))
 
 
 @query("WITH s AS (SELECT n_chars AS v, row_number() OVER (ORDER BY n_chars) AS r, count(*) OVER () AS n FROM documents) SELECT count(*) AS n, min(v) AS min, round(avg(v), 6) AS mean, max(v) AS max, " + ", ".join(f"max(v) FILTER (r = floor((n - 1) * {q}::DOUBLE) + 1) AS p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM s")

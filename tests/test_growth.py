@@ -22,3 +22,13 @@ def test_totals_are_those_of_the_pairs(docs, monkeypatch):
     got = dedup.shared_totals(dedup.hashed(docs, F.col("text"), "id"), "id").first().asDict()
     want = stats.similarity_audit(dedup.candidate_pairs(dedup.shingled(docs, F.col("text"), "id"), "id")).first().asDict()
     assert want["pairs"] > 2000 and {k: pytest.approx(v) for k, v in want.items()} == got
+
+
+def test_posting_counts_in_several_parts(docs, monkeypatch):
+    monkeypatch.setattr(dedup, "PART", 20)
+    held = dedup.shingled(docs, F.col("text"), "id")
+    each = Counter(s for r in held.collect() for s in r.shingles)
+    found = dedup.posting_counts(held, "t bigint, c bigint", lambda t, c: [t[c > 1], c[c > 1]])
+    assert sorted(r.c for r in found.collect()) == sorted(c for c in each.values() if c > 1)
+    assert {r.size: r.shingles for r in dedup.posting_sizes(held).collect()} == Counter(each.values())
+    assert tuple(dedup.posting_cap(held, 20).first()) == (len(each), sum(each.values()), sum(c > 20 for c in each.values()), sum(max(0, c - 20) for c in each.values()))
