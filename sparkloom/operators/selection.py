@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised, released
+from .dedup import few, posting_counts, with_hashes
 
 BUCKETS = 4096
 
@@ -107,34 +108,41 @@ def placed(df: DataFrame, *order: str) -> DataFrame:
 def sampled_pairs(held: DataFrame, ordinal: str, wanted: int = 10_000, seed: int = 0) -> tuple[DataFrame, float]:
     """(a, b, common, na, nb), once for each time that the pair is drawn, and how many draws one pair and shared shingle expects.
 
-    held has `shingles` and n. A list of c documents that share a shingle has c (c - 1) / 2 pairs. Each list draws about wanted x its pairs /
-    all pairs of them, by a hash: the whole part of that number, and one more with the probability of the rest. A draw is a pair of
-    places in the list, and its documents are looked up by their places among all postings, so no pair is made that isn't drawn, and no
-    list, however long, is gone through in one task. A pair is drawn for each shingle that it shares: weigh it by 1 / common.
+    held has what shingled() or hashed() gives. A list of c documents that share a shingle has c (c - 1) / 2 pairs. Each list draws about wanted x
+    its pairs / all pairs of them, by a hash: the whole part of that number, and one more with the probability of the rest. Only the
+    postings of lists that draw are placed. A draw is a pair of places in the list, and its documents are looked up by their places, so
+    no pair is made that isn't drawn, and no list, however long, is gone through in one task. A pair is drawn for each shingle that it
+    shares: weigh it by 1 / common.
     """
-    # a generator, so that the hashes are worked out once
-    post = placed(held.select(F.col(ordinal).alias("o"), F.explode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("t")), "t", "o")
-    lists = materialised(post.groupBy("t").agg(F.count("*").alias("c"), F.min("place").alias("first")).where("c > 1").withColumn("w", F.col("c") * (F.col("c") - 1) / 2))
+    rows = with_hashes(held)
+    lists = materialised(posting_counts(rows, "t bigint, c bigint", lambda t, c: [t[c > 1], c[c > 1]]).withColumn("w", F.col("c") * (F.col("c") - 1) / 2))
     total = lists.agg(F.sum("w")).first()[0] or 0.0
     if not total:
         return held.sparkSession.createDataFrame([], f"a {held.schema[ordinal].dataType.simpleString()}, b {held.schema[ordinal].dataType.simpleString()}, common int, na int, nb int"), 0.0
     rate = min(1.0, wanted / total) if total > wanted else 1.0
     roll = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    times = (F.floor(F.col("w") * rate) + (roll(F.lit("times"), "t") < F.col("w") * rate - F.floor(F.col("w") * rate)).cast("int")).cast("int")
+    picked = materialised(lists.select("t", "c", (times if rate < 1 else F.lit(1)).alias("times")).where("times > 0"))  # about `wanted` at most
+    post = placed(rows.select(F.col(ordinal).alias("o"), F.explode("h").alias("t")).join(few(picked.count())(picked.select("t")), "t").select("t", "o"), "t", "o")
+    starts = picked.join(post.groupBy("t").agg(F.min("place").alias("first")), "t")
     if rate < 1:
-        times = (F.floor(F.col("w") * rate) + (roll(F.lit("times"), "t") < F.col("w") * rate - F.floor(F.col("w") * rate)).cast("int")).cast("int")
-        draws = lists.select("t", "c", "first", times.alias("times")).where("times > 0").select("t", "c", "first", F.explode(F.sequence(F.lit(1), "times")).alias("k"))
+        draws = starts.select("t", "c", "first", F.explode(F.sequence(F.lit(1), "times")).alias("k"))
         x = F.floor(roll(F.lit("x"), "t", "k") * F.col("c"))
         y = F.floor(roll(F.lit("y"), "t", "k") * (F.col("c") - 1))
         drawn = draws.select((F.col("first") + x).alias("x"), (F.col("first") + F.when(y >= x, y + 1).otherwise(y)).alias("y"))
     else:  # all pairs: there are at most `wanted`
-        one = lists.select("c", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 2)).alias("i"))
+        one = starts.select("c", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 2)).alias("i"))
         drawn = one.select((F.col("first") + F.col("i")).alias("x"), F.explode(F.sequence(F.col("first") + F.col("i") + 1, F.col("first") + F.col("c") - 1)).alias("y"))
     drawn = materialised(drawn)
     at = lambda s: post.select(F.col("place").alias(s), F.col("o").alias(f"o{s}"))
-    named = drawn.join(at("x"), "x").join(at("y"), "y").select(F.least("ox", "oy").alias("a"), F.greatest("ox", "oy").alias("b"))
-    side = lambda s: held.select(F.col(ordinal).alias(s), F.col("shingles").alias(f"g{s}"), F.col("n").alias(f"n{s}"))
+    named = materialised(drawn.join(at("x"), "x").join(at("y"), "y").select(F.least("ox", "oy").alias("a"), F.greatest("ox", "oy").alias("b")))
+
+    def side(s: str) -> DataFrame:
+        ends = named.select(F.col(s).alias(ordinal)).distinct()
+        return rows.join(few(ends.count())(ends), ordinal, "left_semi").select(F.col(ordinal).alias(s), F.col("h").alias(f"g{s}"), F.col("n").alias(f"n{s}"))
+
     out = materialised(named.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), "na", "nb"))
-    released(lists, drawn)
+    released(lists, picked, drawn, named)
     return out, rate
 
 

@@ -12,7 +12,7 @@ from ..operators import contamination, dedup, packing, sampling, selection, spli
 from ..session import materialised, shared_folder
 from ..sources import records, token_sink
 from ..streaming import incremental
-from .catalog import NORM, PAIR_COUNTS, PAIRS, SHINGLES, _IDS, pairs, query, shingled, table
+from .catalog import NORM, PAIR_COUNTS, PAIRS, SHINGLES, _IDS, hashed, pairs, query, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -84,7 +84,7 @@ def sale_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def similarity_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarity audit from 10,000 draws; tests hold the estimates against the exact audit."""
-    return selection.sampled_audit(materialised(shingled(spark, sf_dir)), "doc_id", 10_000)
+    return selection.sampled_audit(materialised(hashed(spark, sf_dir)), "doc_id", 10_000)
 
 
 # --- containment -----------------------------------------------------------------------------------------------------

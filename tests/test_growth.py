@@ -32,3 +32,11 @@ def test_posting_counts_in_several_parts(docs, monkeypatch):
     assert sorted(r.c for r in found.collect()) == sorted(c for c in each.values() if c > 1)
     assert {r.size: r.shingles for r in dedup.posting_sizes(held).collect()} == Counter(each.values())
     assert tuple(dedup.posting_cap(held, 20).first()) == (len(each), sum(each.values()), sum(c > 20 for c in each.values()), sum(max(0, c - 20) for c in each.values()))
+
+
+def test_only_postings_of_lists_that_draw_are_placed(docs, monkeypatch):
+    held, sizes, real = dedup.hashed(docs, F.col("text"), "id"), [], selection.placed
+    monkeypatch.setattr(selection, "placed", lambda d, *o: sizes.append(d.count()) or real(d, *o))
+    drawn, rate = selection.sampled_pairs(held, "id", 40)
+    assert 0 < rate < 1 and drawn.count() > 10
+    assert sizes[0] < held.agg(F.sum("n")).first()[0] / 2
