@@ -48,6 +48,8 @@ def evidence(found: DataFrame, order: str, per_kind: int = 20) -> DataFrame:
 PROBE = 32
 #: Items of an automaton, and characters of their texts, at most (about 150 MB in each worker). More items take more passes over the texts.
 MOST_ITEMS, MOST_CHARS = 50_000, 16 << 20
+#: Shingles of a benchmark that are broadcast, at most (about 40 MB).
+MOST_SHINGLES = 1 << 20
 #: The automaton that this worker built last, by its name.
 _built: dict[str, tuple] = {}
 
@@ -110,9 +112,11 @@ def containments(df: DataFrame, benchmark: DataFrame, id_: str, item: str, text:
 
 def shared_shingles(df: DataFrame, benchmark: DataFrame, id_: str, item: str, text: str = "text", k: int = 3, least: int = 1) -> DataFrame:
     """(id, item, shared): how many distinct shingles of k words a row and an item share, where at least so many. Hashes and ids are shuffled, not texts."""
-    each = lambda d, own, name: d.select(F.col(own).alias(name), F.explode(F.transform(shingles(F.col(text), k), lambda s: F.xxhash64(s))).alias("s")).distinct()
-    met = each(df, id_, "id").join(each(benchmark, item, "item"), "s")
-    return met.groupBy("id", "item").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    each = lambda d, own, name: d.select(F.col(own).alias(name), F.explode(F.transform(shingles(F.col(text), k), lambda s: F.xxhash64(s))).alias("s"))
+    items = materialised(each(benchmark, item, "item").distinct())
+    # a benchmark's hashes go to the rows, so that only what both have is shuffled
+    met = each(df, id_, "id").join(F.broadcast(items) if items.count() <= MOST_SHINGLES else items, "s")
+    return met.distinct().groupBy("id", "item").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def manifest_diff(expected: DataFrame, actual: DataFrame, name: str = "name", sha: str = "sha256") -> DataFrame:

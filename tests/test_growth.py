@@ -40,3 +40,15 @@ def test_only_postings_of_lists_that_draw_are_placed(docs, monkeypatch):
     drawn, rate = selection.sampled_pairs(held, "id", 40)
     assert 0 < rate < 1 and drawn.count() > 10
     assert sizes[0] < held.agg(F.sum("n")).first()[0] / 2
+
+
+def test_a_benchmarks_shingles_go_to_the_rows(spark, docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = contamination.shared_shingles(docs, docs.where("id < 2"), "id", "id")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {tuple(r) for r in found.where("id = 92").collect()} == {(92, 0, 1), (92, 1, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
