@@ -7,6 +7,7 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from ..session import materialised, released
 SPECIALS = ("<PAD>", "<BOS>", "<EOS>", "<UNK>")
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters that are encoded at once in a worker, about; a longer text by itself.
+CHARS = 1 << 18
+
 
 def pretokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(PRETOKEN), F.lit(0))
@@ -241,7 +245,22 @@ def encode(spec: str | dict, bos: int | None = None, eos: int | None = None):
     def run(col: pa.Array) -> pa.Array:
         held = _tokenizer(text)
         head, tail = ([] if bos is None else [bos]), ([] if eos is None else [eos])
-        return pa.array([head + e.ids + tail for e in held.encode_batch([t or "" for t in col.to_pylist()], add_special_tokens=False)], pa.list_(pa.int32()))
+        out, some, chars = [], [], 0
+
+        def flush() -> None:
+            out.extend(np.array(head + e.ids + tail, np.int32) for e in held.encode_batch(some, add_special_tokens=False))
+            some.clear()
+
+        # the tokenizer's own results take some hundred bytes a token: few texts at once, and only the ids stay
+        for k in range(len(col)):
+            some.append(col[k].as_py() or "")
+            chars += len(some[-1])
+            if chars >= CHARS:
+                flush()
+                chars = 0
+        flush()
+        ends = np.cumsum([0, *map(len, out)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
 
     return run
 

@@ -42,6 +42,21 @@ def test_only_postings_of_lists_that_draw_are_placed(docs, monkeypatch):
     assert sizes[0] < held.agg(F.sum("n")).first()[0] / 2
 
 
+def test_the_encoder_takes_few_texts_at_once(monkeypatch):
+    calls = []
+
+    def encode_batch(texts, add_special_tokens):
+        calls.append(len(texts))
+        return [SimpleNamespace(ids=[10 + len(t)]) for t in texts]
+
+    monkeypatch.setattr(tokens, "_tokenizer", lambda spec: SimpleNamespace(encode_batch=encode_batch))
+    monkeypatch.setattr(tokens, "CHARS", 100)
+    out = tokens.encode("x", 1, 2).func(pa.array(["a" * 30] * 20 + [None, "", "b" * 500]))
+    assert out.to_pylist() == [[1, 40, 2]] * 20 + [[1, 10, 2], [1, 10, 2], [1, 510, 2]]
+    assert max(calls) <= 6
+    assert tokens.encode("x").func(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_a_benchmarks_shingles_go_to_the_rows(spark, docs):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
