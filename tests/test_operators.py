@@ -82,6 +82,21 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
     assert got == apart
 
 
+def test_no_pair_of_the_character_ratio_is_shuffled(spark):
+    rnd = random.Random(7)
+    texts = ["hot opening words " + " ".join(f"w{rnd.randrange(30)}" for _ in range(rnd.choice([3, 60]))) for _ in range(60)]
+    texts += [t[:k] + "x" + t[k + 1 :] for t in texts for k in (20, len(t) - 1)]
+    rows = [(o, t) for o, t in enumerate(rnd.sample(texts, len(texts)))]
+    df = spark.createDataFrame(rows, "o long, _text string")
+    held = dedup.hashed(df, F.col("_text"), "o", "_text").withColumn("shingles", F.lit(None).cast("array<string>"))
+    pairs = dedup.ratio_pairs(held, "o", 9, 10)
+    expected = [(a, b) for a, s in rows for b, t in rows if a < b and shingles(s) & shingles(t) and difflib.SequenceMatcher(None, t, s).ratio() >= 0.9]
+    assert sorted(map(tuple, pairs.collect())) == expected and len(expected) > 100
+    assert "Exchange" not in pairs._jdf.queryExecution().toString()
+    some = dedup.ratio_pairs(held.where("o >= 90"), "o", 9, 10, held.where("o < 90"))
+    assert sorted(map(tuple, some.collect())) == [p for p in expected if p[0] < 90 <= p[1]]
+
+
 def test_common_subsequences_bound_the_ratio():
     rnd = random.Random(6)
     for _ in range(300):
