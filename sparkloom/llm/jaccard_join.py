@@ -45,8 +45,8 @@ COST, MOST = 64, 8
 AGREE, STARS, STAR_ROUNDS = 3, 3, 4
 #: Rounds end when they would compare at most one pair for so many nodes.
 FEW = 50
-#: Shingles for each part of the work, about. Lists of dear tokens have parts of their own, whose number depends on this alone: the fewer
-#: they are, the more of a pair's shared tokens meet in one part and are added up there.
+#: Shingles for each part of the work, about. Lists of dear tokens have parts of their own: a pair's lists all lie in one band of sizes, which
+#: is one part, or several if dear tokens occur more than DEAR_PART times. A pair whose lists lie in one part is made once, and only with all it needs.
 PART, DEAR_PART = 2_000_000, 4_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -238,9 +238,12 @@ def _relabelled(labels: DataFrame, found: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def _dealt(tokens: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each part that tokens fall to: the part and their places."""
-    to = (_mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int32)
+def _part(tokens: np.ndarray, parts: int) -> np.ndarray:
+    return (_mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int32)
+
+
+def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each part that rows go to: the part and their places."""
     order = np.argsort(to, kind="stable")
     to = to[order]
     cuts = np.flatnonzero(np.diff(to)) + 1
@@ -342,7 +345,7 @@ def postings(sets: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, dear:
     l = 1 + np.minimum(np.minimum(MOST, n // 8), np.log2(np.maximum(1, cost / COST)).astype(np.int64))
     cheap = ~is_dear & (rank_c < (n - low + 1)[of])
     long = is_dear & (rank_d < np.where(d >= low, d - low + l, 0)[of])
-    band = np.floor(np.log(np.maximum(1, n)) / _BAND).astype(np.uint64)
+    band = _bands(n).astype(np.uint64)
     own, other = _mix(t[long] ^ _BASE * (band[of[long]] + np.uint64(1))), _mix(t[long] ^ _BASE * band[of[long]])
     places = np.concatenate([np.flatnonzero(cheap), np.flatnonzero(long), np.flatnonzero(long)])
     k = of[places]
@@ -356,8 +359,18 @@ def postings(sets: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, dear:
     return out
 
 
-def _postings(work: DataFrame, dear: Dear, parts: int, dear_parts: int) -> DataFrame:
-    """(p, blob): postings, dealt by token; those of dear tokens to parts below 0."""
+def _splits(dear: Dear) -> int:
+    """Parts of a band of dear lists. Its postings are fewer than the occurrences of dear tokens, whatever the band."""
+    return 1 + int(dear.counts.sum(dtype=np.int64)) // DEAR_PART
+
+
+def _bands(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(1, n)) / _BAND).astype(np.int64)
+
+
+def _postings(work: DataFrame, dear: Dear, parts: int) -> DataFrame:
+    """(p, blob): postings, dealt by token; those of dear tokens to parts below 0, by band and token."""
+    splits = _splits(dear)
     held = work.sparkSession.sparkContext.broadcast(dear)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,8 +380,11 @@ def _postings(work: DataFrame, dear: Dear, parts: int, dear_parts: int) -> DataF
             sets = [s if node_of(s) == node else s[:0] for s, node in zip(sets, nodes)]  # another text of the same document id
             rows = postings(sets, b.column(0).to_numpy(), b.column(1).to_numpy(), held.value)
             out = []
-            for own, n, sign in ((rows[rows["l"] == 0], parts, 1), (rows[rows["l"] > 0], dear_parts, -1)):
-                for p, at in _dealt(own["t"], n):
+            cheap, long = rows[rows["l"] == 0], rows[rows["l"] > 0]
+            # the second half is listed for pairs with smaller sizes, a band lower
+            band = _bands(long["n"]) + (np.arange(len(long)) < len(long) // 2)
+            for own, to, sign in ((cheap, _part(cheap["t"], parts), 1), (long, (band * splits + _part(long["t"], splits)).astype(np.int32), -1)):
+                for p, at in _dealt(to):
                     r = own[at]
                     out.append((sign * (p + 1), _packed(r["id"], r["t"], *(r[c] for c in POSTING.names[2:]))))
             yield _blobs(out)
@@ -484,8 +500,8 @@ def counted(rows: np.ndarray) -> Iterator[np.ndarray]:
             yield _added(held)
 
 
-def _candidates(held: DataFrame) -> DataFrame:
-    """(x, y) with as many shared listed tokens as they need."""
+def _candidates(held: DataFrame, splits: int) -> DataFrame:
+    """(x, y) with as many shared listed tokens as they need. A pair's dear lists lie in so many parts."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -497,14 +513,16 @@ def _candidates(held: DataFrame) -> DataFrame:
                     r[name] = c
                 parts.append(r)
         for pair in counted(np.concatenate(parts)):
+            if splits == 1:
+                pair = pair[~pair["dear"] | (pair["shared"] >= pair["need"])]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[c])) for c in _PAIR.names], names=list(_PAIR.names))
 
     each = held.groupBy("p").applyInArrow(run, "x bigint, y bigint, dear boolean, need bigint, shared bigint")
     return stored(each.groupBy("x", "y", "dear").agg(F.max("need").alias("need"), F.sum("shared").alias("shared")).where("shared >= need").select("x", "y").distinct())
 
 
-def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int]]:
-    """The texts by key, every document's description, the nodes, and the numbers of parts to deal their tokens to."""
+def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The texts by key, every document's description, the nodes, and the number of parts to deal their tokens to."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("key"), F.col(text).alias("text"))
     described = stored(_describe(docs))
@@ -512,13 +530,14 @@ def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     nodes = stored(nodes.select("*", F.monotonically_increasing_id().alias("id")))
     total = described.agg(F.sum("n")).first()[0] or 0
     parts = max(8, 4 * partitions(docs.sparkSession), total // PART)
-    return docs.select("key", "text"), described, nodes, (parts, max(1, total // DEAR_PART))
+    return docs.select("key", "text"), described, nodes, parts
 
 
-def _joined(texts: DataFrame, nodes: DataFrame, labels: DataFrame, parts: tuple[int, int]) -> DataFrame:
+def _joined(texts: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """The exact join: verified links (x, y) between nodes of different labels (id, root); a node that has none is its own."""
     where = nodes.select("id", "key", "node").join(labels, "id", "left").select("id", "key", "node", F.coalesce("root", "id").alias("root"))
-    pairs = _candidates(_postings(texts.join(where, "key"), _dear(texts, parts[0]), *parts))
+    dear = _dear(texts, parts)
+    pairs = _candidates(_postings(texts.join(where, "key"), dear, parts), _splits(dear))
     ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     sets = _sets(texts, nodes.join(ends, "id", "left_semi").select("id", "key", "node"))
     found = _verified(pairs, sets)

@@ -145,6 +145,28 @@ def test_long_lists_give_what_short_ones_do(monkeypatch):
     assert len(parts) > 1 and len(pairs) == len(set(pairs))  # no pair leaves a part twice
 
 
+def test_dear_lists_of_a_pair_lie_in_one_part(spark, monkeypatch):
+    """However many other tokens there are."""
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(90)]
+    rows = [(i, " ".join(base[: rnd.choice([70, 80, 90])] + [f"u{i}"])) for i in range(40)]
+    rows += [(100 + i, " ".join(f"r{rnd.randrange(10**6)}" for _ in range(1500))) for i in range(40)]
+    monkeypatch.setattr(J, "DEAR_PART", 6000)
+    seen, plain = [], J._candidates
+    monkeypatch.setattr(J, "_candidates", lambda held, *more: seen.extend(held.where("p < 0").collect()) or plain(held, *more))
+    links, _ = J.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert links.count() > 300
+    parts = defaultdict(list)
+    for p, blob in seen:
+        i, t, *rest = J._unpacked(blob, "<i8", "<u8", *(J.POSTING[c].str for c in J.POSTING.names[2:]))
+        r = np.empty(len(t), J.POSTING)
+        for name, c in zip(J.POSTING.names, (t, i, *rest)):
+            r[name] = c
+        parts[p].append(r)
+    pairs = [tuple(r)[:2] for held in parts.values() for part in J.counted(np.concatenate(held)) for r in part.tolist()]
+    assert len(pairs) == len(set(pairs)) > 300
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(4, "a b c d e f"), (4, "a b c d e f"), (None, "A b c d e f"), (None, None), (7, "z z z z z z z")]
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS n")).collect()
