@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, partitions, released, small, stored
+from ._common import SMALL_ROWS, bounded_batches, partitions, released, small, stored
 from .components import components
 
 WORDS = 5
@@ -41,9 +41,9 @@ MINS = 8
 DEAR, MAX_DEAR = 16, 1 << 20
 #: l grows by one with each doubling of a document's estimated candidates beyond COST, up to MOST and an eighth of its set.
 COST, MOST = 64, 8
-#: Of eight minimum hashes so many must agree before a node is compared with its group's representative, and so many such comparisons a round.
-AGREE, STARS, STAR_ROUNDS = 3, 3, 4
-#: Rounds end when they would compare at most one pair for so many nodes.
+#: Of eight minimum hashes so many must agree before a node is compared with its group's representatives, and so many such comparisons a round with either kind.
+AGREE, STARS, STAR_ROUNDS = 3, 3, 2
+#: Rounds end when they would compare, or have linked, at most one pair for so many nodes.
 FEW = 50
 #: Shingles for each part of the work, about. Lists of dear tokens have parts of their own: a pair's lists all lie in one band of sizes, which
 #: is one part, or several if dear tokens occur more than DEAR_PART times. A pair whose lists lie in one part is made once, and only with all it needs.
@@ -180,8 +180,8 @@ def _describe(docs: DataFrame) -> DataFrame:
     return docs.withColumn("s", run("text")).select("doc_id", "key", F.xxhash64("text").alias("mark"), "s.*")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, tokens) for wanted (id, key, node): sets made again from the texts."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(id, tokens) for wanted (id, key, node), n rows at most: sets made again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,16 +189,20 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             own = [(i, s.tobytes()) for i, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sets) if node_of(s) == node]  # not another text of the same document id
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["id", "tokens"])
 
-    return stored(docs.join(wanted, "key").select("id", "node", "text").mapInArrow(run, "id bigint, tokens binary").dropDuplicates(["id"]))
+    return stored(docs.join(small(n)(wanted), "key").select("id", "node", "text").mapInArrow(run, "id bigint, tokens binary").dropDuplicates(["id"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, n: int, sets: DataFrame) -> DataFrame:
+    """Those of n pairs (x, y) that link. Few pairs go to the sets, so that only the sets of pairs are shuffled, and once."""
+
     @F.arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([link(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)], pa.bool_())
 
     one, two = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}")) for c in "xy")
-    return stored(pairs.join(one, "x").join(two, "y").where(run("tx", "ty")).select("x", "y"))
+    if n <= SMALL_ROWS:
+        two = two.join(F.broadcast(pairs.select("y")), "y", "left_semi")
+    return stored(one.join(small(n)(pairs), "x").join(two, "y").where(run("tx", "ty")).select("x", "y"))
 
 
 def _near(nodes: DataFrame) -> DataFrame:
@@ -212,17 +216,19 @@ def _near(nodes: DataFrame) -> DataFrame:
 def _stars(near: DataFrame, labels: DataFrame, n: int, round_: int) -> DataFrame:
     """(x, y): nodes and the representatives, of another label, of their groups by minimum hash that agree with them best.
 
-    In even rounds those with the most in common, the middles of their groups, are the representatives, and in odd ones any; which of equal ones differs by round.
+    A group has two: the node with the most in common, the middle of the group, and any one; which of equal ones differs by round.
     """
     held = near.join(small(n)(labels), "id").select("id", "n", "mins", "common", "root")
     each = held.select("id", "n", "mins", "common", "root", F.posexplode("mins").alias("k", "m"))
-    order = F.struct(-F.col("common") if round_ % 2 == 0 else F.lit(0), F.xxhash64("k", "id", F.lit(round_)))
-    # stored, so that the join below reads two plain exchanges, of which Spark splits hot keys
-    heads = stored(each.groupBy("k", "m").agg(F.min_by(F.struct(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("mins").alias("ymins"), F.col("root").alias("yroot")), order).alias("h"), F.count("*").alias("c")).where("c > 1"))
+    node, lot = F.struct(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("mins").alias("ymins"), F.col("root").alias("yroot")), F.xxhash64("k", "id", F.lit(round_))
+    # stored, so that the join below reads two plain exchanges, of which Spark splits hot keys, or none
+    heads = stored(each.groupBy("k", "m").agg(F.min_by(node, F.struct(-F.col("common"), lot)).alias("middle"), F.min_by(node, lot).alias("other"), F.count("*").alias("c")).where("c > 1"))
+    # a row of heads is as long as eight narrow ones
+    met = each.join(small(8 * heads.count())(heads), ["k", "m"]).select("id", "n", "mins", "root", F.posexplode(F.array("middle", "other")).alias("kind", "h"))
     agree = F.size(F.filter(F.zip_with("mins", "h.ymins", lambda a, b: a == b), lambda x: x))
-    pairs = each.join(heads, ["k", "m"]).where("root <> h.yroot AND 4 * least(n, h.yn) >= 3 * greatest(n, h.yn)").select(F.col("id").alias("x"), F.col("h.y").alias("y"), agree.alias("agree"))
-    best = pairs.where(F.col("agree") >= AGREE).groupBy("x").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("agree", "y")))), 1, STARS).alias("best"))  # at most MINS each
-    out = stored(best.select("x", F.explode("best.y").alias("y")))
+    pairs = met.where("root <> h.yroot AND 4 * least(n, h.yn) >= 3 * greatest(n, h.yn)").select(F.col("id").alias("x"), "kind", F.col("h.y").alias("y"), agree.alias("agree")).where(F.col("agree") >= AGREE)
+    best = [F.slice(F.reverse(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.struct("agree", "y"))))), 1, STARS) for kind in (0, 1)]  # of at most MINS each
+    out = stored(pairs.groupBy("x").agg(F.array_union(*best).alias("best")).select("x", F.explode("best.y").alias("y")))
     released(heads)
     return out
 
@@ -518,7 +524,8 @@ def _candidates(held: DataFrame, splits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[c])) for c in _PAIR.names], names=list(_PAIR.names))
 
     each = held.groupBy("p").applyInArrow(run, "x bigint, y bigint, dear boolean, need bigint, shared bigint")
-    return stored(each.groupBy("x", "y", "dear").agg(F.max("need").alias("need"), F.sum("shared").alias("shared")).where("shared >= need").select("x", "y").distinct())
+    kinds = [f(F.when(F.col("dear") == dear, F.col(c))).alias(f"{c}_{dear}") for dear in (False, True) for f, c in ((F.max, "need"), (F.sum, "shared"))]
+    return stored(each.groupBy("x", "y").agg(*kinds).where("shared_False >= need_False OR shared_True >= need_True").select("x", "y"))
 
 
 def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -538,9 +545,10 @@ def _joined(texts: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int) -
     where = nodes.select("id", "key", "node").join(labels, "id", "left").select("id", "key", "node", F.coalesce("root", "id").alias("root"))
     dear = _dear(texts, parts)
     pairs = _candidates(_postings(texts.join(where, "key"), dear, parts), _splits(dear))
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sets = _sets(texts, nodes.join(ends, "id", "left_semi").select("id", "key", "node"))
-    found = _verified(pairs, sets)
+    n = pairs.count()
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("id"))
+    sets = _sets(texts, nodes.join(small(2 * n)(ends), "id", "left_semi").select("id", "key", "node"), 2 * n)
+    found = _verified(pairs, n, sets)
     released(pairs, sets)
     return found
 
@@ -554,12 +562,15 @@ def _drawn(texts: DataFrame, nodes: DataFrame) -> DataFrame | None:
     for r in range(STAR_ROUNDS):
         pairs = _stars(near, labels, n, r)
         # groups that a round hardly changes are left to the exact join
-        if pairs.count() * FEW <= n:
+        if (compared := pairs.count()) * FEW <= n:
+            break
+        sets = _sets(texts, near.select("id", "key", "node"), n) if sets is None else sets
+        links.append(_verified(pairs, compared, sets))
+        released(pairs)
+        if r == STAR_ROUNDS - 1 or links[-1].count() * FEW <= n:
             break
-        sets = _sets(texts, near.select("id", "key", "node")) if sets is None else sets
-        links.append(_verified(pairs, sets))
         before, labels = labels, _relabelled(labels, links[-1], n)
-        released(before, pairs)
+        released(before)
     kept = None
     if links:
         out = links[0]
@@ -583,11 +594,16 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     drawn = _drawn(texts, nodes)
     labels = components(drawn) if drawn is not None else docs.sparkSession.createDataFrame([], "id bigint, root bigint")
     found = _joined(texts, nodes, labels, parts)
-    if not found.isEmpty():
-        before, labels = labels, components(found if drawn is None else drawn.unionByName(found))
-        released(before)
-    released(drawn, found)
-    named = nodes.join(labels, "id", "left").select("node", F.col("key").alias("least"), F.coalesce("root", "id").alias("root"))
+    near_to = small(labels.count())
+    root = nodes.join(near_to(labels), "id", "left").select("node", F.col("key").alias("least"), F.coalesce("root", "id").alias("root"))
+    # links between labels join these
+    ends = [labels.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy"]
+    between = stored(found.join(near_to(ends[0]), "x", "left").join(near_to(ends[1]), "y", "left").select(F.coalesce("x_root", "x").alias("x"), F.coalesce("y_root", "y").alias("y")))
+    named = root
+    if not between.isEmpty():
+        joined = components(between)
+        named = root.join(small(joined.count())(joined.select(F.col("id").alias("root"), F.col("root").alias("joined"))), "root", "left").select("node", "least", F.coalesce("joined", "root").alias("root"))
+    released(drawn, found, between)
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     return described.join(named.join(smallest, "root").select("node", "root", "component"), "node", "left")
 

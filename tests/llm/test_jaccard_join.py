@@ -91,6 +91,17 @@ def test_one_large_group_of_near_copies(spark):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_components_of_links_that_settle_at_once_take_two_tables(spark, monkeypatch):
+    """Each table costs a stage of all partitions, however few the rows."""
+    from sparkloom.llm import components as C
+
+    tables, plain = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df: tables.append(1) or plain(df))
+    got = C.components(spark.createDataFrame([(1, 5), (1, 7), (7, 1), (3, 3)], "x long, y long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (5, 1), (7, 1)]
+    assert len(tables) <= 2
+
+
 def test_links_are_all_links_between_different_sets(spark):
     rows = corpus(4, 120) + [(1000 + i, t) for i, t in near_group(40)]
     links, members = J.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))
