@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ from ._common import SMALL_ROWS, bounded_batches, partitions, released, small, s
 from .components import components
 
 WORDS = 5
-CHUNK = 1 << 20
+#: Bytes of text that are worked on at once. A batch goes in pieces of PIECE, so that a worker holds one piece's sets and arrays beside what it returns.
+CHUNK, PIECE = 1 << 18, 1 << 20
 MINS = 8
 #: From so many documents on a token is dear. The table of dear tokens holds so many at most (12 MB on each executor); tokens beyond count as cheap.
 DEAR, MAX_DEAR = 16, 1 << 20
@@ -147,6 +149,16 @@ def token_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def _pieces(texts: pa.Array) -> Iterator[slice]:
+    """Places of texts of PIECE bytes together, or of one longer text; one piece if there are none."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts) or not at:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+        yield slice(at, end)
+        at = end
+
+
 def link(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= 75 * (len(a) + len(b) - both)
@@ -165,7 +177,10 @@ def _describe(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("struct<n:bigint,node:binary,mins:array<bigint>>")
     def run(col: pa.Array) -> pa.Array:
-        sets = token_sets(col.to_pylist())
+        return pa.concat_arrays([told(col[piece]) for piece in _pieces(col)])
+
+    def told(texts: pa.Array) -> pa.Array:
+        sets = token_sets(texts.to_pylist())
         n = np.array([len(s) for s in sets], np.int64)
         node = [node_of(s) if len(s) else None for s in sets]
         full = n[n > 0]
@@ -185,9 +200,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = token_sets(b.column(2).to_pylist())
-            own = [(i, s.tobytes()) for i, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sets) if node_of(s) == node]  # not another text of the same document id
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["id", "tokens"])
+            for ids, nodes, texts in ([c[piece] for c in b.columns] for piece in _pieces(b.column(2))):
+                own = [(i, s.tobytes()) for i, node, s in zip(ids.to_pylist(), nodes.to_pylist(), token_sets(texts.to_pylist())) if node_of(s) == node]  # not another text of the same document id
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["id", "tokens"])
 
     return stored(docs.join(small(n)(wanted), "key").select("id", "node", "text").mapInArrow(run, "id bigint, tokens binary").dropDuplicates(["id"]))
 
@@ -298,8 +313,8 @@ def _dear(docs: DataFrame, parts: int) -> Dear:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = token_sets(b.column(0).to_pylist())
-            t = np.sort(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
+            t = np.concatenate([np.concatenate([np.zeros(0, np.uint64), *token_sets(b.column(0)[piece].to_pylist())]) for piece in _pieces(b.column(0))])
+            t.sort()
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
             n = np.minimum(np.diff(first, append=len(t)), 65535).astype("<u2")
             t = t[first]
@@ -314,9 +329,11 @@ def _dear(docs: DataFrame, parts: int) -> Dear:
                 d, n = _unpacked(blob.as_py(), "<u8", "<u2")
                 tokens.append(np.cumsum(d, dtype=np.uint64))
                 counts.append(n)
-        t = np.concatenate(tokens)
+        t, n = np.concatenate(tokens), np.concatenate(counts)
+        tokens.clear()
         order = np.argsort(t, kind="stable")
-        t, n = t[order], np.concatenate(counts)[order].astype(np.int64)
+        t, n = t[order], n[order].astype(np.int64)
+        del order
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         n = np.add.reduceat(n, first)
         often = n >= DEAR
@@ -381,18 +398,25 @@ def _postings(work: DataFrame, dear: Dear, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = token_sets(b.column(3).to_pylist())
-            nodes = b.column(2).to_pylist()
-            sets = [s if node_of(s) == node else s[:0] for s, node in zip(sets, nodes)]  # another text of the same document id
-            rows = postings(sets, b.column(0).to_numpy(), b.column(1).to_numpy(), held.value)
+            listed, to = [], []
+            for ids, labels, nodes, texts in ([c[piece] for c in b.columns] for piece in _pieces(b.column(3))):
+                sets = [s if node_of(s) == node else s[:0] for s, node in zip(token_sets(texts.to_pylist()), nodes.to_pylist())]  # another text of the same document id
+                rows = postings(sets, ids.to_numpy(), labels.to_numpy(), held.value)
+                cheap, long = rows["l"] == 0, rows["l"] > 0
+                # the second half is listed for pairs with smaller sizes, a band lower
+                band = _bands(rows["n"][long]) + (np.arange(long.sum()) < long.sum() // 2)
+                p = np.empty(len(rows), np.int32)
+                p[cheap] = _part(rows["t"][cheap], parts) + 1
+                p[long] = -(band * splits + _part(rows["t"][long], splits)) - 1
+                listed.append(rows)
+                to.append(p)
+            rows = np.concatenate(listed)
+            listed.clear()
             out = []
-            cheap, long = rows[rows["l"] == 0], rows[rows["l"] > 0]
-            # the second half is listed for pairs with smaller sizes, a band lower
-            band = _bands(long["n"]) + (np.arange(len(long)) < len(long) // 2)
-            for own, to, sign in ((cheap, _part(cheap["t"], parts), 1), (long, (band * splits + _part(long["t"], splits)).astype(np.int32), -1)):
-                for p, at in _dealt(to):
-                    r = own[at]
-                    out.append((sign * (p + 1), _packed(r["id"], r["t"], *(r[c] for c in POSTING.names[2:]))))
+            for p, at in _dealt(np.concatenate(to)):
+                r = rows[at]
+                out.append((p, _packed(r["id"], r["t"], *(r[c] for c in POSTING.names[2:]))))
+            del rows
             yield _blobs(out)
 
     return work.select("id", "root", "node", "text").mapInArrow(run, "p int, blob binary")
@@ -518,7 +542,9 @@ def _candidates(held: DataFrame, splits: int) -> DataFrame:
                 for name, c in zip(POSTING.names, (t, i, *rest)):
                     r[name] = c
                 parts.append(r)
-        for pair in counted(np.concatenate(parts)):
+        rows = [np.concatenate(parts)]
+        parts.clear()
+        for pair in counted(rows.pop()):
             if splits == 1:
                 pair = pair[~pair["dear"] | (pair["shared"] >= pair["need"])]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[c])) for c in _PAIR.names], names=list(_PAIR.names))
@@ -544,7 +570,8 @@ def _joined(texts: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int) -
     """The exact join: verified links (x, y) between nodes of different labels (id, root); a node that has none is its own."""
     where = nodes.select("id", "key", "node").join(labels, "id", "left").select("id", "key", "node", F.coalesce("root", "id").alias("root"))
     dear = _dear(texts, parts)
-    pairs = _candidates(_postings(texts.join(where, "key"), dear, parts), _splits(dear))
+    # the narrow side is hashed, as sorting the texts would take a task's memory
+    pairs = _candidates(_postings(texts.join(where.hint("shuffle_hash"), "key"), dear, parts), _splits(dear))
     n = pairs.count()
     ends = pairs.select(F.explode(F.array("x", "y")).alias("id"))
     sets = _sets(texts, nodes.join(small(2 * n)(ends), "id", "left_semi").select("id", "key", "node"), 2 * n)
@@ -620,8 +647,12 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Rows that repeat an id and a text count as one document, of which the row stays whose other columns come first in order. Documents
     without words are linked with nothing; all their rows stay. A null id is never the smallest.
     """
-    kept = _grouped(docs, key, text).where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("key", "mark")).alias("k")).select(F.col("k.key").alias("_key"), F.col("k.mark").alias("_mark"))
+    each = _grouped(docs, key, text).where("root IS NOT NULL").groupBy("root", "key", "mark").agg(F.count("*").alias("rows"))
+    least = each.groupBy("root").agg(F.min(F.struct("key", "mark", "rows")).alias("k")).select(F.col("k.key").alias("_key"), F.col("k.mark").alias("_mark"), "k.rows")
+    kept = least.groupBy("_key", "_mark").agg(F.sum("rows").alias("_rows"))
     has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     named = docs.where(has_words).select(F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(text).alias("_mark"), F.struct(*[docs[c] for c in docs.columns if c != text], text).alias("_row"))
-    one = named.join(kept, ["_key", "_mark"], "left_semi").groupBy("_key", "_mark").agg(F.min("_row").alias("_row"))
+    # texts are not sorted: kept is hashed, and only rows that repeat an id and a text are gathered
+    found = named.join(kept.hint("shuffle_hash"), ["_key", "_mark"])
+    one = found.where("_rows = 1").select("_row").unionByName(found.where("_rows > 1").groupBy("_key", "_mark").agg(F.min("_row").alias("_row")).select("_row"))
     return one.select("_row.*").select(docs.columns).unionByName(docs.where(~has_words))

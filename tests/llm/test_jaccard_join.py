@@ -1,8 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import jaccard_join as J
@@ -183,3 +186,36 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS n")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(4, 2, 4), (4, 2, 4), (None, 2, 4), (None, 0, None), (7, 1, 7)]))
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_batch_of_texts_takes_little_memory_beside_its_postings():
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(map(str, rnd.integers(0, 10**6, 300).tolist())) for _ in range(4000)]  # 8 MB, as bounded_batches has it
+    nodes = [J.node_of(s) for s in J.token_sets(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(np.arange(4000)), pa.array(nodes, pa.binary()), pa.array(texts)], names=["id", "root", "node", "text"])
+    work = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))))
+    work.select = lambda *columns: SimpleNamespace(mapInArrow=lambda run, schema: run)
+    run = J._postings(work, J.Dear(np.zeros(0, np.uint64), np.zeros(0, np.int32)), 50)
+    tracemalloc.start()
+    try:
+        out = list(run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(len(x.as_py()) for b in out for x in b.column("blob")) > 8_000_000
+    assert peak < 64 << 20
+
+
+def test_no_join_sorts_the_texts(spark, monkeypatch):
+    seen, plain = [], J._postings
+    monkeypatch.setattr(J, "_postings", lambda work, *more: seen.append(work) or plain(work, *more))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "q r s t u v w"), (3, "a b c d e g")]
+        seen.append(J.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+        assert sorted(map(tuple, seen[-1].collect())) == [(1, "a b c d e f"), (3, "a b c d e g"), (3, "q r s t u v w")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and all("ShuffledHashJoin" in plan for plan in plans)
