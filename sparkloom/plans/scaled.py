@@ -12,7 +12,7 @@ from ..operators import contamination, dedup, packing, sampling, selection, spli
 from ..session import materialised, shared_folder
 from ..sources import records, token_sink
 from ..streaming import incremental
-from .catalog import NORM, PAIR_COUNTS, PAIRS, SHINGLES, _IDS, hashed, pairs, query, table
+from .catalog import NORM, PAIR_COUNTS, PAIRS, SHINGLES, _IDS, hashed, pairs, query, shingles_about, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -28,8 +28,7 @@ def stream_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet*")
     timed = stream.withColumn("at", F.timestamp_seconds(F.col("doc_id") + 86_400))
-    letters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    order = dedup.often(dedup.hashed(docs, F.col("text"), "doc_id"), letters // 6)
+    order = dedup.often(dedup.hashed(docs, F.col("text"), "doc_id"), shingles_about(docs))
     met = incremental.meeting_tokens(docs, "doc_id", "text", order=order)
     found = incremental.drained(incremental.near_candidates(timed, "doc_id", "text", "at", horizon="3650 days", late="3650 days", order=order, met=met), "stream_near_pairs")
     return incremental.verified(found, docs, "doc_id", "text")

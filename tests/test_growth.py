@@ -67,3 +67,25 @@ def test_a_benchmarks_shingles_go_to_the_rows(spark, docs):
         assert {tuple(r) for r in found.where("id = 92").collect()} == {(92, 0, 1), (92, 1, 1)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_two_blocks_are_a_batch_and_their_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "ROWS", 16)
+    monkeypatch.setattr(dedup, "TOKENS", 60)
+    monkeypatch.setattr(dedup, "TOLD", 50)
+    rows = [(i, " ".join([f"c{k}" for k in range(i % 7 + 3)] + [f"w{i // 2}x{k}" for k in range(8)])) for i in range(60)] + [(60, " ".join(f"c{k}" for k in range(100))), (61, " ".join(f"c{k}" for k in range(90)))]
+    tables, sizes, real = [], [], dedup.materialised
+    monkeypatch.setattr(dedup, "materialised", lambda d, *o: sizes.append(int(d.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or tables.append(real(d, *o)) or tables[-1])
+    monkeypatch.setattr(dedup, "released", lambda *t: None)
+    for parts in (3, 40):  # the small blocks of many partitions are gathered
+        df = dedup.hashed(spark.createDataFrame(rows, "id long, text string").repartition(parts), F.col("text"), "id")
+        got = dedup.shared_totals(df, "id").first().asDict()
+        want = stats.similarity_audit(dedup.candidate_pairs(dedup.shingled(spark.createDataFrame(rows, "id long, text string"), F.col("text"), "id"), "id")).first().asDict()
+        assert {k: pytest.approx(v) for k, v in want.items()} == got
+        blocks = [d for d in tables if "tokens" in d.columns][-1]
+        assert sizes[-1] == 1
+        assert all(r.rows == 1 or r.rows <= 16 and r.tokens <= 60 for r in blocks.select("rows", "tokens").collect())
+        # tokens of one row are in no block
+        assert blocks.agg(F.sum("tokens")).first()[0] < df.agg(F.sum("n")).first()[0]
+    assert blocks.count() < 40
+    assert dedup.shared_totals(df.limit(0), "id").first().pairs == 0
