@@ -1,8 +1,11 @@
 """What must not grow faster than the tables: totals without pairs, postings counted in batches, few postings placed, small encoder batches."""
 
+import difflib
+import random
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +92,36 @@ def test_two_blocks_are_a_batch_and_their_rows_are_bounded(spark, monkeypatch):
         assert blocks.agg(F.sum("tokens")).first()[0] < df.agg(F.sum("n")).first()[0]
     assert blocks.count() < 40
     assert dedup.shared_totals(df.limit(0), "id").first().pairs == 0
+
+
+def test_grams_of_many_pairs_are_bounded_as_those_of_one():
+    r = random.Random(11)
+    base = ["".join(r.choice("etaoin shrdlu") + (r.choice("QXZ7") if r.random() < 0.02 else "") for _ in range(n)) for n in (0, 5, 9, 150, 260, 700, 1100, 1400)]
+    texts = base + ["".join(c for c in t if r.random() > p) for t in base for p in (0.01, 0.05, 0.15)]
+    one, many = [dedup.Grams(dedup.grams_of(t)) for t in texts], dedup.GramTable([dedup.grams_of(t) for t in texts])
+    i, j = (a.ravel() for a in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    n = np.array([len(t) for t in texts])
+    for num, den in ((9, 10), (7, 10), (97, 100)):
+        for kept in (i < j, i >= j):
+            got = dedup.enough_grams_each(num, den, n[i], many, n[j], many, i, j, kept)
+            want = [dedup.enough_grams(num, den, len(texts[p]), one[p], len(texts[q]), one[q]) if k else dedup.enough_grams(num, den, len(texts[q]), one[q], len(texts[p]), one[p]) for p, q, k in zip(i, j, kept)]
+            assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_blocks_of_far_lengths_do_not_meet(spark, monkeypatch):
+    r = random.Random(2)
+    texts = ["a b c " + " ".join(f"{r.choice('xyz')}{k}" for k in range(10 + i)) for i in range(90)]
+    texts += [t + "!" for t in texts[::3]]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    held = dedup.hashed(spark.createDataFrame(rows, "id long, _text string"), F.col("_text"), "id", "_text")
+    monkeypatch.setattr(dedup, "RATIO_ROWS", 12)
+    seen, real = [], dedup.materialised
+    monkeypatch.setattr(dedup, "materialised", lambda d, *o: seen.append(real(d, *o)) or seen[-1])
+    monkeypatch.setattr(dedup, "released", lambda *t: None)
+    want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and min(len(x), len(y)) * 20 >= (len(x) + len(y)) * 9 and difflib.SequenceMatcher(None, y, x).ratio() >= 0.9}
+    assert {tuple(p) for p in dedup.ratio_pairs(held, "id", 9, 10).collect()} == want
+    old, new = held.where("id < 60"), held.where("id >= 60")
+    assert {tuple(p) for p in dedup.ratio_pairs(new, "id", 9, 10, old).collect()} == {(i, j) for i, j in want if i < 60 <= j}
+    blocks = [(b.least, b.most) for b in seen[0].select("least", "most").collect()]
+    assert len(blocks) > 8 and sum(y * 11 < x * 9 for _, y in blocks for x, _ in blocks) > len(blocks)
